@@ -63,10 +63,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, i - 1 AS at, md5(array_to_string(l[i:i + 2], chr(10))) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
-f AS (SELECT h, min((doc_id, at)) AS first, count(*) AS n FROM w GROUP BY h HAVING count(*) > 1),
-x AS (SELECT w.doc_id, w.at, f.first[1] AS fd, f.first[2] AS fa FROM w JOIN f ON w.h = f.h),
-g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd THEN greatest(at, fa + 3) ELSE at END, at + 3)) AS line FROM x WHERE NOT (doc_id = fd AND at = fa)),
+w AS (SELECT doc_id, i - 1 AS pos, md5(array_to_string(l[i:i + 2], chr(10))) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+f AS (SELECT h, min((doc_id, pos)) AS first, count(*) AS n FROM w GROUP BY h HAVING count(*) > 1),
+x AS (SELECT w.doc_id, w.pos, f.first[1] AS fd, f.first[2] AS fa FROM w JOIN f ON w.h = f.h),
+g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd THEN greatest(pos, fa + 3) ELSE pos END, pos + 3)) AS line FROM x WHERE NOT (doc_id = fd AND pos = fa)),
 r AS (SELECT d.doc_id, len(l) AS n_lines, list_filter(range(0, len(l)), lambda i: NOT list_contains(coalesce(a.gone, []), i)) AS kept, l FROM d LEFT JOIN (SELECT doc_id, list(line) AS gone FROM g GROUP BY doc_id) a ON d.doc_id = a.doc_id),
 k AS (SELECT doc_id, n_lines, len(kept) AS n_kept, array_to_string(list_transform(kept, lambda i: l[i + 1]), chr(10)) AS t FROM r)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - n_kept AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM k

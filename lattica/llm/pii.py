@@ -59,18 +59,19 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")
     if kind == "card":
-        return F.length(digits).between(13, 19) & F.luhn_check(digits)
+        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
 def base_spans(text: Column) -> Column:
     """kind (its place in KINDS), s, e, m of all base spans, by kind and start."""
-    none = F.array().cast(_SPANS)
-    found = []
-    for i, kind in enumerate(KINDS):
-        own = F.filter(F.when(text.rlike(GATES[kind]), spans(text, PATTERNS[kind])).otherwise(none), lambda x, kind=kind: _valid(kind, x["m"]))
-        found.append(F.transform(own, lambda x, i=i: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))))
-    return F.concat(*found)
+
+    def of(i: int, kind: str) -> Column:
+        raw = F.when(text.rlike(GATES[kind]), spans(text, PATTERNS[kind])).otherwise(F.array().cast(_SPANS))
+        own = F.filter(raw, lambda x: _valid(kind, x["m"]))
+        return F.transform(own, lambda x: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+
+    return F.concat(*(of(i, kind) for i, kind in enumerate(KINDS)))
 
 
 def _with_context(text: Column, x: Column) -> Column:
@@ -138,5 +139,5 @@ def _listed(x: Column) -> Column:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+    return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
