@@ -183,15 +183,22 @@ def resolve(sequences: DataFrame, store: DataFrame, key: str, scheme: str = "sha
     return parts.withColumn("digest", digest).join(store, "digest", "left").drop("digest")
 
 
-def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an interleaved page: a title, and its whole text as an image by digest, with a caption.
+def documents_as_media(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) as an interleaved page: a title, and its whole text as an image by
+    digest, with a caption. Returns the image's place, caption and what its stored form reads back.
 
-    Null texts count as empty. Returns a row for each row of ``documents``.
+    Null texts count as empty, an empty text is one row of zero samples, equal texts share a stored form, repeated
+    rows and null ids each keep a row. Other columns are ignored.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
     digest = F.sha2("data", 256)
     caption = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     page = F.concat(F.lit("<article><h1>Document</h1><figure><img src='sha256:"), digest, F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
-    sequences = interleave(docs.select("doc_id", page.alias("html")), "doc_id")
-    resolved = resolve(sequences, image_store(docs.select(digest.alias("digest"), "data")), "doc_id").where("kind = 'image'")
+    sequences = interleave(own.select("doc_id", page.alias("html")), "doc_id")
+    resolved = resolve(sequences, image_store(own.select(digest.alias("digest"), "data")), "doc_id").where("kind = 'image'")
     return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, stored as an image and read back."""
+    return documents_as_media(table(spark, sf_dir, "documents"))
