@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+import pytest
+
+from lattica.llm import mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, repeats=2):
+    """By rounds: whoever is above the stop is set to it, and the rest is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        above = {s for s in open_ if left * weight[s] / total > repeats * sizes[s]}
+        if not above:
+            out |= {s: left * weight[s] / total for s in open_}
+            break
+        for s in above:
+            out[s] = repeats * sizes[s]
+        left -= sum(out[s] for s in above)
+        open_ -= above
+    return out
+
+
+def check(rows, got):
+    assert len(rows) == len(got)
+    sizes = {}
+    for i, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    want, taken = targets(sizes), {}
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source], rel=1e-9)
+        assert r.size * r.times == r.taken and r.taken <= 2 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    largest = {}
+    for i, s, t in rows:  # documents of one id are taken together
+        largest.setdefault(s, {}).setdefault(i, 0)
+        largest[s][i] += len(WORD.findall(t or ""))
+    for s in sizes:
+        assert want[s] - max(largest[s].values()) <= taken[s] <= want[s] + 1e-6, s
+
+
+def test_real_and_odd(spark, real_docs, odd_docs, no_docs):
+    for docs in (real_docs, odd_docs):
+        rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+        first = mixing.mixture(docs).collect()
+        check(rows, first)
+        assert sorted(map(str, first)) == sorted(map(str, mixing.mixture(docs).collect()))
+        mixed = mixing.mixed(docs)
+        assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in first)
+    assert mixing.mixture(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
+
+
+def test_targets_by_rounds(spark):
+    for sizes in ({"a": 10, "b": 1000, "c": 5, None: 70}, {"a": 1}, {"a": 0, "b": 0}, {f"s{k}": (k * 37) % 91 + 1 for k in range(20)}):
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(frame).collect()}
+        want = targets(sizes)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
+
+
+def test_a_larger_budget_takes_a_superset(real_docs):
+    small = {r.doc_id: r.times for r in mixing.mixture(real_docs, share=0.5).collect()}
+    large = {r.doc_id: r.times for r in mixing.mixture(real_docs, share=0.9).collect()}
+    assert all(large[i] >= n for i, n in small.items()) and sum(large.values()) > sum(small.values())
+
+
+def test_hash_is_of_the_id():
+    assert hashlib.md5(b"").hexdigest() == "d41d8cd98f00b204e9800998ecf8427e"

@@ -1,0 +1,21 @@
+"""Queries that SQL can express, against DuckDB."""
+
+import duckdb
+import pytest
+
+from lattica.llm.queries import ORACLE_SQL, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    df = QUERIES[name](spark, DIR)
+    assert sorted(want.columns) == sorted(df.columns)
+    tidy = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+    columns = sorted(df.columns)
+    assert sorted(map(repr, map(tidy, df.select(*columns).collect()))) == sorted(map(repr, map(tidy, want.select(*columns).fetchall())))
