@@ -1,6 +1,591 @@
-"""The graph engine's queries by name, and the DuckDB SQL with the same rows."""
+"""The graph engine's queries by name, and the DuckDB SQL with the same rows.
+
+Each query applies one operator to the graph view of the tables (``sources.tables``), or to tables that have the
+operator's shape. A query without SQL is one that SQL can't express; its tests compare it with brute force.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import cycles, degree, resolve, review, scope, spans, traverse
+from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, next_part_edges, node_view, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_DEGREES = """, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges),
+deg AS (SELECT id, count(*) AS degree FROM ends GROUP BY id)"""
+_SPEC = "-tests, !geo/ASIA, geo, catalog/*, orders/F"
+_REASON = """, judged AS (SELECT *, CASE WHEN starts_with(file, 'vendor/') THEN 'vendored' WHEN external THEN 'external' WHEN starts_with(file, 'tests/') THEN 'tests'
+  WHEN NOT (starts_with(file, 'geo/') OR starts_with(file, 'catalog/') OR file = 'orders/F') OR file = 'geo/ASIA' OR starts_with(file, 'geo/ASIA/') THEN 'filtered' END AS reason FROM nodes)"""
+
+
+def query(sql: str | None = None, view: bool = True):
+    """Registers a query under its function's name; ``sql`` follows the graph view's WITH clause if ``view``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (VIEW_SQL if view else "") + sql
+        return f
+
+    return add
+
+
+# Counts ---------------------------------------------------------------------------------------------------------
+
+
+@query(_DEGREES + "SELECT t.id, degree, label, type FROM (SELECT * FROM deg ORDER BY degree DESC, id LIMIT 10) t LEFT JOIN nodes USING (id)")
+def god_nodes(spark, d):
+    return degree.god_nodes(*graph_view(spark, d))
+
+
+@query(_DEGREES + "SELECT id, degree FROM deg")
+def degrees(spark, d):
+    return degree.degrees(edge_view(spark, d))
+
+
+@query("SELECT * FROM (SELECT count(*) AS n_nodes, count(DISTINCT community) AS n_communities, count(*) - count(DISTINCT id) AS id_collisions FROM nodes), (SELECT count(*) AS n_edges, count(DISTINCT relation) AS n_relations FROM edges)")
+def overview(spark, d):
+    return degree.overview(*graph_view(spark, d))
+
+
+@query("SELECT relation, confidence, count(*) AS n FROM edges GROUP BY ALL")
+def relation_tally(spark, d):
+    return degree.relation_tally(edge_view(spark, d))
+
+
+@query("SELECT type, count(*) AS n, count(DISTINCT file) AS n_files FROM nodes GROUP BY ALL")
+def node_tally(spark, d):
+    return degree.node_tally(node_view(spark, d))
+
+
+@query("SELECT * FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
+def dangling_edges(spark, d):
+    return degree.dangling(*graph_view(spark, d)).select("pos", "src", "dst", "relation", "confidence")
+
+
+@query(
+    _DEGREES
+    + """SELECT * FROM (SELECT count(*) FILTER (src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)) AS dangling,
+  count(*) FILTER (src = dst AND relation NOT IN ('calls', 'indirect_call')) AS self_loops, count(*) FILTER (src = dst AND relation IN ('calls', 'indirect_call')) AS recursive FROM edges),
+(SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM edges GROUP BY src, dst, relation)),
+(SELECT count(DISTINCT id) AS orphans FROM nodes WHERE id NOT IN (SELECT id FROM deg))"""
+)
+def validate(spark, d):
+    return degree.validate(*graph_view(spark, d))
+
+
+@query(_DEGREES + "SELECT id, label, type, file FROM nodes WHERE id NOT IN (SELECT id FROM deg)")
+def orphans(spark, d):
+    return degree.orphans(*graph_view(spark, d)).select("id", "label", "type", "file")
+
+
+@query("SELECT src, dst, relation, count(*) AS n FROM edges GROUP BY ALL HAVING count(*) > 1")
+def duplicate_edges(spark, d):
+    return degree.duplicate_edges(edge_view(spark, d))
+
+
+@query(
+    _DEGREES
+    + """SELECT community, size, rank, id, degree FROM (
+  SELECT community, id, coalesce(degree, 0) AS degree, count(*) OVER (PARTITION BY community) AS size, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, id) AS rank
+  FROM nodes LEFT JOIN deg USING (id) WHERE community IS NOT NULL) WHERE rank <= 3"""
+)
+def community_sizes(spark, d):
+    return degree.community_sizes(*graph_view(spark, d))
+
+
+@query(_DEGREES + "SELECT CAST(greatest(20, min(degree)) AS BIGINT) AS cut FROM (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM deg) WHERE i >= floor(n * 0.99)")
+def degree_cut(spark, d):
+    return degree.degree_cut(edge_view(spark, d))
+
+
+@query(
+    """, f AS (SELECT id, file, string_split(file, '/')[:-2] AS dirs FROM nodes),
+m AS (SELECT e.src, e.dst, a.dirs AS a, b.dirs AS b, CASE WHEN len(a.dirs) = 0 OR len(b.dirs) = 0 OR a.dirs[1] <> b.dirs[1] THEN 0 WHEN a.dirs[2] IS NULL OR b.dirs[2] IS NULL OR a.dirs[2] <> b.dirs[2] THEN 1 WHEN a.dirs[3] IS NULL OR b.dirs[3] IS NULL OR a.dirs[3] <> b.dirs[3] THEN 2 ELSE 3 END AS k
+  FROM edges e JOIN f a ON e.src = a.id JOIN f b ON e.dst = b.id)
+SELECT array_to_string(a[1:k + 1], '/') AS from_dir, array_to_string(b[1:k + 1], '/') AS to_dir, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM m WHERE len(a) > k AND len(b) > k GROUP BY ALL"""
+)
+def directory_pairs(spark, d):
+    return degree.directory_pairs(*graph_view(spark, d))
+
+
+@query()
+def community_signatures(spark, d):
+    """No SQL: the signature sums 64-bit hashes that DuckDB hasn't."""
+    return degree.set_signature(node_view(spark, d).where("community is not null"), "community", "id")
+
+
+# Scope ----------------------------------------------------------------------------------------------------------
+
+
+@query(_REASON + "SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason")
+def scope_left_out(spark, d):
+    return scope.scoped(*graph_view(spark, d), _SPEC).left_out()
+
+
+@query(_REASON + "SELECT id, type, file FROM judged WHERE reason IS NULL")
+def scope_nodes(spark, d):
+    return scope.scoped(*graph_view(spark, d), _SPEC).nodes.select("id", "type", "file")
+
+
+@query(_REASON + "SELECT src, dst, relation FROM edges WHERE src NOT IN (SELECT id FROM judged WHERE reason IS NOT NULL) AND dst NOT IN (SELECT id FROM judged WHERE reason IS NOT NULL)")
+def scope_edges(spark, d):
+    return scope.scoped(*graph_view(spark, d), _SPEC).edges.select("src", "dst", "relation")
+
+
+@query("SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM nodes WHERE starts_with(file, 'vendor/') GROUP BY dir ORDER BY n DESC, dir LIMIT 3")
+def vendored_dirs(spark, d):
+    return scope.scoped(*graph_view(spark, d), None).vendored_dirs()
+
+
+@query("SELECT src, dst, relation FROM edges WHERE confidence = 'EXTRACTED'")
+def strict_edges(spark, d):
+    return scope.strict(edge_view(spark, d)).select("src", "dst", "relation")
+
+
+@query("SELECT relation, count(*) AS n FROM edges WHERE relation IN ('references', 'calls') GROUP BY relation")
+def relation_filter(spark, d):
+    return scope.of_relations(edge_view(spark, d), "types, calls").groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query(_DEGREES + ", h AS (SELECT * FROM nodes WHERE contains(lower(label), 'order 12') OR contains(lower(id), 'order 12')) SELECT id, label, type, coalesce(degree, 0) AS degree, (SELECT count(*) FROM h) AS total FROM (SELECT * FROM h ORDER BY pos LIMIT 50) LEFT JOIN deg USING (id)")
+def search_nodes(spark, d):
+    return scope.search_nodes(*graph_view(spark, d), "order 12")
+
+
+# Names ----------------------------------------------------------------------------------------------------------
+
+
+@query(", n AS (SELECT id AS name, id, pos FROM nodes UNION ALL SELECT label, id, pos FROM nodes) SELECT name, arg_min(id, (pos, id)) AS id FROM n GROUP BY name")
+def exact_index(spark, d):
+    return resolve.exact_index(node_view(spark, d))
+
+
+@query("SELECT id, label, type FROM nodes WHERE label = 'small ring' OR label = 'small ring'")
+def by_name(spark, d):
+    return resolve.by_name(node_view(spark, d), "small ring").select("id", "label", "type")
+
+
+@query(", h AS (SELECT * FROM nodes WHERE contains(lower(label), 'widget')) SELECT id, label, (SELECT count(*) FROM h) AS total FROM (SELECT * FROM h ORDER BY pos LIMIT 6)")
+def substring_matches(spark, d):
+    return resolve.substring_matches(node_view(spark, d), "Widget").select("id", "label", "total")
+
+
+@query()
+def close_matches(spark, d):
+    """No SQL: similarity by longest matching blocks."""
+    return resolve.close_matches(node_view(spark, d).where("type = 'part'"), "smal rings")
+
+
+@query(", h AS (SELECT * FROM nodes WHERE label = 'red widget') SELECT arg_min(id, pos) AS id, 'label' AS how, count(*) - 1 AS others FROM h HAVING count(*) > 0")
+def pick_node(spark, d):
+    return resolve.pick(node_view(spark, d), "red widget")
+
+
+@query("SELECT id, label, type, file, n_out, n_in, n_relations FROM nodes, (SELECT count(*) FILTER (src = 'c1') AS n_out, count(*) FILTER (dst = 'c1') AS n_in, count(DISTINCT relation) AS n_relations FROM edges WHERE src = 'c1' OR dst = 'c1') WHERE id = 'c1'")
+def node_details(spark, d):
+    return resolve.node_details(*graph_view(spark, d), "c1").select("id", "label", "type", "file", "n_out", "n_in", "n_relations")
+
+
+@query("SELECT a.file AS src_file, b.file AS dst_file, count(*) AS n FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE relation IN ('calls', 'references') AND a.file <> b.file GROUP BY ALL")
+def file_edges(spark, d):
+    return resolve.file_edges(*graph_view(spark, d), ("calls", "references"))
+
+
+@query("SELECT DISTINCT least(a.file, b.file) AS a, greatest(a.file, b.file) AS b FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE relation <> 'contains' AND a.file <> b.file")
+def linked_files(spark, d):
+    return resolve.linked_files(*graph_view(spark, d))
+
+
+def _state_edges(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("pos"), F.concat(F.lit("u"), "user_id").alias("src"), F.concat(F.lit("t"), "event_type", F.lit("-"), F.col("event_id") % 7).alias("dst"), F.when(F.col("value") > 150, "writes").otherwise("reads").alias("relation"))
+
+
+_STATE = "WITH edges AS (SELECT event_id AS pos, 'u' || user_id AS src, 't' || event_type || '-' || event_id % 7 AS dst, CASE WHEN value > 150 THEN 'writes' ELSE 'reads' END AS relation FROM events), touch AS (SELECT src AS definition, dst AS state, bool_or(relation = 'writes') AS writes, bool_or(relation = 'reads') AS reads FROM edges GROUP BY ALL) "
+
+
+@query(_STATE + "SELECT * FROM touch", view=False)
+def state_touches(spark, d):
+    return resolve.touches(_state_edges(spark, d))
+
+
+@query(
+    _STATE
+    + """SELECT o.state, o.definition, CASE WHEN m.writes AND o.writes THEN 'both_write' WHEN m.writes THEN 'reads_mine' ELSE 'writes_mine' END AS effect
+FROM touch o JOIN touch m ON o.state = m.state AND m.definition = 'u1' AND o.definition <> 'u1' WHERE m.writes OR o.writes ORDER BY o.state, o.definition LIMIT 15""",
+    view=False,
+)
+def state_neighbours(spark, d):
+    return resolve.state_neighbours(_state_edges(spark, d), "u1")
+
+
+@query(_STATE + "SELECT relation, count(*) AS n FROM (SELECT relation FROM edges UNION ALL SELECT 'written_by' FROM edges WHERE relation = 'writes') GROUP BY relation", view=False)
+def written_by(spark, d):
+    return resolve.with_written_by(_state_edges(spark, d)).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT src AS owner, dst AS member FROM edges WHERE relation = 'contains'")
+def members(spark, d):
+    return resolve.members(edge_view(spark, d))
+
+
+@query("SELECT src, dst, relation, min(pos) AS pos, arg_min(confidence, CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END) AS confidence, count(*) AS n FROM edges GROUP BY src, dst, relation")
+def merge_edges(spark, d):
+    return resolve.merge_edges(edge_view(spark, d))
+
+
+@query("SELECT o_custkey AS custkey, o_orderkey AS orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1", view=False)
+def dedupe_first(spark, d):
+    return resolve.first_by(table(spark, d, "orders"), ["o_custkey"], F.desc("o_totalprice"), F.asc("o_orderkey")).select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
+
+
+def _urls(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("call"), F.lit(None).cast("string").alias("method"), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(url, "://([^/?#]*)", 1).alias("file"))
+
+
+_ROUTES = [("any", "ANY", "/{}/{}", "x"), ("english", "GET", "/en/{}", "y"), ("one", "GET", "/en/474", "z"), ("other", "POST", "/fr/{}/{}", "z")]
+
+
+@query(
+    """WITH c AS (SELECT CAST(page_id AS VARCHAR) AS call, string_split(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/|/$', '', 'g'), '/') AS s FROM pages),
+m AS (SELECT call, 'any' AS route, 0 AS score FROM c WHERE len(s) = 2 UNION ALL SELECT call, 'english', 2 FROM c WHERE len(s) = 2 AND s[1] = 'en' UNION ALL SELECT call, 'one', 4 FROM c WHERE len(s) = 2 AND s[1] = 'en' AND s[2] = '474' UNION ALL SELECT call, 'other', 2 FROM c WHERE len(s) = 3 AND s[1] = 'fr')
+SELECT call, route, score, 'INFERRED' AS confidence FROM (SELECT *, rank() OVER (PARTITION BY call ORDER BY score DESC) AS r FROM m) WHERE r = 1""",
+    view=False,
+)
+def link_calls(spark, d):
+    routes = spark.createDataFrame(_ROUTES, "route string, verb string, pattern string, route_file string")
+    return spans.link_calls(_urls(spark, d), routes)
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS call, 'external' AS kind, CAST(NULL AS VARCHAR) AS path FROM pages", view=False)
+def request_paths(spark, d):
+    r = spans.request_path(F.col("url"))
+    return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("call"), r["kind"].alias("kind"), r["path"].alias("path"))
+
+
+# Walks ----------------------------------------------------------------------------------------------------------
+
+_BOTH = ", both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
+
+
+def _seed(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+@query(", h AS (SELECT 'r0' AS id, 0 AS distance UNION SELECT dst, distance + 1 FROM h JOIN edges ON src = id WHERE distance < 3) SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM h GROUP BY id")
+def hop_distances(spark, d):
+    return traverse.hop_distances(edge_view(spark, d), _seed(spark, "r0"), 3)
+
+
+@query(_BOTH + ", h AS (SELECT 's1' AS id, 0 AS distance UNION SELECT b, distance + 1 FROM h JOIN both_ways ON a = id WHERE distance < 2) SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM h GROUP BY id")
+def hop_distances_both(spark, d):
+    return traverse.hop_distances(edge_view(spark, d), _seed(spark, "s1"), 2, "both")
+
+
+@query(
+    """, e AS (SELECT src, dst, pos, relation FROM edges WHERE relation = 'contains'),
+h AS (SELECT 'r0' AS id, 0 AS distance, CAST(NULL AS VARCHAR) AS via, CAST(NULL AS VARCHAR) AS relation UNION ALL SELECT e.dst, h.distance + 1, h.id, e.relation FROM h JOIN e ON e.src = h.id WHERE h.distance < 3)
+SELECT id, CAST(distance AS INTEGER) AS distance, via, relation FROM h"""
+)
+def hop_records(spark, d):
+    """Over containment, a tree, in which the discovering edge is the only one; tests have other graphs."""
+    e = edge_view(spark, d).where("relation = 'contains'")
+    return traverse.hop_records(e, spark.createDataFrame([("r0", 0)], "id string, rank long"), 3).select("id", "distance", "via", "relation")
+
+
+@query(", t AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 7) SELECT CAST(0 AS BIGINT) AS step, 'r' || r AS id FROM t UNION ALL SELECT 1, 'n' || n FROM t UNION ALL SELECT 2, 'c7' FROM t")
+def shortest_path(spark, d):
+    region = table(spark, d, "customer").where("c_custkey = 7").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first().n_regionkey
+    return traverse.shortest_path(edge_view(spark, d), f"r{region}", "c7", 4)
+
+
+@query(", h AS (SELECT 'r0' AS id, 0 AS distance UNION SELECT dst, distance + 1 FROM h JOIN edges ON src = id WHERE distance < 2) SELECT count(DISTINCT dst) AS beyond FROM edges WHERE src IN (SELECT id FROM h) AND dst NOT IN (SELECT id FROM h)")
+def beyond_hops(spark, d):
+    e = edge_view(spark, d)
+    return traverse.beyond(e, traverse.hop_distances(e, _seed(spark, "r0"), 2))
+
+
+_NEIGHBOURS = ", near AS (SELECT dst AS id, relation, 'out' AS direction FROM edges WHERE src = 's1' UNION SELECT src, relation, 'in' FROM edges WHERE dst = 's1')"
+
+
+@query(_DEGREES + _NEIGHBOURS + "SELECT id, relation, direction, degree, coalesce(starts_with(file, 'tests/'), false) AS test FROM near JOIN deg USING (id) LEFT JOIN nodes USING (id) ORDER BY test, degree DESC, id, relation, direction LIMIT 200")
+def neighbours(spark, d):
+    return traverse.neighbours(*graph_view(spark, d), "s1")
+
+
+@query(_NEIGHBOURS + "SELECT relation, direction, count(*) AS n FROM near GROUP BY ALL")
+def neighbour_tally(spark, d):
+    return traverse.neighbour_tally(edge_view(spark, d), "s1")
+
+
+@query(
+    _BOTH
+    + """, h AS (SELECT 'c1' AS id, 0 AS distance UNION SELECT b, distance + 1 FROM h JOIN both_ways ON a = id WHERE distance < 2),
+dist AS (SELECT id, min(distance) AS distance FROM h GROUP BY id),
+m AS (SELECT arg_min({'src': src, 'dst': dst}, pos) AS e, relation, min(least(a.distance, b.distance)) AS distance FROM edges JOIN dist a ON src = a.id JOIN dist b ON dst = b.id WHERE least(a.distance, b.distance) < 2 GROUP BY least(src, dst), greatest(src, dst), relation),
+r AS (SELECT e.src AS src, e.dst AS dst, relation, CAST(distance AS INTEGER) AS distance, length(e.src) + length(e.dst) + length(relation) + 42 AS s FROM m)
+SELECT src, dst, relation, distance FROM (SELECT *, 98 + sum(s) OVER w - s AS before, row_number() OVER w AS n FROM r WINDOW w AS (ORDER BY distance, src, dst, relation)) WHERE n = 1 OR before / 3.5 < 1500"""
+)
+def subgraph(spark, d):
+    return traverse.subgraph(*graph_view(spark, d), "c1")
+
+
+_CARRIED = ", carried AS (SELECT src, dst FROM edges WHERE relation IN ('calls', 'references')), own AS (SELECT 'n1' AS id UNION SELECT dst FROM edges WHERE src = 'n1' AND relation = 'contains')"
+_IMPACT = (
+    _DEGREES
+    + _CARRIED
+    + """, hin AS (SELECT id, 0 AS distance FROM own UNION SELECT src, distance + 1 FROM hin JOIN carried ON dst = id WHERE distance < 3),
+hout AS (SELECT id, 0 AS distance FROM own UNION SELECT dst, distance + 1 FROM hout JOIN carried ON src = id WHERE distance < 3),
+hits AS (SELECT id, min(distance) AS distance, 'in' AS direction FROM hin GROUP BY id UNION ALL SELECT id, min(distance), 'out' FROM hout GROUP BY id),
+best AS (SELECT id, min((distance, direction)) AS b FROM hits WHERE distance > 0 GROUP BY id),
+rows AS (SELECT id, CAST(b[1] AS INTEGER) AS distance, b[2] AS direction, coalesce(degree, 0) AS degree, coalesce(starts_with(file, 'tests/'), false) AS test, coalesce(label, id) AS label FROM best LEFT JOIN deg USING (id) LEFT JOIN nodes USING (id))
+"""
+)
+
+
+@query(_IMPACT + "SELECT * FROM rows")
+def impact(spark, d):
+    return traverse.impact(*graph_view(spark, d), "n1", "both")
+
+
+@query(_IMPACT + "SELECT id, distance, direction, degree, test, label FROM (SELECT *, sum(length(id) + length(label) + 62) OVER w AS s, row_number() OVER w AS n FROM rows WINDOW w AS (ORDER BY distance, test, degree DESC, label, id)) WHERE n = 1 OR (98 + s) / 3.5 < 1500")
+def impact_budget(spark, d):
+    return traverse.impact(*graph_view(spark, d), "n1", "both", budget=1500)
+
+
+@query(
+    """, e AS (SELECT DISTINCT dst AS src, src AS dst FROM edges WHERE relation = 'references'), t AS (SELECT id, starts_with(file, 'tests/') AS test FROM nodes),
+callers AS (SELECT DISTINCT e.src AS id, test FROM e JOIN t ON e.src = t.id WHERE e.dst = 's1'),
+calls_in AS (SELECT DISTINCT e.src AS id FROM e JOIN callers c ON e.dst = c.id AND NOT c.test JOIN t ON e.src = t.id AND t.test WHERE e.src <> 's1')
+SELECT id, 'direct' AS tier FROM callers WHERE test UNION ALL SELECT id, 'through' FROM calls_in WHERE id NOT IN (SELECT id FROM callers WHERE test)"""
+)
+def tests_for(spark, d):
+    nodes, edges = graph_view(spark, d)
+    turned = edges.where("relation = 'references'").select("pos", F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "confidence")
+    return traverse.tests_for(nodes, turned, "s1")
+
+
+@query(", h AS (SELECT src, dst, 1 AS distance FROM edges WHERE relation = 'contains' UNION SELECT h.src, e.dst, distance + 1 FROM h JOIN edges e ON e.src = h.dst AND e.relation = 'contains' WHERE distance < 3) SELECT src, dst, CAST(min(distance) AS INTEGER) AS distance FROM h GROUP BY src, dst")
+def containment_closure(spark, d):
+    return traverse.closure(edge_view(spark, d).where("relation = 'contains'"), 3)
+
+
+# Cycles ---------------------------------------------------------------------------------------------------------
+
+_NEXT = "WITH RECURSIVE " + NEXT_PART_SQL.format(above=48)
+_SCC = (
+    _NEXT
+    + """, e AS (SELECT DISTINCT src, dst FROM next_part WHERE src <> dst),
+reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src),
+scc AS (SELECT a.src AS id, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1)"""
+)
+
+
+@query(_SCC + "SELECT id, component FROM scc", view=False)
+def strong_components(spark, d):
+    return cycles.strong_components(next_part_edges(spark, d, 48))
+
+
+@query(_SCC + ", sizes AS (SELECT component, count(*) AS size FROM scc GROUP BY component) SELECT component, any_value(size) AS size, count(*) AS edges FROM e JOIN scc a ON e.src = a.id JOIN scc b ON e.dst = b.id AND a.component = b.component JOIN sizes s ON s.component = a.component GROUP BY a.component".replace("SELECT component, any_value", "SELECT a.component AS component, any_value"), view=False)
+def cycle_groups(spark, d):
+    return cycles.cycle_groups(next_part_edges(spark, d, 48))
+
+
+@query(_NEXT + "SELECT src AS id, count(*) AS n FROM next_part WHERE src = dst GROUP BY src", view=False)
+def self_loops(spark, d):
+    return cycles.self_loops(next_part_edges(spark, d, 48))
+
+
+@query()
+def cycle_path(spark, d):
+    """No SQL: which of several shortest loops is found depends on the walk's order."""
+    edges = next_part_edges(spark, d, 48)
+    groups = cycles.strong_components(edges)
+    first = groups.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
+    if first is None:
+        return spark.createDataFrame([], "step long, id string")
+    return cycles.cycle_path(edges, groups.where(F.col("component") == first.component), first.component)
+
+
+@query()
+def tiered_cycles(spark, d):
+    """No SQL: signatures of member sets are sums of hashes."""
+    e = next_part_edges(spark, d, 48).withColumn("runs", F.when(F.col("pos") % 3 == 0, "deferred").when(F.col("pos") % 7 == 0, "type-checking").otherwise("module-level"))
+    return cycles.tiered_cycles(e).select("tier", "component", "size", "signature")
+
+
+# Reviews --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, type, file FROM nodes WHERE id NOT IN (SELECT dst FROM edges WHERE relation <> 'contains' AND src <> dst)")
+def unreferenced(spark, d):
+    return review.unreferenced(*graph_view(spark, d)).select("id", "type", "file")
+
+
+_WORDS = ("the", "and", "que", "der", "theaea", "und")
+
+
+@query(
+    """WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(regexp_extract_all(text, '\\.?[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM documents)
+SELECT ltrim(w, '.') AS name, file, count(*) AS n, count(*) FILTER (starts_with(w, '.')) AS attributes FROM w WHERE ltrim(w, '.') IN ('the', 'and', 'que', 'der', 'theaea', 'und') GROUP BY ALL""",
+    view=False,
+)
+def count_mentions(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return review.count_mentions(texts, spark.createDataFrame([(w,) for w in _WORDS], "name string"))
+
+
+@query(", u AS (SELECT dst AS id, count(DISTINCT src) AS k FROM edges WHERE relation = 'imports' GROUP BY dst) SELECT label AS name, '' AS kind, count(DISTINCT file) AS files, count(DISTINCT id) AS definitions, CAST(coalesce(sum(k), 0) AS BIGINT) AS imported_by FROM nodes LEFT JOIN u USING (id) GROUP BY label HAVING count(DISTINCT file) >= 2")
+def same_named(spark, d):
+    return review.same_named(*graph_view(spark, d))
+
+
+@query("WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents) SELECT sha1(t) AS fingerprint, count(*) AS copies, min(id) AS first, CAST(max(length(t)) AS BIGINT) AS size FROM b WHERE length(t) >= 1 GROUP BY t HAVING count(*) >= 2", view=False)
+def identical_bodies(spark, d):
+    return review.identical_bodies(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")))
+
+
+_RULES = {"geo": ["catalog"], "geo/ASIA": ["geo"], "orders": ["geo/EUROPE", "catalog/Brand#1"], "catalog": ["*"]}
+
+
+@query(
+    """, fe AS (SELECT DISTINCT a.file AS src_file, b.file AS dst_file FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE relation IN ('calls', 'references') AND a.file <> b.file),
+l AS (SELECT *, CASE WHEN starts_with(src_file, 'geo/ASIA/') OR src_file = 'geo/ASIA' THEN 'geo/ASIA' WHEN starts_with(src_file, 'geo/') THEN 'geo' WHEN starts_with(src_file, 'orders/') THEN 'orders' WHEN starts_with(src_file, 'catalog/') THEN 'catalog' END AS from_layer,
+  CASE WHEN starts_with(dst_file, 'geo/ASIA/') OR dst_file = 'geo/ASIA' THEN 'geo/ASIA' WHEN starts_with(dst_file, 'geo/') THEN 'geo' WHEN starts_with(dst_file, 'orders/') THEN 'orders' WHEN starts_with(dst_file, 'catalog/') THEN 'catalog' END AS to_layer FROM fe)
+SELECT * FROM l WHERE from_layer IS NOT NULL AND to_layer IS NOT NULL AND from_layer <> to_layer AND NOT CASE from_layer WHEN 'geo' THEN starts_with(dst_file, 'catalog/') WHEN 'geo/ASIA' THEN starts_with(dst_file, 'geo/') WHEN 'orders' THEN starts_with(dst_file, 'geo/EUROPE/') OR starts_with(dst_file, 'catalog/Brand#1/') ELSE true END"""
+)
+def layer_violations(spark, d):
+    return review.layer_violations(resolve.file_edges(*graph_view(spark, d), ("calls", "references")), _RULES)
+
+
+def _commits(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("commit"), F.concat(F.lit("s"), "l_suppkey").alias("file"))
+
+
+_COCHANGE = """WITH cf AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS c, 's' || l_suppkey AS file FROM lineitem), ok AS (SELECT c FROM cf GROUP BY c HAVING count(*) <= 30), s AS (SELECT * FROM cf WHERE c IN (SELECT c FROM ok)),
+revs AS (SELECT file, count(*) AS revs FROM s GROUP BY file),
+p AS (SELECT x.file AS a, y.file AS b, count(*) AS shared FROM s x JOIN s y ON x.c = y.c AND x.file < y.file GROUP BY ALL HAVING count(*) >= 3),
+pairs AS (SELECT a, b, shared, 2.0::DOUBLE * shared / (ra.revs + rb.revs) AS degree FROM p JOIN revs ra ON a = ra.file JOIN revs rb ON b = rb.file WHERE 2.0::DOUBLE * shared / (ra.revs + rb.revs) >= 0.05),
+linked AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT 's' || l_suppkey AS x, 's' || l_partkey % 100 AS y FROM lineitem WHERE l_quantity > 45) WHERE x <> y)
+"""
+
+
+def _linked(spark, d):
+    li = table(spark, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("s"), "l_suppkey").alias("x"), F.concat(F.lit("s"), F.col("l_partkey") % 100).alias("y"))
+    return li.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+@query(_COCHANGE + "SELECT a, b, shared, degree FROM pairs", view=False)
+def co_change(spark, d):
+    return review.co_change(_commits(spark, d), least_degree=0.05)
+
+
+@query(_COCHANGE + "SELECT a, b, shared, degree FROM pairs ANTI JOIN linked USING (a, b)", view=False)
+def hidden_co_change(spark, d):
+    return review.hidden_co_change(review.co_change(_commits(spark, d), least_degree=0.05), _linked(spark, d))
+
+
+@query(_COCHANGE + "SELECT CASE WHEN p.a = 's1' THEN p.b ELSE p.a END AS partner, shared, degree, l.a IS NOT NULL AS linked FROM pairs p LEFT JOIN linked l ON p.a = l.a AND p.b = l.b WHERE p.a = 's1' OR p.b = 's1' ORDER BY degree DESC, shared DESC, partner LIMIT 5", view=False)
+def co_change_partners(spark, d):
+    return review.partners(review.co_change(_commits(spark, d), least_degree=0.05), _linked(spark, d), "s1")
+
+
+@query(
+    _STATE
+    + """, f AS (SELECT 'u' || user_id AS definition, 'd' || user_id % 5 || '/f' || user_id % 20 AS file, user_id % 3 AS community FROM (SELECT DISTINCT user_id FROM events)),
+o AS (SELECT t.*, file, community FROM touch t JOIN f USING (definition))
+SELECT w.state, w.definition AS writer, o.definition AS other, CAST(1 + CASE WHEN split_part(w.file, '/', 1) <> split_part(o.file, '/', 1) THEN 2 ELSE 0 END + CASE WHEN w.community IS DISTINCT FROM o.community THEN 1 ELSE 0 END AS BIGINT) AS score
+FROM o w JOIN o ON w.state = o.state AND w.writes AND w.file <> o.file AND (NOT o.writes OR w.definition < o.definition)""",
+    view=False,
+)
+def shared_state(spark, d):
+    u = table(spark, d, "events").select("user_id").distinct()
+    files = u.select(F.concat(F.lit("u"), "user_id").alias("id"), F.concat(F.lit("d"), F.col("user_id") % 5, F.lit("/f"), F.col("user_id") % 20).alias("file"), (F.col("user_id") % 3).alias("community"))
+    return review.shared_state(resolve.touches(_state_edges(spark, d)), files)
+
+
+_SURPRISES = (
+    _DEGREES
+    + """, n AS (SELECT nodes.*, degree, string_split(file, '/')[:-2] AS dirs FROM nodes LEFT JOIN deg USING (id)),
+m AS (SELECT e.*, s.file AS sf, t.file AS tf, s.dirs AS sd, t.dirs AS td, s.community AS sc, t.community AS tc, least(s.degree, t.degree) AS lo, greatest(s.degree, t.degree) AS hi,
+  CASE WHEN s.dirs[1] <> t.dirs[1] THEN 0 WHEN s.dirs[2] IS NULL OR t.dirs[2] IS NULL OR s.dirs[2] <> t.dirs[2] THEN 1 WHEN s.dirs[3] IS NULL OR t.dirs[3] IS NULL OR s.dirs[3] <> t.dirs[3] THEN 2 ELSE 3 END AS k
+  FROM edges e JOIN n s ON src = s.id JOIN n t ON dst = t.id WHERE relation <> 'contains' AND s.file <> t.file),
+x AS (SELECT src, dst, relation, sf, tf, CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE WHEN sd[1] <> td[1] THEN 2 WHEN len(sd) + len(td) - 2 * k >= 2 THEN 1 ELSE 0 END
+  + CASE WHEN sc <> tc THEN 1 ELSE 0 END + CASE WHEN lo <= 2 AND hi >= 5 AND hi < 60 THEN 1 ELSE 0 END AS score FROM m),
+best AS (SELECT src, dst, relation, CAST(max(score) AS BIGINT) AS score FROM x GROUP BY ALL)
+"""
+)
+
+
+@query(_SURPRISES + "SELECT *, CASE WHEN score >= 5 THEN 'strong' WHEN score >= 3 THEN 'moderate' ELSE 'weak' END AS strength FROM best")
+def surprises(spark, d):
+    return review.surprises(*graph_view(spark, d), 60)
+
+
+@query()
+def diverse_surprises(spark, d):
+    """No SQL: a greedy pass in which a row that the cap turns away leaves its pair of files free."""
+    nodes, edges = graph_view(spark, d)
+    file = nodes.select("id", "file")
+    rows = review.surprises(nodes, edges, 60).join(file.select(F.col("id").alias("src"), F.col("file").alias("src_file")), "src").join(file.select(F.col("id").alias("dst"), F.col("file").alias("dst_file")), "dst")
+    return review.diverse(rows.select("src", "dst", "src_file", "dst_file", "score"))
+
+
+# Positions ------------------------------------------------------------------------------------------------------
+
+
+def _spans(spark, d):
+    o = table(spark, d, "orders")
+    start = (F.col("o_orderkey") % 3000).cast("int")
+    return o.select(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("file"), start.alias("region_start"), (start + F.col("o_orderkey") % 97).cast("int").alias("end_line"), (start + 1).alias("def_line"), F.concat(F.lit("o"), "o_orderkey").alias("qualname"))
+
+
+def _places(spark, d):
+    line = (F.col("p_partkey") * 7 % 3100).cast("int")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("place"), F.concat(F.lit("f"), F.col("p_partkey") % 50).alias("file"), line.alias("line"), (line + F.col("p_size")).alias("end"))
+
+
+_POSITIONS = """WITH s AS (SELECT 'f' || o_custkey % 50 AS file, o_orderkey % 3000 AS region_start, o_orderkey % 3000 + o_orderkey % 97 AS end_line, o_orderkey % 3000 + 1 AS def_line, 'o' || o_orderkey AS qualname FROM orders),
+p AS (SELECT p_partkey AS place, 'f' || p_partkey % 50 AS file, p_partkey * 7 % 3100 AS line, p_partkey * 7 % 3100 + p_size AS "end" FROM part)
+"""
+
+
+@query(_POSITIONS + "SELECT place, qualname FROM p JOIN s ON p.file = s.file AND region_start <= line AND line <= end_line", view=False)
+def enclosing_spans(spark, d):
+    return spans.enclosing(_spans(spark, d), _places(spark, d)).select("place", "qualname")
+
+
+@query(_POSITIONS + "SELECT place, qualname FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY end_line - region_start, def_line DESC, qualname) AS r FROM p JOIN s ON p.file = s.file AND region_start <= line AND line <= end_line) WHERE r = 1", view=False)
+def innermost_span(spark, d):
+    return spans.innermost(_spans(spark, d), _places(spark, d), ["place"]).select("place", "qualname")
+
+
+@query(
+    _POSITIONS
+    + """, x AS (SELECT place, (SELECT arg_max(qualname, (def_line, -CAST(substr(qualname, 2) AS BIGINT))) FROM s WHERE s.file = p.file AND def_line <= line) AS b, line, "end", p.file FROM p),
+l AS (SELECT x.place, any_value(x.line) AS line, any_value(x."end") AS "end", max(CASE WHEN def_line <= x.line THEN def_line END) AS bl, min(CASE WHEN def_line > x.line THEN def_line END) AS al, any_value(x.file) AS file FROM x LEFT JOIN s ON s.file = x.file GROUP BY x.place)
+SELECT place, (SELECT min(qualname) FROM s WHERE s.file = l.file AND def_line = coalesce(bl, al)) AS id, CASE WHEN bl IS NOT NULL THEN 'before' WHEN al <= "end" THEN 'inside' WHEN al IS NOT NULL THEN 'nearest' END AS how FROM l""",
+    view=False,
+)
+def nearest_definition(spark, d):
+    defs = _spans(spark, d).select(F.col("qualname").alias("id"), "file", F.col("def_line").alias("line"))
+    return spans.nearest_definition(defs, _places(spark, d), ["place"]).select("place", "id", "how")
+
+
+@query(
+    _POSITIONS
+    + """SELECT place, cid, overlap FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY exact DESC, overlap DESC, cid) AS r FROM (
+SELECT place, qualname AS cid, CAST(least("end", end_line) - greatest(line, region_start) + 1 AS INTEGER) AS overlap, line = region_start AND "end" = end_line AS exact FROM p JOIN s ON p.file = s.file AND least("end", end_line) >= greatest(line, region_start))) WHERE r = 1""",
+    view=False,
+)
+def best_overlap(spark, d):
+    chunks = _spans(spark, d).select(F.col("qualname").alias("cid"), "file", F.col("region_start").alias("start_line"), "end_line")
+    return spans.best_overlap(chunks, _places(spark, d).withColumnRenamed("line", "start"), ["place"]).select("place", "cid", F.col("overlap").cast("int").alias("overlap"))
