@@ -28,7 +28,7 @@ RANK = 8
 EPOCHS = 12
 CUT = 0.3
 PREFIXES = range(3, 7)
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -105,8 +105,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
         import pyarrow as pa
 
         for batch in batches:
-            found = [sorted({t for w in text_words(x.as_py() or b"") for t in word_terms(w)}) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["y", "terms"])
+            for at in range(0, batch.num_rows, 256):  # terms take more room than the text
+                part = batch.slice(at, 256)
+                found = [np.fromiter({t for w in text_words(x.as_py() or b"") for t in word_terms(w)}, np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(x) for x in found], pa.list_(pa.int64()))], names=["y", "terms"])
 
     met = docs.select(F.col("doc_id").cast("long").alias("k"), text_bytes().alias("data")).join(F.broadcast(own), "k").select("y", "data")  # at most ``sample`` rows
     rows = written(met.mapInArrow(terms_of, "y int, terms array<long>"), "terms")
@@ -128,6 +130,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
     return train([np.array(x, np.int64) for _, x in sampled], np.array([y for y, _ in sampled], float), terms)
 
 
+class Scorer:
+    """Scores texts by a machine; remembers the terms of words that it has met."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.known = machine, {}
+        self.place = {int(t): i for i, t in enumerate(machine.terms)}
+
+    def __call__(self, data: bytes) -> float:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        places: set[int] = set()
+        for w in text_words(data):
+            own = self.known.get(w)
+            if own is None:
+                own = self.known[w] = tuple(self.place[t] for t in word_terms(w) if t in self.place)
+            if own:
+                places.update(own)
+        return self.machine.score(np.array(sorted(places), np.int64))
+
+
 def scores(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
@@ -138,31 +160,27 @@ def scores(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
     def of(batches):
         import pyarrow as pa
 
-        place = {int(t): i for i, t in enumerate(machine.terms)}
-        known: dict[str, tuple] = {}
+        score = Scorer(machine)
         for batch in batches:
-            if len(known) > REMEMBERED:
-                known = {}
-            out = []
-            for x in batch.column(1):
-                places: set[int] = set()
-                for w in text_words(x.as_py() or b""):
-                    own = known.get(w)
-                    if own is None:
-                        own = known[w] = tuple(place[t] for t in word_terms(w) if t in place)
-                    if own:
-                        places.update(own)
-                out.append(machine.score(np.array(sorted(places), np.int64)))
+            out = [score(x.as_py() or b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).mapInArrow(of, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id has no text predicted toxic."""
-    bad = scores(docs, learn(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text isn't predicted toxic; one pass over the rows, no join."""
+    machine, at = learn(docs, labels), docs.columns.index("text")
+
+    def of(batches):
+        import pyarrow as pa
+
+        score = Scorer(machine)
+        for batch in batches:
+            yield batch.filter(pa.array([score(x.as_py() or b"") < cut for x in batch.column(at).cast(pa.binary())], pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
