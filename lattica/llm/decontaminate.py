@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         import pyarrow as pa
 
         get = vocabulary.get
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             n, terms, sizes, positions = [], [], [], []
             for x in batch.column(2):
                 own = words(x.as_py() or b"")
