@@ -28,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 NULL_ID = -(2**63)
 #: Words that a worker remembers with their ids, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
 #: Control characters at which Python splits words but the tokenizer's pattern doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, WordEncoder] = {}
@@ -78,18 +78,18 @@ class WordEncoder:
         try:
             return b"".join(map(self.young.__getitem__, words))
         except KeyError:
-            self._learn(set(words))
+            new = set(words).difference(self.young)
+            if len(self.young) + len(new) > REMEMBERED:
+                self.old, self.young, new = self.young, {}, set(words)
+            self._learn(new)
             return b"".join(map(self.young.__getitem__, words))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        """Remembers words that the young generation hasn't."""
         young, old = self.young, self.old
         letters, later = set(), []
         for w in words:
-            if w in young:
-                continue
-            if (known := old.get(w)) is not None:
+            if (known := old.pop(w, None)) is not None:
                 young[w] = known
                 continue
             stem = w.rstrip(".,")
@@ -105,7 +105,10 @@ class WordEncoder:
             ids = np.asarray(self._ids(" ".join(stems)), self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(stems):
-                young.update(zip(stems, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                data, at = ids.tobytes(), 0
+                for stem, end in zip(stems, (cuts * self.dtype.itemsize).tolist()):
+                    young[stem] = data[at:end]
+                    at = end
             else:
                 young.update((s, self._bytes(s)) for s in stems)
         for w, stem in later:
