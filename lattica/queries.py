@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cycles, degree, resolve, review, scope, spans, traverse
+from .operators import communities, cycles, degree, resolve, review, scope, search, spans, traverse
+from .sources import graph_json
 from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, next_part_edges, node_view, table
+from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -589,3 +591,195 @@ SELECT place, qualname AS cid, CAST(least("end", end_line) - greatest(line, regi
 def best_overlap(spark, d):
     chunks = _spans(spark, d).select(F.col("qualname").alias("cid"), "file", F.col("region_start").alias("start_line"), "end_line")
     return spans.best_overlap(chunks, _places(spark, d).withColumnRenamed("line", "start"), ["place"]).select("place", "cid", F.col("overlap").cast("int").alias("overlap"))
+
+
+# Search ---------------------------------------------------------------------------------------------------------
+
+_TERMS = ["the", "theaea", "ed", "que", "notthere"]
+
+
+def _chunks(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("source").alias("name"), F.concat("lang", F.lit("/"), "source").alias("path"), F.col("text").alias("body"))
+
+
+_INDEX = """WITH c AS (SELECT doc_id AS cid, source AS name, lang || '/' || source AS path, coalesce(text, '') AS body FROM documents),
+w AS (SELECT cid, 'name' AS f, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS term FROM c UNION ALL SELECT cid, 'path', unnest(regexp_extract_all(lower(path), '[a-z]+')) FROM c UNION ALL SELECT cid, 'body', unnest(regexp_extract_all(lower(body), '[a-z]+')) FROM c),
+postings AS (SELECT term, cid, count(*) FILTER (f = 'name') AS tf_name, count(*) FILTER (f = 'path') AS tf_path, count(*) FILTER (f = 'body') AS tf_body FROM w GROUP BY ALL),
+lengths AS (SELECT cid, len(regexp_extract_all(lower(name), '[a-z]+')) AS l_name, len(regexp_extract_all(lower(path), '[a-z]+')) AS l_path, len(regexp_extract_all(lower(body), '[a-z]+')) AS l_body FROM c),
+avgs AS (SELECT count(*) AS n, greatest(1, avg(l_name)) AS an, greatest(1, avg(l_path)) AS ap, greatest(1, avg(l_body)) AS ab FROM lengths)
+"""
+_BM25 = (
+    _INDEX
+    + """, q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM postings WHERE term IN ('the', 'theaea', 'ed', 'que', 'notthere')),
+s AS (SELECT q.cid, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, 4.0::DOUBLE * tf_name / (0.7::DOUBLE + 0.3::DOUBLE * l_name / an) + 1.5::DOUBLE * tf_path / (0.7::DOUBLE + 0.3::DOUBLE * l_path / ap) + tf_body / (0.25::DOUBLE + 0.75::DOUBLE * l_body / ab) AS tf FROM q JOIN lengths USING (cid), avgs),
+scored AS (SELECT cid, sum(idf * tf / (1.2::DOUBLE + tf)) AS score, count(*) AS matched FROM s GROUP BY cid)
+"""
+)
+_RANKED = (
+    _BM25
+    + """, top AS (SELECT cid, path, score FROM scored JOIN c USING (cid) ORDER BY score DESC, cid LIMIT 100),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, cid) AS r, sum(score) OVER (PARTITION BY path) AS total FROM top),
+lexical AS (SELECT cid, path, CASE WHEN r = 1 THEN score + 0.2::DOUBLE * (total - score) ELSE score END * pow(0.4::DOUBLE, r - 1) AS score FROM ranked)
+"""
+)
+_NEAREST = "SELECT vec_id AS id, list_dot_product(CAST(embedding AS DOUBLE[]), q) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(q, q)) AS score FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 3)"
+
+
+@query(_INDEX + "SELECT term, cid, tf_name, tf_path, tf_body FROM postings", view=False)
+def text_index(spark, d):
+    return search.index(_chunks(spark, d), search.plain_terms)[0]
+
+
+@query(_BM25 + "SELECT cid, round(score, 6) AS score, matched FROM scored", view=False)
+def bm25_scores(spark, d):
+    return search.bm25f(*search.index(_chunks(spark, d), search.plain_terms), _TERMS).select("cid", F.round("score", 6).alias("score"), "matched")
+
+
+def _lexical(spark, d):
+    chunks = _chunks(spark, d)
+    return search.rerank(search.bm25f(*search.index(chunks, search.plain_terms), _TERMS), chunks)
+
+
+@query(_RANKED + "SELECT cid, path, round(score, 6) AS score FROM lexical", view=False)
+def search_ranked(spark, d):
+    return _lexical(spark, d).select("cid", "path", F.round("score", 6).alias("score"))
+
+
+def _near(spark, d, k):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return search.top_k(vectors, vectors.where("id = 3").first().embedding, k)
+
+
+@query("SELECT id, round(score, 6) AS score FROM (" + _NEAREST + ") ORDER BY score DESC, id LIMIT 10", view=False)
+def vector_top_k(spark, d):
+    return _near(spark, d, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    _RANKED
+    + ", dense AS (" + _NEAREST + " ORDER BY score DESC, id LIMIT 50), x AS (SELECT cid, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, cid)) AS s FROM (SELECT * FROM lexical ORDER BY score DESC, cid LIMIT 50) UNION ALL SELECT id, 0.3::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM dense) SELECT cid, round(sum(s), 9) AS score FROM x GROUP BY cid",
+    view=False,
+)
+def search_fused(spark, d):
+    dense = _near(spark, d, 50).select(F.col("id").alias("cid"), "score")
+    return search.fuse(_lexical(spark, d), dense, (1.0, 0.3)).select("cid", F.round("score", 9).alias("score"))
+
+
+@query()
+def related_chunks(spark, d):
+    """No SQL: candidates are cut by sums whose last digits depend on their order; tests compare with brute force."""
+    return search.related(search.index(_chunks(spark, d), search.plain_terms)[0], 1).select("cid", F.round("score", 6).alias("score"))
+
+
+@query()
+def code_terms(spark, d):
+    """No SQL: the parts of identifiers need a look-ahead that DuckDB's patterns haven't."""
+    terms = table(spark, d, "documents").select(F.explode(search.code_terms(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
+
+
+# Communities ----------------------------------------------------------------------------------------------------
+
+_WEIGHTS = """, inner_nodes AS (SELECT id, file, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, split_part(file, '/', 1) AS top, starts_with(file, 'tests/') AS test FROM nodes WHERE NOT external),
+weights AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE relation WHEN 'contains' THEN 1.5::DOUBLE WHEN 'references' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN confidence = 'INFERRED' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END
+  * CASE WHEN s.file = t.file THEN 1.0::DOUBLE WHEN s.dir = t.dir THEN 1.25::DOUBLE WHEN s.top <> t.top THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN s.test <> t.test THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END) AS weight
+  FROM edges JOIN inner_nodes s ON src = s.id JOIN inner_nodes t ON dst = t.id WHERE src <> dst GROUP BY ALL),
+member AS (SELECT id, community FROM nodes WHERE community IS NOT NULL)
+"""
+
+
+def _member(nodes):
+    return nodes.where("community is not null").select("id", "community")
+
+
+@query(_WEIGHTS + "SELECT a, b, round(weight, 6) AS weight FROM weights")
+def community_weights(spark, d):
+    return communities.edge_weights(*graph_view(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    _WEIGHTS
+    + """, w AS (SELECT * FROM weights WHERE a IN (SELECT id FROM member) AND b IN (SELECT id FROM member)), m AS (SELECT 2 * sum(weight) AS m2 FROM w),
+i AS (SELECT 2 * coalesce(sum(weight) FILTER (x.community = y.community), 0) AS inside FROM w JOIN member x ON a = x.id JOIN member y ON b = y.id),
+t AS (SELECT sum(k * k) AS squares FROM (SELECT community, sum(weight) AS k FROM (SELECT a, weight FROM w UNION ALL SELECT b, weight FROM w) JOIN member ON a = id GROUP BY community))
+SELECT round(inside / m2 - squares / (m2 * m2), 6) AS modularity FROM m, i, t"""
+)
+def community_modularity(spark, d):
+    nodes, edges = graph_view(spark, d)
+    member = _member(nodes)
+    weights = communities.edge_weights(nodes, edges).join(member.select(F.col("id").alias("a")), "a", "left_semi").join(member.select(F.col("id").alias("b")), "b", "left_semi")
+    return communities.modularity(weights, member).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query(
+    _WEIGHTS
+    + """, l AS (SELECT x.community, count(DISTINCT (least(src, dst), greatest(src, dst))) AS linked FROM edges JOIN member x ON src = x.id JOIN member y ON dst = y.id AND x.community = y.community WHERE src <> dst GROUP BY x.community)
+SELECT s.community, size, round(CASE WHEN size < 2 THEN 1.0::DOUBLE ELSE coalesce(linked, 0) / (size * (size - 1) / 2.0::DOUBLE) END, 9) AS cohesion FROM (SELECT community, count(*) AS size FROM member GROUP BY community) s LEFT JOIN l ON s.community = l.community"""
+)
+def community_cohesion(spark, d):
+    nodes, edges = graph_view(spark, d)
+    return communities.cohesion(edges, _member(nodes)).select("community", "size", F.round("cohesion", 9).alias("cohesion"))
+
+
+@query(", member AS (SELECT id, community FROM nodes WHERE community IS NOT NULL), v AS (SELECT o.id, m.community, count(*) AS v FROM (SELECT src AS id, dst AS n FROM edges UNION ALL SELECT dst, src FROM edges) o JOIN member m ON o.n = m.id JOIN nodes x ON x.id = o.id AND x.type = 'order' GROUP BY ALL) SELECT id, community FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, community) AS r FROM v) WHERE r = 1")
+def external_votes(spark, d):
+    nodes, edges = graph_view(spark, d)
+    return communities.external_votes(edges, _member(nodes), nodes.where("type = 'order'"))
+
+
+@query("SELECT community AS old, pos % 7 AS new, count(*) AS shared FROM nodes WHERE community IS NOT NULL GROUP BY ALL")
+def community_overlap(spark, d):
+    nodes = node_view(spark, d)
+    return communities.overlap(_member(nodes), nodes.select("id", (F.col("pos") % 7).alias("community")))
+
+
+@query(
+    """, f AS (SELECT DISTINCT file, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir FROM nodes), k AS (SELECT *, count(*) OVER (PARTITION BY dir) AS k FROM f)
+SELECT x.file AS a, y.file AS b, round(0.1::DOUBLE / (x.k - 1), 9) AS weight FROM k x JOIN k y ON x.dir = y.dir AND x.file < y.file WHERE x.k <= 64"""
+)
+def directory_ties(spark, d):
+    return communities.directory_ties(node_view(spark, d)).select("a", "b", F.round("weight", 9).alias("weight"))
+
+
+@query()
+def community_partition(spark, d):
+    """No SQL: an iterative optimisation; tests check its modularity."""
+    nodes, edges = graph_view(spark, d)
+    return communities.partition(communities.edge_weights(nodes, edges).where("weight > 0"), rounds=6)
+
+
+# Changes --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id AS key, min(ts) AS start, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items FROM s GROUP BY user_id, k""",
+    view=False,
+)
+def event_bursts(spark, d):
+    found = watch.bursts(table(spark, d, "events"), F.col("user_id"), F.col("event_type"), quiet="1 hour")
+    return found.select("key", "start", "n", F.array_join("items", ",").alias("items"))
+
+
+def _stamps(spark, d, salt):
+    own = table(spark, d, "documents").where(F.col("doc_id") % 11 != salt)
+    return own.select(F.col("doc_id").cast("string").alias("file"), F.md5(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 13 == salt, F.lit("x")).otherwise("")).cast("binary")).alias("hash"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 11 = 2 THEN 'new' WHEN doc_id % 11 = 1 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 11 IN (1, 2) OR doc_id % 13 IN (1, 2)", view=False)
+def file_changes(spark, d):
+    return watch.changes(_stamps(spark, d, 1), _stamps(spark, d, 2))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || '!' ELSE p_name END AS p_name FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 = 0", view=False)
+def upsert_rows(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    fresh = part.where("p_partkey % 5 = 0").withColumn("p_name", F.concat("p_name", F.lit("!")))
+    return watch.upsert(part, fresh, "p_partkey", part.where("p_partkey % 7 = 0"))
+
+
+@query("SELECT id, label, type FROM nodes WHERE file NOT IN (SELECT file FROM nodes WHERE starts_with(file, 'catalog/Brand#1/'))")
+def prune_nodes(spark, d):
+    nodes, edges = graph_view(spark, d)
+    return graph_json.prune(nodes, edges, nodes.where(~F.startswith("file", F.lit("catalog/Brand#1/"))).select("file"))[0].select("id", "label", "type")
