@@ -47,6 +47,19 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Bytes of one Arrow batch of whole texts; Spark's own bound is 64 MB, of which a task and its worker hold several.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; batches handed to Python are bounded by ``BATCH_BYTES``, unless the session sets a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 class SharedFiles:
     """Reads and writes plain files below a URI that all executors see.
 

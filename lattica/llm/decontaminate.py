@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes, written
+from .common import small_batches, table, text_bytes, written
 
 WINDOW = 13
 #: Words of test items that are sent to the tasks at once.
@@ -102,7 +102,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), lists(terms), lists(sizes), lists(positions)], names=["row", "doc_id", "n_words", "terms", "sizes", "positions"])
 
     row = F.col("__row") if "__row" in docs.columns else F.lit(0).cast("long")
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).mapInArrow(of, INDEX)
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).transform(small_batches).mapInArrow(of, INDEX)
 
 
 def intersect(lists: dict[int, np.ndarray], order: list[tuple[int, int]], slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def search(index: DataFrame, windows: Windows, counts: dict[int, int], slop: int
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([out["row"], out["doc_id"], out["n_words"], pa.array(out["starts"], ints), pa.array(out["stops"], ints), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["n_near"], pa.int64())], names=list(out))
 
-    return index.mapInArrow(of, "row long, doc_id long, n_words long, starts array<long>, stops array<long>, items array<string>, n_near long")
+    return index.transform(small_batches).mapInArrow(of, "row long, doc_id long, n_words long, starts array<long>, stops array<long>, items array<string>, n_near long")
 
 
 def merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:

@@ -15,7 +15,7 @@ from html import unescape
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 
 # Fixed vocabularies of HTML.
 CONTAINERS = frozenset("html body main article section div td form aside nav header footer blockquote ul ol table dl figure details dialog fieldset menu search hgroup noscript template svg button select textarea iframe object label".split())
@@ -176,7 +176,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             found = [vote(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found]), pa.array([n for _, n in found], pa.float64())], names=["host", "path", "n"])
 
-    votes = pages.select(page_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(of, "host string, path string, n double").where("n > 0")
+    votes = pages.select(page_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).transform(small_batches).mapInArrow(of, "host string, path string, n double").where("n > 0")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("n").alias("n"))
     return counted.groupBy("host").agg(F.min_by(F.struct("path", "votes"), F.struct((-F.col("votes")).alias("v"), (-F.col("n")).alias("n"), "path")).alias("w")).select("host", "w.path", "w.votes")
 
@@ -198,7 +198,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), page_host(F.col("url")).alias("host"))
     met = own.join(winners, "host", "left").select("page_id", "url", "html", "path")
-    return met.mapInArrow(of, "page_id long, url string, text string").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return met.transform(small_batches).mapInArrow(of, "page_id long, url string, text string").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

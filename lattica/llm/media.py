@@ -22,7 +22,7 @@ from html import unescape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import small_batches, table, text_bytes
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -105,7 +105,7 @@ def interleave(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
             rows = [[dict(zip(("position", "kind", "text", "ref", "caption"), p)) for p in parse_parts(x.as_py() or "")] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[key, "parts"])
 
-    return pages.select(key, F.col(html).cast("string").alias(html)).mapInArrow(of, f"{key} {pages.schema[key].dataType.simpleString()}, parts {PARTS}")
+    return pages.select(key, F.col(html).cast("string").alias(html)).transform(small_batches).mapInArrow(of, f"{key} {pages.schema[key].dataType.simpleString()}, parts {PARTS}")
 
 
 def padded(data: bytes) -> bytes:
@@ -171,7 +171,7 @@ def image_store(payloads: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["digest", *names])
 
-    described = payloads.select("digest", "data").mapInArrow(of, f"digest string, {DESCRIPTION}")
+    described = payloads.select("digest", "data").transform(small_batches).mapInArrow(of, f"digest string, {DESCRIPTION}")
     return described.dropDuplicates(["digest"])
 
 

@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, fresh_path, table
+from .common import SharedFiles, fresh_path, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 NULL_ID = -(2**63)
 #: Words that a worker remembers with their ids, in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 400_000
 #: Control characters at which Python splits words but the tokenizer's pattern doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, WordEncoder] = {}
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(n)], "n_ids": [int(n.sum())], "width": [enc.dtype.itemsize]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = sorted(dealt.mapInArrow(write, "shard int, n_docs long, n_ids long, width int").collect())  # one row a shard
+    shards = sorted(dealt.transform(small_batches).mapInArrow(write, "shard int, n_docs long, n_ids long, width int").collect())  # one row a shard
     rows, base_doc, base_id = [], 0, 0
     for shard, n_docs, n_ids, width in shards:
         rows.append((shard, base_doc, base_id, n_docs, n_ids, width))
@@ -198,7 +198,7 @@ def read_token_files(spark: SparkSession, path: str, batch: int = 4096) -> DataF
                     own = np.asarray(doc[at:to])
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(base + off[at:to]), pa.array(np.diff(off[at : to + 1])), pa.array(sums, pa.int64())], schema=schema)
 
-    return spark.range(0, len(order), 1, max(1, len(order))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(order), 1, max(1, len(order))).transform(small_batches).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class TokenFiles:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes, written
+from .common import small_batches, table, text_bytes, written
 
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(x) for x in found], pa.list_(pa.int64()))], names=["y", "terms"])
 
     met = docs.select(F.col("doc_id").cast("long").alias("k"), text_bytes().alias("data")).join(F.broadcast(own), "k").select("y", "data")  # at most ``sample`` rows
-    rows = written(met.mapInArrow(terms_of, "y int, terms array<long>"), "terms")
+    rows = written(met.transform(small_batches).mapInArrow(terms_of, "y int, terms array<long>"), "terms")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     p = (pos + 0.5) / (n + 1)
     counts = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("a")).where(F.col("n") >= LEAST)
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
             found = [np.flatnonzero(np.isin(terms, x.values.to_numpy(zero_copy_only=False))).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "places"])
 
-    sampled = sorted(((x.y, tuple(x.places)) for x in rows.mapInArrow(places_of, "y int, places array<int>").toLocalIterator()), key=lambda x: (x[1], x[0]))
+    sampled = sorted(((x.y, tuple(x.places)) for x in rows.transform(small_batches).mapInArrow(places_of, "y int, places array<int>").toLocalIterator()), key=lambda x: (x[1], x[0]))
     return train([np.array(x, np.int64) for _, x in sampled], np.array([y for y, _ in sampled], float), terms)
 
 
@@ -165,7 +165,7 @@ def scores(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
             out = [score(x.as_py() or b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).mapInArrow(of, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).transform(small_batches).mapInArrow(of, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -180,7 +180,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array([score(x.as_py() or b"") < cut for x in batch.column(at).cast(pa.binary())], pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.transform(small_batches).mapInArrow(of, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
