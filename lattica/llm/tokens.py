@@ -28,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 NULL_ID = -(2**63)
 #: Words that a worker remembers with their ids, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 520_000
 #: Control characters at which Python splits words but the tokenizer's pattern doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, WordEncoder] = {}
