@@ -172,8 +172,9 @@ def links(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of distinct fingerprints: (a, b) of verified pairs, and (key, own, fp) of what shares crowded keys, whose
     fingerprints are linked to the least of their key and to the least that equals them in two segments only."""
     keyed = _keyed(fps)
-    sizes = keyed.groupBy("key").agg(F.count_if("own").alias("owns"), F.count_if(~F.col("own")).alias("others"), F.min("fp").alias("least"))
-    shared = sizes.where("owns > 0 and others > 0 and owns + others > 2").select("key", "least", (F.col("owns") * F.col("others") > CROWDED).alias("crowded"))
+    sizes = keyed.groupBy("key").agg(F.count_if("own").alias("owns"), F.count_if(~F.col("own")).alias("others"), F.min("fp").alias("least"), F.max("fp").alias("most"))
+    # a key of one fingerprint alone proposes nothing; an own and an other key of two may be all that a pair shares
+    shared = sizes.where("owns > 0 and others > 0 and least <> most").select("key", "least", (F.col("owns") * F.col("others") > CROWDED).alias("crowded"))
     # both sides grow with the corpus: merged, so that a plan for a small one is that for a large one
     met = written(keyed.join(written(shared, "shared-keys").hint("merge"), "key"), "met")
     calm = met.where("not crowded")

@@ -113,3 +113,17 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     for k, f in enumerate(fps):
         groups.setdefault(of.get(f, f), set()).add(k)
     assert sorted(map(sorted, groups.values())) == brute_components(fps)
+
+
+def test_isolated_pairs_are_linked(spark):
+    """Pairs at exactly three bits that share no key with a third fingerprint, many with one bit in each segment."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 1000).tolist()
+    want = set()
+    for k, x in enumerate(base):
+        bits = [int(rng.integers(at, at + n - (at + n == 64))) for at, n in simhash.SEGMENTS] if k % 2 else rng.choice(63, 3, replace=False).tolist()
+        y = x ^ sum(1 << b for b in bits)
+        want.add((min(x, y), max(x, y)))
+    frame = spark.createDataFrame([(f,) for pair in want for f in pair], "fp long")
+    pairs, _ = simhash.links(frame)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} == want
