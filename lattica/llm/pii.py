@@ -3,9 +3,10 @@
 The base patterns find e-mail addresses, IP addresses, card and phone numbers. They are the seeds of a graph of
 lexical patterns and instances. A lexical pattern is the word before an identifier, the word after it, or the key
 in front of it (``tel:``); an instance is a seed, or another run of characters with digits or ``@`` that no base
-pattern accepts. Spark scores the graph for some rounds: a pattern is as reliable for a kind as the share of its
-distinct instances that are of that kind; a pattern with enough seeds and a high share passes its reliability on
-to its other instances. Instances scored high enough at the end are unseen identifiers of that kind.
+pattern accepts. Spark scores the graph for some rounds: a pattern is as reliable for a kind as the share that are of
+it among its distinct instances of any kind and those that can't be of this one. A pattern with enough scored
+instances and a high share passes its reliability on to its other instances, which count as scored in the next
+round. Instances scored at the end are unseen identifiers of that kind.
 """
 
 from __future__ import annotations
@@ -32,6 +33,13 @@ _BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 CANDIDATE = r"(?:(?<![^\s])|\G)[^\s0-9@]*+[0-9@][^\s]*+"
 #: A candidate has at least so many characters and digits.
 LEAST_LENGTH, LEAST_DIGITS = 7, 4
+#: What a loosely written identifier looks like; another run in a pattern speaks against the kind.
+SHAPES = {
+    "email": "@",
+    "ip": "^(?=.*[0-9])[\\[(]?[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,}[\\])]?(?:/[0-9]+)?$",
+    "card": r"^(?:[0-9][^0-9A-Za-z@]{0,2}){12,19}$",
+    "phone": r"^[+(]{0,2}(?:[0-9][^0-9A-Za-z@]{0,2}){7,15}$",
+}
 #: Code points of context on either side.
 CONTEXT = 40
 #: A pattern passes its reliability on from so many distinct seeds and this share on.
@@ -99,21 +107,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return based.select("row", "doc_id", F.transform("base", lambda x: _with_context(text, x)).alias("base"), F.transform(free, lambda x: _with_context(text, x)).alias("other"))
 
 
+def _odd(kind: str, m: Column) -> Column:
+    """Whether a run, without its key, can't be of the kind even when loosely written."""
+    bare = F.regexp_replace(m, "^[A-Za-z_]+[=:]", "")
+    return ~bare.rlike(SHAPES[kind])
+
+
 def discover(found: DataFrame, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """(m, kind, score): the instances that reliable patterns make identifiers of a kind."""
+    """(m, kind, score): the instances that reliable patterns make identifiers of a kind.
+
+    A pattern's share for a kind is the scores of that kind over the instances that say something: those scored
+    for any kind, and those that can't be of this one. Others may be what is looked for, and don't count.
+    """
     rows = found.select(F.explode(F.concat("base", "other")).alias("x")).select(F.explode("x.patterns").alias("p"), "x.m", "x.kind")
     edges = written(rows.groupBy("p", "m").agg(F.max("kind").alias("kind")), "pattern-instances")  # copies count once
-    size = written(edges.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 0).alias("seeds")).where((F.col("seeds") >= least_seeds)), "patterns")
-    open_ = edges.join(size.select("p", "n"), "p")  # patterns with too few seeds never pass anything on
-    scores = edges.where("kind >= 0").select("m", "kind").distinct().withColumn("score", F.lit(1.0))
+    # discovered instances count towards the seeds: only patterns with too few instances of any sort never pass anything on
+    size = written(edges.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= least_seeds).select("p"), "patterns")
+    open_ = written(edges.join(size, "p").select("p", "m", "kind", *(_odd(k, F.col("m")).alias(f"odd{i}") for i, k in enumerate(KINDS))), "open-patterns")
+    seeds = edges.where("kind >= 0").select("m", "kind").distinct().withColumn("score", F.lit(1.0))
+    scores = seeds
     for _ in range(rounds):
-        weighed = open_.select("p", "m", "n").join(scores, "m").groupBy("p", "kind").agg((F.sum("score") / F.max("n")).alias("share")).where(F.col("share") >= least_share)
+        of = scores.groupBy("m").agg(*(F.max(F.when(F.col("kind") == i, F.col("score"))).alias(f"s{i}") for i in range(len(KINDS))))
+        met = open_.join(of.withColumn("known", F.lit(True)), "m", "left")
+        shares = (F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) / F.count_if(F.coalesce("known", F.lit(False)) | F.col(f"odd{i}")) for i in range(len(KINDS)))
+        by_kind = F.array(*(F.struct(F.lit(i).alias("kind"), x.alias("share")) for i, x in enumerate(shares)))
+        weighed = met.groupBy("p").agg(F.count_if("known").alias("known"), by_kind.alias("x")).where(F.col("known") >= least_seeds)
+        weighed = weighed.select("p", F.explode("x").alias("x")).select("p", "x.kind", "x.share").where(F.col("share") >= least_share - 1e-9)
         passed = open_.where("kind < 0").select("p", "m").join(weighed, "p").groupBy("m", "kind").agg(F.max("share").alias("score"))
-        seeds = edges.where("kind >= 0").select("m", "kind").distinct().withColumn("score", F.lit(1.0))
         scores = written(seeds.union(passed), "instances")
-    best = scores.where("score < 1").groupBy("m").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
-    known = edges.where("kind >= 0").select("m").distinct()
-    return best.select("m", (-F.col("b.k")).alias("kind"), F.col("b.score").alias("score")).join(known, "m", "left_anti")
+    best = scores.join(seeds.select("m").distinct(), "m", "left_anti").groupBy("m").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
+    return best.select("m", (-F.col("b.k")).alias("kind"), F.col("b.score").alias("score"))
 
 
 def personal_data(docs: DataFrame, **bootstrap) -> DataFrame:

@@ -79,3 +79,14 @@ def test_bootstrapped_instances(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: [(pii.KINDS[x.kind], x.m) for x in r.added] for r in pii.personal_data(docs).collect() if r.added}
     assert got == {50: [("phone", "0301234599")], 52: [("phone", "0301234599")]}
+
+
+def test_many_unseen_and_patterns_of_discovered(spark):
+    """Few seeds and more unseen numbers; those found activate ``fon:``; odd instances keep ``ref:`` quiet."""
+    rows = [(k, f"call phone: +49 30 12345{k:02d} today") for k in range(6)]
+    rows += [(100 + k, f"call phone: 03012345{k:02d} today") for k in range(20)] + [(200 + k, f"my fon: 03012345{k:02d} ok") for k in range(8)]
+    rows += [(300, "my fon: 0307777777 ok")]
+    rows += [(400 + k, f"see ref: +49 40 12345{k:02d} x{k}") for k in range(5)] + [(500 + k, f"see ref: AB-{k}234-XY y{k}") for k in range(20)] + [(600, "see ref: 0408888888 z")]
+    got = {r.doc_id: [(pii.KINDS[x.kind], x.m) for x in r.added] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.added}
+    want = {100 + k: [("phone", f"03012345{k:02d}")] for k in range(20)} | {200 + k: [("phone", f"03012345{k:02d}")] for k in range(8)} | {300: [("phone", "0307777777")]}
+    assert got == want
