@@ -47,6 +47,11 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def text_hash(column: str = "text"):
+    """A 64-bit hash that tells the texts of equal ids apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 #: Bytes of one Arrow batch of whole texts; Spark's own bound is 64 MB, of which a task and its worker hold several.
 BATCH_BYTES = 4 << 20
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

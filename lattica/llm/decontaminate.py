@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_bytes, written
+from .common import small_batches, table, text_bytes, text_hash, written
 
 WINDOW = 13
 #: Words of test items that are sent to the tasks at once.
@@ -181,9 +181,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     occurrence of a window is hit. Null or blank texts have no words, items without words no window; repeated
     rows each get their own result; no items, no hits. Other columns are ignored.
     """
+    return _numbered(docs, items, window, slop, limit).drop("row")
+
+
+def _numbered(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, limit: int = BLOCK_WORDS) -> DataFrame:
+    """contamination(), after the row's number: ``__row`` where ``docs`` has it."""
     blocks = item_blocks(items, limit)
     block, after = next(blocks, []), next(blocks, None)
-    if after:  # several: rows get a number of their own, by which results are brought together
+    if after and "__row" not in docs.columns:  # several: rows get a number of their own, by which results are brought together
         docs = written(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"), "numbered")
     found, several = None, bool(after)
     while block is not None:
@@ -195,7 +200,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         block, after = after, next(blocks, None) if after else None
     result = _joined(found) if several else found
     hit = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    return result.select("doc_id", "n_words", hit.alias("n_hit"), F.array_distinct("items").alias("items"), "n_near")
+    return result.select("row", "doc_id", "n_words", hit.alias("n_hit"), F.array_distinct("items").alias("items"), "n_near")
 
 
 def _joined(found: DataFrame) -> DataFrame:
@@ -204,7 +209,7 @@ def _joined(found: DataFrame) -> DataFrame:
     grouped = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(spans).alias("spans"), F.array_sort(F.flatten(F.collect_set("items"))).alias("items"), F.sum("n_near").alias("n_near"))
     join = lambda done, x: F.when((F.size(done) > 0) & (x["starts"] <= F.element_at(done, -1)["stops"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["starts"].alias("starts"), F.greatest(F.element_at(done, -1)["stops"], x["stops"]).alias("stops"))))).otherwise(F.concat(done, F.array(x)))
     ranges = F.aggregate("spans", F.array().cast("array<struct<starts:bigint,stops:bigint>>"), join)
-    return grouped.withColumn("ranges", ranges).select("doc_id", "n_words", F.col("ranges.starts").alias("starts"), F.col("ranges.stops").alias("stops"), "items", "n_near")
+    return grouped.withColumn("ranges", ranges).select("row", "doc_id", "n_words", F.col("ranges.starts").alias("starts"), F.col("ranges.stops").alias("stops"), "items", "n_near")
 
 
 def contaminated(share: int = SHARE):
@@ -212,9 +217,10 @@ def contaminated(share: int = SHARE):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id has no contaminated text."""
-    bad = contamination(docs, items).where(contaminated()).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    """The rows of ``docs``, all columns, whose text isn't contaminated; null and repeated ids are told apart by it."""
+    found = _numbered(docs.select("doc_id", "text", text_hash().alias("__row")), items)
+    bad = found.where(contaminated()).select(F.col("doc_id").alias("__bad_id"), F.col("row").alias("__bad_row")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]) & (text_hash() == bad["__bad_row"]), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small_batches, table, text_bytes, written
+from .common import small_batches, table, text_bytes, text_hash, written
 from .components import connected_components
 
 SHINGLE = 3
@@ -126,17 +126,20 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer; null and blank texts have 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, marked: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer; null and blank texts have 0. ``marked`` adds
+    the text's hash, ``mark``."""
 
     def of(batches):
         import pyarrow as pa
 
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8")), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).transform(small_batches).mapInArrow(of, "doc_id long, fp long")
+    more = ["mark"] if marked else []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"), *(text_hash().alias(m) for m in more))
+    return own.transform(small_batches).mapInArrow(of, "doc_id long, fp long" + "".join(f", {m} long" for m in more))
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
@@ -208,14 +211,8 @@ def _rooted(least: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return written(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), name)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``.
-
-    Fingerprints link at 3 differing bits or fewer; component_id is the smallest doc_id reachable, itself
-    included. A null or blank text has fingerprint zero, linked like any other. Rows with a null doc_id take part
-    but are never a component_id unless no other id is there. Repeated rows stay. Other columns are ignored.
-    """
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+def _classes(fps: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the written fingerprints (doc_id, fp)."""
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     pairs, crowd = links(least.select("fp"))
     edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -224,18 +221,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         again = connected_components(_across(crowd, rooted)).withColumnRenamed("root", "top")
         rooted = rooted.join(again, rooted["root"] == again["node"], "left").select("fp", F.coalesce("top", "root").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``.
+
+    Fingerprints link at 3 differing bits or fewer; component_id is the smallest doc_id reachable, itself
+    included. A null or blank text has fingerprint zero, linked like any other. Rows with a null doc_id take part
+    but are never a component_id unless no other id is there. Repeated rows stay. Other columns are ignored.
+    """
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    return fps.join(_classes(fps).drop("root"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of near-duplicates: that of the smallest doc_id (of rows with equal ids, the
-    one whose text comes first); all columns of ``docs``."""
-    classes = near_duplicates(docs, shingle).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    # ids are unique there, so the build side of no task is more than its share of ids; the texts needn't be sorted for it
-    kept = docs.join(classes.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(classes["__kept_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
-    return kept.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
+    one whose text comes first; null ids only where the component has no other); all columns of ``docs``.
+
+    Rows are told apart by id and text, so null and repeated ids of different components don't meet.
+    """
+    fps = written(fingerprints(docs, shingle, marked=True), "fingerprints")
+    of = fps.join(_classes(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = of.select(F.col("doc_id").alias("__kept_id"), F.col("mark").alias("__mark"), F.col("root").alias("__root")).distinct()
+    # ids and marks are unique there, so the build side of no task is more than its share; the texts needn't be sorted for it
+    kept = docs.join(classes.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(classes["__kept_id"]) & (text_hash() == classes["__mark"]))
+    first = Window.partitionBy("__root").orderBy("text", F.xxhash64(*docs.columns))
+    return kept.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select(*docs.columns)
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,15 @@ def test_run_and_empty_tables(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_keep_their_own_rows(spark):
+    """One row for each component, and only contaminated texts go, whatever the ids."""
+    text = lambda w: " ".join(f"{w}{k}" for k in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (1, text("c")), (2, text("a2")), (2, text("c")), (2, text("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text[:2]) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, "a0"), (None, "b0"), (1, "c0"), (2, "a2"), (2, "d0")], key=str)
+    items = spark.createDataFrame([("i", text("a")), ("j", text("d"))], "item_id string, text string")
+    clean = sorted(((r.doc_id, r.text[:2]) for r in decontaminate.drop_contaminated(docs, items).collect()), key=str)
+    assert clean == sorted([(None, "b0"), (None, "b0"), (1, "c0"), (2, "a2"), (2, "c0")], key=str)
