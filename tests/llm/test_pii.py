@@ -90,3 +90,96 @@ def test_many_unseen_and_patterns_of_discovered(spark):
     got = {r.doc_id: [(pii.KINDS[x.kind], x.m) for x in r.added] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.added}
     want = {100 + k: [("phone", f"03012345{k:02d}")] for k in range(20)} | {200 + k: [("phone", f"03012345{k:02d}")] for k in range(8)} | {300: [("phone", "0307777777")]}
     assert got == want
+
+
+def patterns(left, right, m):
+    left, right = left.lower(), right.lower()
+    ws = left.split()
+    own = [("l", ws[-1])] if ws else []
+    if len(ws) > 1:
+        own.append(("ll", " ".join(ws[-2:])))
+    after = re.match(r"\S*\s+(\S+)", right)
+    if after:
+        own.append(("r", after[1]))
+    key = re.match("([A-Za-z_]+[=:])", m)
+    if key:
+        own.append(("k", key[1].lower()))
+    mask = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", m))
+    if ws and len(mask) <= pii.CONTEXT:
+        own.append(("s", ws[-1] + " " + mask))
+    return own
+
+
+def fits(kind, m):
+    bare = re.sub("^[A-Za-z_]+[=:]", "", m)
+    shaped = re.search(pii.SHAPES[kind], bare) is not None
+    return shaped and (kind != "card" or luhn(re.sub("[^0-9]", "", bare)))
+
+
+def discovered(rows, least=5, share=0.9, rounds=3):
+    """The scored graph by plain loops."""
+    edges, seeds, based = {}, {}, set()
+    for kind, m, left, right in rows:
+        if kind >= 0:
+            seeds[m] = max(kind, seeds.get(m, -1))
+            based.add(m)
+        elif re.search(pii.SECRETS, m):
+            seeds[m] = max(pii.SECRET, seeds.get(m, -1))
+        for p in patterns(left, right, m):
+            edges.setdefault(p, {}).setdefault(m, set()).add(kind >= 0)
+    edges = {p: own for p, own in edges.items() if len(own) >= least}
+    known, reached = dict(seeds), {}
+    for _ in range(rounds):
+        reached = {}
+        for p, own in edges.items():
+            for k, kind in enumerate(pii.ALL_KINDS):
+                of = sum(known.get(m) == k for m in own)
+                n = sum(m in known or not fits(kind, m) for m in own)
+                if of >= least and of / (n + 0.5) >= share:
+                    for m, kinds in own.items():
+                        if False in kinds and True not in kinds and fits(kind, m):
+                            reached[m] = max(reached.get(m, (0, 0)), (of / (n + 0.5), k))
+        known = dict(seeds) | {m: k for m, (_, k) in reached.items() if m not in seeds}
+    return {m: (k, round(s, 9)) for m, (s, k) in reached.items()}
+
+
+def test_scored_graph_equals_loops(spark):
+    """On the generated documents and a made-up mix of contexts."""
+    import random
+
+    random.seed(11)
+    rows, words = [], ["call", "fax:", "at", "token", "=", "ref", "id", "card"]
+    for k in range(400):
+        value = random.choice([f"+49 30 {random.randrange(10**7, 10**8)}", f"030{random.randrange(10**6)}", "%040x" % random.getrandbits(160), "%030X" % random.getrandbits(120), f"u{k}@host{k}.example", f"u{k % 9}@host", f"4111-1111.{k % 7}111-1111", f"10.0.0.{k % 256}", f"10.0.{k % 50}"])
+        first = "token =" if re.fullmatch("[0-9a-fA-F]{30,}", value) and random.random() < 0.9 else "fax:" if value[:1] in "+0" and random.random() < 0.9 else random.choice(words)
+        rows.append((k, f"{random.choice(words)} {first} {value} {random.choice(words)} x"))
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), real):
+        spans = pii.placed(pii.hits(docs)).persist()
+        got = {r.m: (r.kind, round(r.score, 9)) for r in pii.discover(spans).collect()}
+        want = discovered([(r.kind, r.m, r.left, r.right) for r in spans.collect()])
+        assert got == want and got
+        spans.unpersist()
+
+
+def test_unseen_secrets_of_the_documents(spark):
+    """Credentials reached through the context that those in a strict format share, and nothing else."""
+    path = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', t)}
+    got = set()
+    for r in pii.op7_pii(spark, path).collect():
+        added = [x.split(":") for x in r.spans.split(",") if x.startswith("secret:")]
+        assert len(added) == r.n_added
+        got |= {(r.doc_id, int(a), int(b)) for _, a, b in added}
+    assert got == want and got
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions and candidates of a text with thousands of matches; candidates never overlap base spans."""
+    text = " ".join(f"n{k}1234567 a{k}@b.example é 10.0.0.{k % 256}/24 +49 30 {1000000 + k}" for k in range(4000))
+    rows = pii.placed(pii.hits(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert all(text[r.s : r.e] == r.m for r in rows)
+    base_ = sorted((r.s, r.e) for r in rows if r.kind >= 0)
+    assert len(base_) == 12000 and [(k, a, b) for k, a, b in base(text)] == sorted(((pii.KINDS[r.kind], r.s, r.e) for r in rows if r.kind >= 0), key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+    assert sum(r.kind < 0 for r in rows) == 4000
