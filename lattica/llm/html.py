@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,25 +22,40 @@ from .common import small_batches, table, written
 CONTAINERS = frozenset("html body main article section div td form aside nav header footer blockquote ul ol table dl figure details dialog fieldset menu search hgroup noscript template svg button select textarea iframe object label".split())
 BREAKS = CONTAINERS - {"label", "button", "svg"} | frozenset("p br hr h1 h2 h3 h4 h5 h6 li tr th dt dd pre figcaption address center option summary caption thead tbody tfoot title head".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
-#: Containers whose text is never main text, and words of a class, id or role that say the same.
+#: Elements that end where one of a group begins or their parent ends.
+IMPLIED = {"p": BREAKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+#: Elements whose text is never main text; elements that no class makes boilerplate.
 NOISE_TAGS = frozenset("nav aside footer header form button select svg menu dialog object label search fieldset".split())
-NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot comment comments commentlist reply replies disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager copyright complementary contentinfo search".split()
+PLAIN = frozenset("html body main".split())
+#: Words of a class, id or role of adverts, notices and reader comments; and of the parts around an article.
+FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist reply replies disqus discussion cookie cookies consent gdpr newsletter subscribe".split())
+LAYOUT = frozenset("banner sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot notice notices alert popup modal overlay signup login share sharing social related recommended widget toolbar pagination pager copyright complementary contentinfo search".split())
+#: Words that may stand beside those in one class without changing what it says.
+NEUTRAL = frozenset("area article bar block body bottom box button buttons col column container content entry feed global group inner item items js left link links list main message module outer page panel post posts primary reader right row secondary section site slot text thread top unit user wrap wrapper".split())
+# Tags as the HTML standard reads them: a quote opens a value only right after "=", and "/" has no effect.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)|"
+    r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)",
+    re.S,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+", re.S)
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s>/])|</{t}\Z", re.I) for t in RAW}
 _ENDS = re.compile(r"[.!?;:,]")
+_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Container:
-    """An element that holds others. ``blocks`` are indices into the page's list of blocks."""
+    """An element that holds others. ``blocks`` are indices into the page's list of blocks; ``kind`` is "tag" or
+    "foreign" if the element itself is boilerplate, "layout" if its class says so and its text may tell otherwise."""
 
-    __slots__ = ("parent", "tag", "name", "noise", "first", "end", "text", "links", "marks")
+    __slots__ = ("parent", "tag", "name", "kind", "noise", "depth", "matched", "first", "end", "text", "links", "marks")
 
-    def __init__(self, parent, tag: str, name: str, noise: bool, first: int):
-        self.parent, self.tag, self.name, self.noise, self.first, self.end = parent, tag, name, noise, first, None
+    def __init__(self, parent, tag: str, name: str, kind: str | None, first: int, wanted: list[str]):
+        self.parent, self.tag, self.name, self.kind, self.first, self.end = parent, tag, name, kind, first, None
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.matched = parent is None or (parent.matched and self.depth < len(wanted) and wanted[self.depth] == name)
         self.text = self.links = self.marks = 0
+        self.noise = False
 
     @property
     def path(self) -> str:
@@ -50,21 +66,43 @@ class Container:
         return ">".join(reversed(names))
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name, and whether it is boilerplate."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
-    words = {w for v in found.values() for w in re.split(r"[^a-z]+", v.lower())} if found else set()
-    classes = found.get("class", "").split()
-    return tag + ("." + re.sub(r"\d+", "#", classes[0].lower()) if classes else ""), tag in NOISE_TAGS or bool(words & NOISE_WORDS)
-
-
-def parse(page: str) -> tuple[list[tuple[str, Container]], list[Container]]:
-    """(blocks, containers): the page's blocks in order, each with its container, and all containers.
+def judged(tokens: list[str], article: bool = False) -> str | None:
+    """What whole class tokens say: "foreign", "layout" or nothing. Of a token's words one must be of the
+    vocabulary and the others neutral, so neither ``with-sidebar`` nor ``comments-open`` says anything."""
+    found = None
+    for token in tokens:
+        parts = [x.lower() for x in _PART.findall(token)]
+        if parts and all(x in FOREIGN or x in LAYOUT or x in NEUTRAL for x in parts):
+            if any(x in FOREIGN for x in parts):
+                return "foreign"
+            if not article and any(x in LAYOUT for x in parts):
+                found = "layout"
+    return found
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, str | None]:
+    """Generalised name, and what kind of boilerplate it is."""
+    found: dict[str, str] = {}
+    if "=" in attributes:
+        for m in _ATTRIBUTE.finditer(attributes):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    classes = unescape(found.get("class", "")).split()
+    kind = "tag" if tag in NOISE_TAGS else None
+    if kind is None and found and tag not in PLAIN:
+        kind = judged([*classes, *found.get("id", "").split(), *found.get("role", "").split()], tag == "article")
+    return tag + ("." + re.sub(r"\d+", "#", classes[0].lower()) if classes else ""), kind
+
+
+def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container]], list[Container]]:
+    """(blocks, containers): the page's blocks in order, each with its container, and all containers; those at
+    ``path`` are ``matched`` and as deep as it.
 
     Markup that is never closed, or cut off at the end of the page, ends with the page.
     """
-    root = Container(None, "", "", False, 0)
-    stack, containers, blocks, parts, link = [root], [root], [], [], 0
+    wanted = path.split(">") if path else []
+    root = Container(None, "", "", None, 0, wanted)
+    stack, containers, blocks, parts, open_ = [root], [root], [], [], Counter()
+    link = mute = 0  # depth of the stack at an open link or advert inside a line
 
     def flush() -> None:
         if parts:
@@ -73,17 +111,31 @@ def parse(page: str) -> tuple[list[tuple[str, Container]], list[Container]]:
             if text:
                 blocks.append((text, stack[-1]))
 
+    def close(tag: str) -> None:
+        nonlocal link, mute
+        flush()
+        while True:
+            x = stack.pop()
+            x.end = len(blocks)
+            open_[x.tag] -= 1
+            if x.tag == tag:
+                break
+        link, mute = (k if k <= len(stack) else 0 for k in (link, mute))
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         chunk = page[at : m.start() if m else len(page)]
-        if chunk:
+        if chunk and not mute:
             text = unescape(chunk)
             parts.append(text)
             n = len(text) if not text.isspace() else 0
-            stack[-1].text += n
-            stack[-1].links += n if link else 0
-            stack[-1].marks += len(_ENDS.findall(text)) if n and not link else 0
+            top = stack[-1]
+            top.text += n
+            if link:
+                top.links += n
+            elif n:
+                top.marks += len(_ENDS.findall(text))
         if m is None:
             break
         at = m.end()
@@ -91,50 +143,65 @@ def parse(page: str) -> tuple[list[tuple[str, Container]], list[Container]]:
         if not tag:
             continue
         if tag == "a":
-            link = 0 if m[1] else 1
+            link = 0 if m[1] else len(stack)
+        if tag in ("a", "span"):
+            if m[1]:
+                mute = 0
+            elif "=" in m[3] and _describe(tag, m[3])[1] == "foreign":
+                mute = mute or len(stack)
         if tag in BREAKS:
             flush()
-        if not m[1] and tag in _CLOSE:
+        if m[1]:
+            if open_[tag] > 0:
+                close(tag)
+            continue
+        while (ends := IMPLIED.get(stack[-1].tag)) and tag in ends:
+            close(stack[-1].tag)
+        if tag in _CLOSE:
             end = _CLOSE[tag].search(page, at)
             at = end.start() if end else len(page)
-        elif tag in CONTAINERS:
-            if not m[1]:
-                if not m[3].endswith("/"):
-                    if tag not in BREAKS and _describe(tag, m[3])[1]:
-                        flush()
-                    made = Container(stack[-1], tag, *_describe(tag, m[3]), len(blocks))
-                    made.noise = made.noise or stack[-1].noise
-                    stack.append(made)
-                    containers.append(made)
-                    link = 0
-            elif any(x.tag == tag for x in stack[1:]):
+            continue
+        name = kind = None
+        if tag in CONTAINERS or (tag in BREAKS and tag not in ("br", "hr") and "=" in m[3]):
+            name, kind = _describe(tag, m[3])
+        # other elements hold nothing of their own unless they are boilerplate
+        if tag in CONTAINERS and not (tag == "svg" and m[3].endswith("/")) or kind:
+            if tag not in BREAKS and kind:
                 flush()
-                while True:
-                    x = stack.pop()
-                    x.end = len(blocks)
-                    if x.tag == tag:
-                        break
-                link = 0
+            made = Container(stack[-1], tag, name, kind, len(blocks), wanted)
+            stack.append(made)
+            containers.append(made)
+            open_[tag] += 1
     flush()
     for x in containers:
         if x.end is None:
             x.end = len(blocks)
+    _settle(containers)
     return blocks, containers
 
 
+def _settle(containers: list[Container]) -> None:
+    """Which containers are boilerplate: elements that are, and all inside; what only its layout class says so about
+    isn't if it holds most of the page's text and that isn't links."""
+    text, links = ({id(x): (0 if x.kind in ("tag", "foreign") else getattr(x, k)) for x in containers} for k in ("text", "links"))
+    for x in reversed(containers):  # children come after their parent
+        if x.parent is not None and x.kind not in ("tag", "foreign"):
+            text[id(x.parent)] += text[id(x)]
+            links[id(x.parent)] += links[id(x)]
+    whole = text[id(containers[0])]
+    for x in containers[1:]:
+        prose = x.kind == "layout" and 2 * text[id(x)] > whole and 3 * links[id(x)] < text[id(x)]
+        x.noise = x.parent.noise or (x.kind is not None and not prose)
+
+
 def best_container(containers: list[Container]) -> Container:
     """The one with the highest score; of equals the innermost. A part of a child's score counts for the parent,
     so text spread over many small children still finds what holds them."""
-    total = {id(x): 0.0 for x in containers}
-    own = {id(x): 0.0 if x.noise else x.text - 2 * x.links + 10 * x.marks for x in containers}
+    total = {id(x): 0.0 if x.noise else x.text - 2 * x.links + 10 * x.marks for x in containers}
     for x in reversed(containers):  # children come after their parent
-        total[id(x)] += own[id(x)]
         if x.parent is not None and not x.noise:
             total[id(x.parent)] += 0.75 * total[id(x)]
-    depth = {}
-    for x in containers:
-        depth[id(x)] = 0 if x.parent is None else depth[id(x.parent)] + 1
-    return max((x for x in containers if not x.noise), key=lambda x: (total[id(x)] + (50 if x.tag in ("article", "main") else 0), depth[id(x)], -x.first))
+    return max((x for x in containers if not x.noise), key=lambda x: (total[id(x)] + (50 if x.tag in ("article", "main") else 0), x.depth, -x.first))
 
 
 def vote(page: str) -> tuple[str, float]:
@@ -148,8 +215,9 @@ def vote(page: str) -> tuple[str, float]:
 
 def extract(page: str, path: str | None) -> str:
     """The text of the containers at ``path``, of the best one if there are none."""
-    blocks, containers = parse(page)
-    chosen = [x for x in containers if not x.noise and x.parent is not None and x.path == path] if path else []
+    blocks, containers = parse(page, path)
+    depth = path.count(">") if path else 0
+    chosen = [x for x in containers if depth and x.matched and x.depth == depth and not x.noise]
     if not chosen:
         chosen = [best_container(containers)]
     kept, at = [], 0

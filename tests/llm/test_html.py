@@ -38,3 +38,69 @@ def test_real_pages_keep_their_articles(spark):
         inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = [" ".join(unescape(re.sub(r"</?(?!p|br|h1|h2)[a-z][^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|br|h1|h2)\b[^>]*>", inner)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b), r.page_id
+
+
+LONG = "<p>Long text, of many words. It goes on, and on, for a while, until it ends.</p>"
+BODY = "Long text, of many words. It goes on, and on, for a while, until it ends."
+
+
+def text_of(page):
+    return html.extract(page, html.vote(page)[0] or None)
+
+
+def test_class_of_the_whole_page_says_nothing():
+    for page in (
+        f'<body class="single with-sidebar"><article>{LONG}</article></body>',
+        f'<div class="post comments-open">{LONG}</div>',
+        f'<html class="no-sidebar header-fixed"><body id="search"><main class="content">{LONG}</main>',
+        f'<div id="page" class="sidebar-right-layout"><div class="main">{LONG}</div></div>',
+        f'<div class="side-effects">{LONG}</div>',
+        f'<div class="header">{LONG}{LONG}</div>',  # named so, but most of the page
+    ):
+        assert set(text_of(page).split("\n")) == {BODY}, page
+
+
+def test_boilerplate_of_any_element_goes():
+    for noise in (
+        '<p class="advert">Buy this, now.</p>',
+        '<p class="cookie-notice">We use cookies, as you know.',
+        '<p class="comment">Nice, very nice.</p>',
+        '<ul><li class="ad">Buy, now.<li class="comment-item">Nice, indeed.</ul>',
+        '<h2 id="sponsored">Sponsored, by us.</h2>',
+        '<article class="comment"><p>Reader, writes. A lot, of it.</p></article>',
+        '<div class="commentList"><p>Reader, writes. Much, more, than, the, article. And more, and more, and more.</p></div>',
+        '<span class="ad-slot">Buy, now.</span>',
+        '<div role="navigation">Home, away.</div>',
+        '<section id="related-posts"><p>Other, things.</p></section>',
+    ):
+        page = f"<body><div class=post>{LONG}{noise}{LONG}</div></body>"
+        assert text_of(page) == BODY + "\n" + BODY, noise
+
+
+def test_attributes_as_the_standard_reads_them():
+    for tag in ("<p data-x=it's>", '<p title="a > b" x=\'"\'>', '<p a="b"c=d/>', "<p =x 'y \"z>", "<p class=a/b/>", "<p\n\thidden>", "<P CLASS=X>"):
+        assert text_of(f"<body><div>{tag}One &lt;two&gt;, three.</p>{LONG}</div>") == "One <two>, three.\n" + BODY, tag
+    assert text_of("<div/>One, two.</div>") == "One, two."
+    assert text_of("<p>a<!-->b<!-- c --!>d</ x>e<!doctype z>f</p>") == "abdef"
+    assert text_of("<p>1 < 2 and <3</p>") == "1 < 2 and <3"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div class=a1>" * n + LONG + "</div>" * n + "<td>x" * n + "</b>" * n + "<p class=x title='" * 50
+        began = time.perf_counter()
+        path, _ = html.vote(page)
+        assert html.extract(page, path).startswith(BODY)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    few, many = seconds(4000), seconds(16000)
+    assert many < 12 * few + 0.5, (few, many)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "http://h/x", f"<article>{LONG}</article>")] * 3 + [(2, None, f"<article>{LONG}</article>"), (None, "http://h/y", LONG)]
+    pages = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "page_id long, url string, html string, path int, host int, text int, votes int")
+    assert [r.text for r in html.main_text(pages).collect()] == [BODY] * 5
