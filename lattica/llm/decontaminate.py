@@ -1,17 +1,18 @@
-"""Benchmark decontamination with a positional inverted index of the training documents.
-
-1. *Index.* One scan of the texts writes, for each document, its positional postings of the terms that occur
-   in any test item: term numbers in ascending order and, for each, the positions of that term. Other terms can
-   never match and aren't stored. The index is dealt by document, so it needs no shuffle and each document's
-   lists are whole in one row, whatever its length or how often a term occurs in the corpus.
-2. *Statistics.* The corpus frequency of each test term, over all documents, orders the terms of each test window
-   from rarest to commonest.
-3. *Search.* Each stored row intersects, for the windows whose rarest term it has, the offset-adjusted lists from
-   the rarest term on and stops at the first empty intersection. What is left are the exact phrase matches; with
-   a slop, candidates whose terms all lie within that many words of their places are proximity matches.
-
-Test items are cut into blocks of at most ``BLOCK_WORDS`` words; one block at a time is sent to the tasks, and the
-index is read once for each block. So what a task holds of the test set has a fixed bound.
+"""Benchmark decontamination with a distributed positional inverted index of the training documents.
+
+1. *Index.* One scan of the texts writes the index in segments, as search engines do: a segment is a row that covers a
+   batch of documents and holds, for each of their terms in order, the list of (document, position) of its occurrences.
+   All terms are stored, so one index serves any number of test sets without reading the texts again. Segments are
+   bounded by ``BATCH_BYTES`` of text (or one larger text); a term that is common in the corpus has a part of its list
+   in each segment, so no list is ever gathered in one task, and the index needs no shuffle.
+2. *Statistics.* The corpus frequency of each test term, from the segments' term lists alone, orders the terms of each
+   test window from rarest to commonest.
+3. *Search.* In each segment, the windows all of whose terms occur there intersect their offset-adjusted lists from the
+   rarest term on and stop at the first empty intersection. What is left are the exact phrase matches; with a slop,
+   candidates whose terms all lie within that many words of their places are proximity matches.
+
+Test items are cut into blocks of at most ``BLOCK_WORDS`` words; a block is sent to the tasks as arrays of term numbers,
+and the index, not the texts, is read once for each. So what a task holds of the test set has a fixed bound.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, text_bytes, text_hash, written
@@ -31,7 +32,8 @@ BLOCK_WORDS = 200_000
 SHARE = 20
 #: Lower-cases A-Z; every other ASCII character but 0-9 and a-z separates words.
 _FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-INDEX = "row long, doc_id long, n_words long, terms array<int>, sizes array<int>, positions array<int>"
+#: A segment: its documents, its terms in order, where each term's list ends, and the lists.
+INDEX = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<string>, ends array<int>, docs array<int>, positions array<int>"
 
 
 def words(data: bytes) -> list[bytes]:
@@ -39,26 +41,35 @@ def words(data: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items, as arrays of term numbers."""
+    """The distinct windows of some items, as arrays: ``terms`` are ``vocabulary`` numbers, ``size`` to a window and -1
+    after a shorter one; window ``k`` is in the items ``owners[first[k] : first[k + 1]]``."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
         self.items = [i for i, _ in items]
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set[int]] = {}
+        numbers: dict[bytes, int] = {}
+        rows, owners = [], []
         for k, (_, own) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own]
-            for at in range(max(1, len(ids) - size + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + size]), set()).add(k)
-        self.terms = list(owners)
-        self.owners = [sorted(x) for x in owners.values()]
-
-    def plan(self, counts: dict[int, int]) -> dict[int, list[tuple[int, list[tuple[int, int]]]]]:
-        """For each rarest term: its windows, each with (term, offset) from rarest to commonest."""
-        plan: dict[int, list] = {}
-        for k, terms in enumerate(self.terms):
-            order = sorted(((t, at) for at, t in enumerate(terms)), key=lambda x: (counts.get(x[0], 0), x))
-            plan.setdefault(order[0][0], []).append((k, order))
-        return plan
+            ids = np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int32)
+            if len(ids) >= size:
+                found = np.lib.stride_tricks.sliding_window_view(ids, size)
+            else:
+                found = np.full((min(1, len(ids)), size), -1, np.int32)
+                found[:, : len(ids)] = ids
+            rows.append(found)
+            owners.append(np.full(len(found), k, np.int32))
+        self.vocabulary = [w.decode("utf-8", "replace") for w in numbers]
+        every = np.concatenate(rows) if rows else np.empty((0, size), np.int32)
+        self.terms, place = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([place.ravel().astype(np.int64), np.concatenate(owners) if owners else np.empty(0, np.int64)], 1), axis=0)
+        self.owners = pairs[:, 1].astype(np.int32)
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.lengths = (self.terms >= 0).sum(axis=1).astype(np.int32)
+        self.order = np.empty((0, size), np.int8 if size < 128 else np.int32)
+
+    def rank(self, counts: np.ndarray) -> None:
+        """``order``: the places of each window's terms from the corpus's rarest to its commonest."""
+        keyed = np.where(self.terms >= 0, np.append(counts, 0)[self.terms], np.iinfo(np.int64).max)
+        self.order = np.argsort(keyed, axis=1, kind="stable").astype(self.order.dtype)
 
 
 def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -75,39 +86,78 @@ def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tup
         yield block
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """A row for each row of ``docs``: its number of words and its postings of the vocabulary's terms."""
+def segment(texts) -> tuple:
+    """(n_words, terms, ends, docs, positions) of a segment over an Arrow array of texts as binary."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(texts)
+    data = texts.cast(pa.large_binary())
+    if data.offset:
+        data = pa.concat_arrays([data])
+    _, offsets, values = data.buffers()
+    folded = pa.py_buffer((values.to_pybytes() if values is not None else b"").translate(_FOLD))
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), n, [None, offsets, folded]))
+    flat, edges = split.values, split.offsets.to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))
+    flat = flat.slice(edges[0], edges[-1] - edges[0])
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # splitting leaves empty words at the ends
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    of = of[real]
+    n_words = np.bincount(of, minlength=n).astype(np.int32)
+    positions = np.arange(len(of), dtype=np.int64) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+    terms = coded.dictionary
+    order = pc.sort_indices(terms).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    numbers = place[coded.indices.to_numpy()]
+    sort = np.argsort(numbers, kind="stable")
+    ends = np.cumsum(np.bincount(numbers, minlength=len(order))).astype(np.int32)
+    return n_words, terms.take(pa.array(order)), ends, of[sort], positions[sort].astype(np.int32)
+
+
+def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """The index of all words of ``docs`` (doc_id, text), a segment a row. ``row`` numbers the rows (by default each
+    gets a number of its own, which holds once the index is written)."""
 
     def of(batches):
         import pyarrow as pa
 
-        get = vocabulary.get
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            n, terms, sizes, positions = [], [], [], []
-            for x in batch.column(2):
-                own = words(x.as_py() or b"")
-                ids = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
-                at = np.flatnonzero(ids >= 0).astype(np.int32)
-                at = at[np.argsort(ids[at], kind="stable")]
-                t, k = np.unique(ids[at], return_counts=True)
-                n.append(len(own))
-                terms.append(t)
-                sizes.append(k.astype(np.int32))
-                positions.append(at)
+        for batch in batches:
+            n_words, terms, ends, where, positions = segment(batch.column(2))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
+            yield pa.RecordBatch.from_arrays([*map(one, (batch.column(0), batch.column(1), n_words, terms.cast(pa.string()), ends, where, positions))], names=[c.split()[0] for c in INDEX.split(", ")])
+
+    own = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
+    return own.transform(small_batches).mapInArrow(of, INDEX)
 
-            def lists(rows):
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)))
 
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), lists(terms), lists(sizes), lists(positions)], names=["row", "doc_id", "n_words", "terms", "sizes", "positions"])
+def frequencies(index: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """How often each term of the vocabulary occurs in the whole index; reads the segments' terms only."""
 
-    row = F.col("__row") if "__row" in docs.columns else F.lit(0).cast("long")
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).transform(small_batches).mapInArrow(of, INDEX)
+    def of(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, total = pa.array(vocabulary, pa.string()), np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for terms, ends in zip(batch.column(0), batch.column(1)):
+                at = pc.index_in(terms.values, value_set=known)
+                found = at.is_valid().to_numpy(zero_copy_only=False)
+                total[at.drop_null().to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)[found]
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["term", "n"])
+
+    counts = np.zeros(len(vocabulary), np.int64)
+    if vocabulary:
+        for r in index.select("terms", "ends").mapInArrow(of, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term of the block
+            counts[r.term] = r.n
+    return counts
 
 
 def intersect(lists: dict[int, np.ndarray], order: list[tuple[int, int]], slop: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of exact matches of a window, and starts (by the rarest term) of matches within ``slop``."""
-    none = np.empty(0, np.int32)
+    none = np.empty(0, np.int64)
     if any(t not in lists for t, _ in order):
         return none, none
     exact = near = lists[order[0][0]] - order[0][1]
@@ -124,45 +174,73 @@ def intersect(lists: dict[int, np.ndarray], order: list[tuple[int, int]], slop:
     return exact, near[~np.isin(near, exact)] if slop else none
 
 
-def search(index: DataFrame, windows: Windows, counts: dict[int, int], slop: int = 0) -> DataFrame:
-    """(row, doc_id, n_words, starts, stops, items, n_near) for each row of the index.
+#: Bits of a list's entries below the document's number; positions are as far from each other there as documents must be.
+_SHIFT, _PAD = 33, 1 << 31
+
+
+def matches(windows: Windows, terms, ends: np.ndarray, docs: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, window) of the exact matches in a segment, and the documents of proximity matches."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = pc.index_in(terms, value_set=pa.array(windows.vocabulary, pa.string()))
+    met = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    numbers = at.drop_null().to_numpy()
+    there = np.zeros(len(windows.vocabulary) + 1, bool)
+    there[numbers] = True
+    there[-1] = True  # after a shorter window's end
+    whole = np.flatnonzero(there[windows.terms].all(axis=1))
+    lists: dict[int, np.ndarray] = {}
+    begins = np.concatenate([[0], ends[:-1]])
+    needed = np.zeros_like(there)
+    needed[windows.terms[whole].ravel()] = True
+    for number, k in zip(numbers.tolist(), met.tolist()):
+        if needed[number]:
+            a, b = begins[k], ends[k]
+            lists[number] = (docs[a:b].astype(np.int64) << _SHIFT) + positions[a:b] + _PAD
+    exact_, near_ = [], []
+    for k in whole.tolist():
+        n = int(windows.lengths[k])
+        order = [(int(windows.terms[k, o]), int(o)) for o in windows.order[k, :n]]
+        exact, near = intersect(lists, order, slop)
+        if len(exact):
+            exact_.append(np.stack([exact >> _SHIFT, (exact & ((1 << _SHIFT) - 1)) - _PAD, np.full(len(exact), k)], 1))
+        if len(near):
+            near_.append(near >> _SHIFT)
+    none = np.empty((0, 3), np.int64)
+    found = np.concatenate(exact_) if exact_ else none
+    return found[:, 0], found[:, 1:], np.concatenate(near_) if near_ else none[:, 0]
+
+
+def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
+    """(row, doc_id, n_words, starts, stops, items, n_near) for each document of the index.
 
     starts and stops are merged, ascending word ranges that exact matches cover; items are those whose windows
     occur; n_near counts proximity matches that aren't exact.
     """
-    plan = windows.plan(counts)
-    length, owners, names = [len(t) for t in windows.terms], windows.owners, windows.items
-    rarest = np.array(sorted(plan), np.int32)
+    names = windows.items
 
     def of(batches):
         import pyarrow as pa
 
+        ints, strings = pa.list_(pa.int64()), pa.list_(pa.string())
         for batch in batches:
-            out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "starts": [], "stops": [], "items": [], "n_near": []}
-            for terms, sizes, positions in zip(*(batch.column(c) for c in ("terms", "sizes", "positions"))):
-                terms, found, items, n_near = terms.values.to_numpy(), [], set(), 0
-                if len(probes := terms[np.isin(terms, rarest, assume_unique=True)]):
-                    sizes, positions = sizes.values.to_numpy(), positions.values.to_numpy()
-                    lists = dict(zip(terms.tolist(), np.split(positions, np.cumsum(sizes)[:-1])))
-                    for probe in probes.tolist():
-                        for k, order in plan[probe]:
-                            exact, near = intersect(lists, order, slop)
-                            n_near += len(near)
-                            if len(exact):
-                                items.update(owners[k])
-                                found += [(s, s + length[k]) for s in exact.tolist()]
-                starts, stops = merged(found)
-                out["starts"].append(starts)
-                out["stops"].append(stops)
-                out["items"].append(sorted(names[i] for i in items if names[i] is not None))
-                out["n_near"].append(n_near)
-            ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([out["row"], out["doc_id"], out["n_words"], pa.array(out["starts"], ints), pa.array(out["stops"], ints), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["n_near"], pa.int64())], names=list(out))
+            for rows, ids, n_words, terms, ends, docs, positions in zip(*batch.columns):
+                n = len(n_words)
+                found, pairs, near = matches(windows, terms.values, *(x.values.to_numpy(zero_copy_only=False) for x in (ends, docs, positions)), slop)
+                starts, stops, items = [[]] * n, [[]] * n, [[]] * n
+                for doc in np.unique(found).tolist():
+                    own = pairs[found == doc]
+                    starts[doc], stops[doc] = merged(zip(own[:, 0].tolist(), (own[:, 0] + windows.lengths[own[:, 1]]).tolist()))
+                    of_item = {i for k in np.unique(own[:, 1]).tolist() for i in windows.owners[windows.first[k] : windows.first[k + 1]].tolist()}
+                    items[doc] = sorted(names[i] for i in of_item if names[i] is not None)
+                n_near = np.bincount(near, minlength=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.values, ids.values, n_words.values.cast(pa.int64()), pa.array(starts, ints), pa.array(stops, ints), pa.array(items, strings), pa.array(n_near)], names=["row", "doc_id", "n_words", "starts", "stops", "items", "n_near"])
 
     return index.transform(small_batches).mapInArrow(of, "row long, doc_id long, n_words long, starts array<long>, stops array<long>, items array<string>, n_near long")
 
 
-def merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+def merged(ranges) -> tuple[list[int], list[int]]:
     starts, stops = [], []
     for a, b in sorted(ranges):
         if stops and a <= stops[-1]:
@@ -181,24 +259,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     occurrence of a window is hit. Null or blank texts have no words, items without words no window; repeated
     rows each get their own result; no items, no hits. Other columns are ignored.
     """
-    return _numbered(docs, items, window, slop, limit).drop("row")
+    return hits(written(build_index(docs), "postings"), items, window, slop, limit).drop("row")
 
 
-def _numbered(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, limit: int = BLOCK_WORDS) -> DataFrame:
-    """contamination(), after the row's number: ``__row`` where ``docs`` has it."""
-    blocks = item_blocks(items, limit)
-    block, after = next(blocks, []), next(blocks, None)
-    if after and "__row" not in docs.columns:  # several: rows get a number of their own, by which results are brought together
-        docs = written(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"), "numbered")
-    found, several = None, bool(after)
-    while block is not None:
+def hits(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, limit: int = BLOCK_WORDS) -> DataFrame:
+    """contamination(), after the row's number, by an index that is already written."""
+    found, blocks = None, 0
+    for block in item_blocks(items, limit):
         windows = Windows(block, window)
-        index = written(build_index(docs, windows.vocabulary), "postings")
-        pairs = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x")).groupBy("x.terms").agg(F.sum("x.sizes").alias("n"))
-        own = search(index, windows, dict(map(tuple, pairs.collect())), slop)  # a count for each term of the block
-        found = own if found is None else found.unionByName(own)
-        block, after = after, next(blocks, None) if after else None
-    result = _joined(found) if several else found
+        windows.rank(frequencies(index, windows.vocabulary))
+        own = search(index, windows, slop)
+        found, blocks = own if found is None else found.unionByName(own), blocks + 1
+    if found is None:
+        found = search(index, Windows([], window), slop)
+    result = _joined(found) if blocks > 1 else found
     hit = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return result.select("row", "doc_id", "n_words", hit.alias("n_hit"), F.array_distinct("items").alias("items"), "n_near")
 
@@ -217,10 +291,15 @@ def contaminated(share: int = SHARE):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't contaminated; null and repeated ids are told apart by it."""
-    found = _numbered(docs.select("doc_id", "text", text_hash().alias("__row")), items)
-    bad = found.where(contaminated()).select(F.col("doc_id").alias("__bad_id"), F.col("row").alias("__bad_row")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]) & (text_hash() == bad["__bad_row"]), "left_anti")
+    """The rows of ``docs``, all columns, whose text isn't contaminated.
+
+    Rows are told apart by id and text, so null and repeated ids don't take others with them; null and empty texts
+    stay. No rows or no items: nothing goes. Other columns, whatever their names, come through.
+    """
+    found = hits(written(build_index(docs.select("doc_id", "text"), text_hash()), "postings"), items)
+    bad = found.where(contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
+    left = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_row"))
+    return left.join(bad, left["own_id"].eqNullSafe(bad["bad_id"]) & (left["own_row"] == bad["bad_row"]), "left_anti").select("whole.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 #: Null and empty texts, white space, ties, repeated rows and ids, null ids.
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one two"), (6, "one two three four five"), (7, "one two three four five"), (7, "one two three four five"), (8, "x" * 3000 + " " + "word " * 3000), (None, "one two three four five"), (9, "é ß Ünï code\u0085line \x1c sep"), (10, "a\nb\nc\nd\na\nb\nc\nd")]
 #: Names that the operators use inside.
-EXTRA = ("row", "fp", "key", "hash", "size", "data", "times", "own", "at", "t", "h1", "gone", "path", "host", "digest", "h")
+EXTRA = ("row", "fp", "key", "hash", "size", "data", "times", "own", "at", "t", "h1", "gone", "path", "host", "digest", "h", "__row", "__rank", "__r", "__root", "__of", "__id", "whole", "rows", "bad_id")
 
 
 @pytest.fixture(scope="session")

@@ -53,3 +53,45 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     near = {r.doc_id: (r.n_hit, r.n_near) for r in d.contamination(docs, items, slop=2).collect()}
     assert near[1] == (0, 1) and near[2] == (2, 0) and near[4] == (0, 0) and near[3][0] == 0
+
+
+def test_one_index_serves_several_test_sets(spark, real_docs):
+    """The written index holds every term's postings; test sets that come later need no text."""
+    import random
+
+    index = d.written(d.build_index(real_docs), "index")
+    rows = [(r.doc_id, r.text) for r in real_docs.collect()]
+    random.seed(2)
+    for size, limit in ((13, 10**6), (4, 50)):
+        texts = [" ".join(words(t)[k : k + random.randrange(1, 30)]) for _, t in random.sample(rows, 12) for k in (3, 40) if t]
+        items = list(enumerate(texts))
+        found = d.hits(index, spark.createDataFrame(items, "item_id long, text string"), size, limit=limit)
+        assert read(found) == expected(rows, items, size)
+
+
+def test_segments_hold_all_postings():
+    import pyarrow as pa
+
+    texts = ["b a, A c", "", "\x1c a-\u00e9 B\x00b", " ", "x" * 70000 + " a"]
+    n_words, terms, ends, docs, positions = d.segment(pa.array([t.encode() for t in texts], pa.binary()).slice(0))
+    want = {}
+    for i, t in enumerate(texts):
+        for k, w in enumerate(words(t)):
+            want.setdefault(w, []).append((i, k))
+    begins = [0, *ends[:-1]]
+    got = {t: list(zip(docs[a:b].tolist(), positions[a:b].tolist())) for t, a, b in zip(terms.to_pylist(), begins, ends)}
+    assert got == want and terms.to_pylist() == sorted(want) and n_words.tolist() == [len(words(t)) for t in texts]
+    part = pa.array([t.encode() for t in texts], pa.binary()).slice(2, 2)
+    assert d.segment(part)[0].tolist() == [len(words(t)) for t in texts[2:4]]
+
+
+def test_a_full_block_is_small():
+    """What a worker holds of a block of 200,000 words of test items is arrays of some tens of megabytes."""
+    import pickle
+    import random
+
+    random.seed(1)
+    own = [(str(k), [b"w%d" % random.randrange(150_000) for _ in range(1000)]) for k in range(200)]
+    windows = d.Windows(own, 13)
+    windows.rank(d.np.zeros(len(windows.vocabulary), d.np.int64))
+    assert len(windows.terms) > 190_000 and len(pickle.dumps(windows)) < 20e6
