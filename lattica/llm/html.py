@@ -33,13 +33,13 @@ LAYOUT = frozenset("banner sidebar side rail nav navbar navigation menu breadcru
 #: Words that may stand beside those in one class without changing what it says.
 NEUTRAL = frozenset("area article bar block body bottom box button buttons col column container content entry feed global group inner item items js left link links list main message module outer page panel post posts primary reader right row secondary section site slot text thread top unit user wrap wrapper".split())
 # Tags as the HTML standard reads them: a quote opens a value only right after "=", and "/" has no effect.
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)|"
     r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+", re.S)
-_CLOSE = {t: re.compile(rf"</{t}(?=[\s>/])|</{t}\Z", re.I) for t in RAW}
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+", re.S)
+CLOSE = {t: re.compile(rf"</{t}(?=[\s>/])|</{t}\Z", re.I) for t in RAW}
 _ENDS = re.compile(r"[.!?;:,]")
 _PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
@@ -84,7 +84,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, str | None]:
     """Generalised name, and what kind of boilerplate it is."""
     found: dict[str, str] = {}
     if "=" in attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
+        for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     classes = unescape(found.get("class", "")).split()
     kind = "tag" if tag in NOISE_TAGS else None
@@ -124,7 +124,7 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
 
     at = 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = TOKEN.search(page, at)
         chunk = page[at : m.start() if m else len(page)]
         if chunk and not mute:
             text = unescape(chunk)
@@ -157,8 +157,8 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
             continue
         while (ends := IMPLIED.get(stack[-1].tag)) and tag in ends:
             close(stack[-1].tag)
-        if tag in _CLOSE:
-            end = _CLOSE[tag].search(page, at)
+        if tag in CLOSE:
+            end = CLOSE[tag].search(page, at)
             at = end.start() if end else len(page)
             continue
         name = kind = None
