@@ -1,28 +1,15 @@
-"""Shared storage, table access and small helpers of the corpus operators."""
+"""Table access, written tables and small helpers of the corpus operators."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (local tests) a temporary folder takes its place for the session.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="lattica-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+from ..plans.snapshot import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -115,7 +115,12 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, rep
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them."""
+    """The rows of ``docs``, all columns, as often as the mix takes them.
+
+    Rows without words take nothing of a target and come as often as their source's other rows of their hash; null
+    sources are one source; null ids share a hash, as repeated ids do, and are taken together. No rows, no result.
+    Other columns, whatever their names, come through.
+    """
     _, cuts = plan(docs, weights, share, repeats)
     keep = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), _hash().alias("hash"))
     met = keep.join(cuts, F.col("source").eqNullSafe(F.col("__of"))).select("row", _times().cast("int").alias("times")).where("times > 0")

@@ -37,6 +37,8 @@ DISTANCE = 3
 SEED = 42
 #: A key with more own-times-other pairs than this is linked in a line first.
 CROWDED = 4096
+#: Fingerprints of a block in which what shares a crowded key is compared.
+FEW, MANY = 512, 8192
 #: Fingerprints whose keys one task makes, up to a number of tasks.
 TASK_ROWS, MOST_TASKS = 16_384, 50_000
 #: (first bit, bits) of each segment.
@@ -196,14 +198,21 @@ def _across(crowd: DataFrame, rooted: DataFrame) -> DataFrame:
     """(a, b): roots of verified pairs of different components that share a crowded key.
 
     Of each key, the component with most of its fingerprints meets only the others, so a key that one component
-    fills costs nothing.
+    fills costs nothing. What is left of a key is dealt to blocks of ``FEW`` by ``MANY`` fingerprints, so that no task
+    gets a key as a whole.
     """
     own = written(crowd.join(rooted.select("fp", "root"), "fp"), "crowd")
-    counts = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
-    mixed = own.join(counts.where("roots > 1").select("key", "most"), "key")
-    few = mixed.where("root <> most")
-    of = lambda df, is_own, fp, root: df.where("own" if is_own else "not own").select("key", F.col("fp").alias(fp), F.col("root").alias(root))
-    both = of(few, True, "x", "a").join(of(mixed, False, "y", "b"), "key").unionByName(of(mixed, True, "x", "a").join(of(few, False, "y", "b"), "key"))
+    counts = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("n_most"))
+    parts = lambda n, size: F.ceil(n / size).cast("int").alias
+    shares = written(counts.where("roots > 1").select("key", "most", parts(F.col("n") - F.col("n_most"), FEW)("rows"), parts(F.col("n"), MANY)("columns")), "crowded-blocks")
+    mixed = own.join(shares, "key")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    few = mixed.where("root <> most").select("key", "own", "fp", "root", one_of("rows").alias("i"), all_of("columns").alias("j"))
+    many = mixed.select("key", "own", "fp", "root", all_of("rows").alias("i"), one_of("columns").alias("j"))
+    of = lambda df, is_own, fp, root: df.where("own" if is_own else "not own").select("key", "i", "j", F.col("fp").alias(fp), F.col("root").alias(root))
+    block = ["key", "i", "j"]
+    both = of(few, True, "x", "a").join(of(many, False, "y", "b"), block).unionByName(of(many, True, "x", "a").join(of(few, False, "y", "b"), block))
     return both.where((F.col("a") != F.col("b")) & _close(F.col("x"), F.col("y"))).select("a", "b").distinct()
 
 
@@ -239,15 +248,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of near-duplicates: that of the smallest doc_id (of rows with equal ids, the
     one whose text comes first; null ids only where the component has no other); all columns of ``docs``.
 
-    Rows are told apart by id and text, so null and repeated ids of different components don't meet.
+    Rows are told apart by id and text, so null and repeated ids of different components don't meet. Null and blank
+    texts are near-duplicates of each other. No rows, no result. Other columns, whatever their names, come through.
     """
     fps = written(fingerprints(docs, shingle, marked=True), "fingerprints")
     of = fps.join(_classes(fps), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    classes = of.select(F.col("doc_id").alias("__kept_id"), F.col("mark").alias("__mark"), F.col("root").alias("__root")).distinct()
+    classes = of.select(F.col("doc_id").alias("kept_id"), "mark", "root").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_mark"))
     # ids and marks are unique there, so the build side of no task is more than its share; the texts needn't be sorted for it
-    kept = docs.join(classes.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(classes["__kept_id"]) & (text_hash() == classes["__mark"]))
-    first = Window.partitionBy("__root").orderBy("text", F.xxhash64(*docs.columns))
-    return kept.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select(*docs.columns)
+    kept = own.join(classes.hint("shuffle_hash"), own["own_id"].eqNullSafe(classes["kept_id"]) & (own["own_mark"] == classes["mark"]))
+    first = Window.partitionBy("root").orderBy("whole.text", F.xxhash64("whole"))
+    return kept.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("whole.*")
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,11 +95,15 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = TERMS) -> Machine:
     """A machine from the rows of ``labels`` (doc_id, toxic) whose id isn't held out.
 
-    Rows with a null id or label are left out. At most ``sample`` rows are learned from; their size bounds
-    what is broadcast, and with ``keep`` what comes to the driver. Without rows the score is constant.
+    Rows with a null id or label are left out; an id with several labels is toxic if one says so, and one with several
+    texts counts with the first of them. At most ``sample`` ids are learned from, those with the smallest hash; their
+    number bounds what is broadcast, and with ``keep`` what comes to the driver. Without rows the score is constant.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("y")).where(~held_out(F.col("k")))
-    own = own.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
+    own = own.groupBy("k").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("k"))
+    n = own.count()  # a bound on the hash first, so that no task sorts more than about the sample
+    low = -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * 1.25 * sample / max(n, 1)))
+    own = own.where(F.col("h") <= low).orderBy("h", "k").limit(sample).select("k", "y")
 
     def terms_of(batches):
         import pyarrow as pa
@@ -110,7 +114,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
                 found = [np.fromiter({t for w in text_words(x.as_py() or b"") for t in word_terms(w)}, np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(x) for x in found], pa.list_(pa.int64()))], names=["y", "terms"])
 
-    met = docs.select(F.col("doc_id").cast("long").alias("k"), text_bytes().alias("data")).join(F.broadcast(own), "k").select("y", "data")  # at most ``sample`` rows
+    met = docs.select(F.col("doc_id").cast("long").alias("k"), text_bytes().alias("data")).join(F.broadcast(own), "k")  # at most ``sample`` rows
+    met = met.groupBy("k", "y").agg(F.min("data").alias("data")).select("y", "data")
     rows = written(met.transform(small_batches).mapInArrow(terms_of, "y int, terms array<long>"), "terms")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     p = (pos + 0.5) / (n + 1)
@@ -170,7 +175,11 @@ def scores(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't predicted toxic; one pass over the rows, no join."""
+    """The rows of ``docs``, all columns, whose text isn't predicted toxic; one pass over the rows, no join.
+
+    Null, blank and unknown texts have the score of no terms, and go or stay together; repeated rows too. Other
+    columns, whatever their names, come through. No rows, no result.
+    """
     machine, at = learn(docs, labels), docs.columns.index("text")
 
     def of(batches):

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from lattica.llm import simhash
@@ -88,9 +89,13 @@ def brute_components(fps):
     return sorted(map(sorted, groups.values()))
 
 
-def test_crowded_keys_lose_no_link(spark, monkeypatch):
-    """Many different near copies around a few centres, with keys taken as crowded from few pairs on."""
+@pytest.mark.parametrize(("few", "many"), [(512, 8192), (3, 7)])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, few, many):
+    """Many different near copies around a few centres, with keys taken as crowded from few pairs on, and with their
+    fingerprints in one block or in many."""
     monkeypatch.setattr(simhash, "CROWDED", 16)
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = np.random.default_rng(5)
     fps = set()
     for centre in rng.integers(0, 2**63, 4).tolist():
