@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (local tests) a temporary folder for the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder takes its place for a session of local mode; elsewhere executors would
+    each write to their own disks, so it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lattica-")
     spark.conf.set("spark.checkpoint.dir", made)
     spark.sparkContext.setCheckpointDir(made)
