@@ -17,11 +17,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later jobs neither recompute it nor
-    depend on blocks of an executor that may be lost."""
+    depend on blocks of an executor that may be lost. ``options`` are the writer's."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
