@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Directories of tests and of vendored code, and extensions by language family.
 TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs", "testing", "e2e")
-VENDORED_DIRS = ("vendor", "vendors", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "external", "externals")
+VENDORED_DIRS = ("vendor", "vendors", "vendored", "_vendor", "node_modules", "bower_components", "third_party", "third-party", "thirdparty", "site-packages")
 FAMILIES = {
     "py": "python", "pyi": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js", "go": "go", "java": "jvm", "kt": "jvm", "kts": "jvm", "scala": "jvm",
     "cs": "csharp", "rs": "rust", "swift": "swift", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "rb": "ruby", "php": "php",
@@ -66,13 +66,27 @@ def is_test_path(path: Column) -> Column:
     dirs = F.split(dirname(path), "/")
     stem = F.regexp_replace(basename(path), r"\.[^.]*$", "")
     named = F.exists(dirs, lambda d: F.lower(d).isin(*TEST_DIRS) | d.rlike(r"[a-z0-9.](?:Tests?|TestCase)(?:$|\.)"))
-    return F.coalesce(named | F.lower(stem).rlike(r"^test_|_test$|_spec$|\.test$|\.spec$|^conftest$") | stem.rlike(r"[a-z0-9](?:Tests?|TestCase|Spec)$"), F.lit(False))
+    return F.coalesce(named | F.lower(stem).rlike(r"^test_|_tests?$|_spec$|\.test$|\.spec$|^conftest$") | stem.rlike(r"[a-z0-9.](?:Tests?|TestCase)(?:$|\.)"), F.lit(False))
 
 
 def is_vendored(path: Column) -> Column:
-    """A vendored directory, a minified or bundled file, or a stem that ends in a content hash."""
+    """A vendored directory, a minified or bundled file, or a stem that ends in a build's hash: eight characters or
+    more with a digit that are hexadecimal or of both cases."""
     dirs = F.split(dirname(path), "/")
-    return F.coalesce(F.exists(dirs, lambda d: F.lower(d).isin(*VENDORED_DIRS)) | F.lower(basename(path)).rlike(r"\.min\.|\.bundle\.") | basename(path).rlike(r"[-.][0-9a-f]{8,}\.(?:js|css)$"), F.lit(False))
+    token = F.regexp_extract(basename(path), r"[-.]([A-Za-z0-9_]{8,})\.(?:js|mjs|cjs|css)$", 1)
+    hashed = token.rlike("[0-9]") & F.when(token.rlike("^[0-9a-f]*$"), token.rlike("[a-f]")).otherwise(token.rlike("[A-Z]") & token.rlike("[a-z]"))
+    return F.coalesce(F.exists(dirs, lambda d: F.lower(d).isin(*VENDORED_DIRS)) | F.lower(basename(path)).rlike(r"\.min\.|\.bundle\.") | hashed, F.lit(False))
+
+
+#: Of a script or style file, so many bytes are looked at; longer lines than this on average aren't hand-written.
+SNIFFED, LONG_LINES = 65536, 150
+
+
+def is_minified(path: Column, text: Column) -> Column:
+    """Whether a script's or style's lines are too long to be hand-written."""
+    head = F.substring(text, 1, SNIFFED)
+    lines = F.regexp_count(head, F.lit("\n")) + 1
+    return F.coalesce(extension(path).isin("js", "mjs", "cjs", "css") & (F.trim(head) != "") & (F.length(head) / lines > LONG_LINES), F.lit(False))
 
 
 def is_file_hub(label: Column, file: Column) -> Column:

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import dirname, is_test_path, top_dir
+from ..functions.paths import dirname, is_file_hub, is_test_path, top_dir
 from ..plans.snapshot import cut
 
 # Fixed weights by relation.
-RELATION_WEIGHTS = {"inherits": 1.5, "extends": 1.5, "implements": 1.5, "contains": 1.5, "method": 1.5, "imports": 0.7, "imports_from": 0.7, "references": 0.4, "reads": 0.5, "writes": 0.5}
+RELATION_WEIGHTS = {"contains": 1.0, "method": 1.0, "defines": 1.0, "case_of": 1.0, "calls": 1.0, "inherits": 1.5, "implements": 1.5, "mixes_in": 1.5, "embeds": 1.5}
+# Imports of a file and of something in it; every other relation.
+IMPORT_OF_FILE, IMPORT_OF_PART, OTHER = 0.7, 0.4, 0.5
 CLIQUE, TIE, RING = 64, 0.1, 0.05
 
 
 def edge_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, weight) of unordered pairs: by relation, halved if guessed, more inside a directory, less across top
     directories and between tests and other code. External nodes take no part."""
-    inner = nodes.where(~F.coalesce("external", F.lit(False))).select("id", F.coalesce("file", F.lit("")).alias("file"))
-    met = edges.where("src <> dst").join(inner.select(F.col("id").alias("src"), F.col("file").alias("f")), "src").join(inner.select(F.col("id").alias("dst"), F.col("file").alias("g")), "dst")
+    file = F.coalesce("file", F.lit(""))
+    hub = F.coalesce(is_file_hub(F.col("label"), file) & (file != ""), F.lit(False)) if "label" in nodes.columns else F.lit(False)
+    inner = nodes.where(~F.coalesce("external", F.lit(False))).select("id", file.alias("file"), hub.alias("hub"))
+    met = edges.where("src <> dst").join(inner.select(F.col("id").alias("src"), F.col("file").alias("f")), "src").join(inner.select(F.col("id").alias("dst"), F.col("file").alias("g"), "hub"), "dst")
     pairs = [F.lit(x) for kv in RELATION_WEIGHTS.items() for x in kv]
-    weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower("relation")), F.lit(1.0)) * F.when(F.upper("confidence") == "INFERRED", 0.5).otherwise(1.0)
+    imported = F.when(F.col("relation").isin("imports", "imports_from"), F.when(F.col("hub"), IMPORT_OF_FILE).otherwise(IMPORT_OF_PART))
+    weight = F.coalesce(F.try_element_at(F.create_map(*pairs), "relation"), imported, F.lit(OTHER)) * F.when(F.col("confidence") == "INFERRED", 0.5).otherwise(1.0)
     known = (F.col("f") != "") & (F.col("g") != "") & (F.col("f") != F.col("g"))
     weight = weight * F.when(known & (dirname(F.col("f")) == dirname(F.col("g"))), 1.25).when(known & (top_dir(F.col("f")) != top_dir(F.col("g"))), 0.6).otherwise(1.0)
     weight = weight * F.when(is_test_path(F.col("f")) != is_test_path(F.col("g")), 0.1).otherwise(1.0)

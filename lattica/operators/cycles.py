@@ -63,7 +63,8 @@ def self_loops(edges: DataFrame) -> DataFrame:
 
 
 def cycle_path(edges: DataFrame, component: DataFrame, start: str, hops: int = 50) -> DataFrame:
-    """(step, id): a shortest loop through ``start`` inside a component (id)."""
+    """(step, id): a shortest loop through ``start`` inside a component (id). ``RuntimeError`` if it is longer than
+    ``hops``; no rows if ``start`` is in no loop."""
     from .traverse import shortest_path
 
     ids = component.select("id")
@@ -74,6 +75,8 @@ def cycle_path(edges: DataFrame, component: DataFrame, start: str, hops: int = 5
 
     reach = hop_distances(inside, edges.sparkSession.createDataFrame([(start,)], "id string"), hops)
     last = reach.join(back.withColumnRenamed("src", "id"), "id").orderBy("distance", "id").first()
+    if last is None and back.limit(1).count():
+        raise RuntimeError(f"no loop through {start} within {hops} steps")
     if last is None:
         return edges.sparkSession.createDataFrame([], "step long, id string")
     best = shortest_path(inside, start, last.id, hops)

@@ -121,7 +121,8 @@ def members(edges: DataFrame) -> DataFrame:
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in the order, which should be total."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")
+    ranked = df.select(F.struct(*df.columns).alias("whole"), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("rank"))
+    return ranked.where("rank = 1").select("whole.*")
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

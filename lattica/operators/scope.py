@@ -21,25 +21,29 @@ class Scope:
     vendored: bool = True
 
 
+# Fixed names of the flags.
+FLAGS = {"tests": "tests", "test": "tests", "external": "external", "externals": "external", "vendored": "vendored", "vendor": "vendored", "minified": "vendored"}
+
+
 def clean_pattern(pattern: str) -> str:
     """Without a trailing ``/**``, ``/*`` or ``/``, and a leading ``./``."""
     return re.sub(r"(/\*\*|/\*|/)$", "", re.sub(r"^\./", "", pattern))
 
 
 def parse_scope(spec: str | None, navigation: bool = False) -> Scope:
-    """Tokens split at commas and white space: ``all``; ``+`` or ``-`` with tests, external or vendored; ``!pattern``;
-    else a pattern to include. Ranking questions leave vendored and external code out unless told otherwise,
-    navigation leaves nothing out."""
+    """Tokens split at commas and white space: ``all``; ``+`` or ``-`` with a flag of ``FLAGS``; ``!pattern``; else a
+    pattern to include. Ranking questions leave vendored and external code out unless told otherwise, navigation
+    leaves nothing out. ``ValueError`` names a flag that isn't known."""
     scope = Scope(external=navigation, vendored=navigation)
     for token in re.split(r"[,\s]+", spec or ""):
-        if token == "all":
+        if token.lower() == "all":
             scope.tests = scope.external = scope.vendored = True
-        elif token[:1] in "+-" and token[1:] in ("tests", "external", "vendored"):
-            setattr(scope, token[1:], token[0] == "+")
-        elif token.startswith("!") and token[1:]:
-            scope.exclude.append(clean_pattern(token[1:]))
-        elif token:
-            scope.include.append(clean_pattern(token))
+        elif token[:1] in ("+", "-"):
+            if token[1:].lower() not in FLAGS:
+                raise ValueError(f"unknown scope flag {token!r}: + or - with one of {', '.join(FLAGS)}, or 'all'")
+            setattr(scope, FLAGS[token[1:].lower()], token[0] == "+")
+        elif pattern := clean_pattern(token.removeprefix("!")):
+            (scope.exclude if token[0] == "!" else scope.include).append(pattern)
     return scope
 
 
@@ -119,8 +123,9 @@ CONTAINMENT = ("contains", "method", "defines", "case_of")
 NON_DEPENDENCY = (*CONTAINMENT, "rationale_for")
 STATE = ("reads", "writes", "written_by")
 HTTP = ("handles", "http_calls")
-TYPES = ("inherits", "extends", "implements", "mixes_in", "embeds", "references", "uses")
-PRESETS = {"all": None, "code": (*IMPORTS, *CALLS, *TYPES), "calls": CALLS, "imports": IMPORTS, "types": TYPES, "state": STATE, "http": HTTP}
+TYPES = ("inherits", "extends", "implements", "mixes_in", "embeds", "uses")
+MEMBERS_USED = ("references", "dispatches_to", "references_constant", "uses_static_prop")
+PRESETS = {"all": None, "code": (*IMPORTS, *CALLS, *TYPES, *MEMBERS_USED, *HTTP), "calls": (*CALLS, "dispatches_to"), "imports": IMPORTS, "types": TYPES, "state": STATE, "http": HTTP}
 
 
 def relations(spec: str | None) -> tuple[str, ...] | None:

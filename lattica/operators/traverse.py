@@ -27,8 +27,12 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def hop_distances(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
-    """(id, distance) of all within ``hops`` of the seeds (id); seeds at 0."""
-    steps = oriented(edges, direction).where("src <> dst").distinct()
+    """(id, distance) of all within ``hops`` of the seeds (id); seeds at 0.
+
+    Each hop reads the two columns of the edges once and joins them with the frontier, which is broadcast as long as
+    it is small; the edges themselves are neither sorted nor shuffled. Give edges that are cheap to read (a table).
+    """
+    steps = oriented(edges, direction).where("src <> dst")
     seen = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "hops")
     for d in range(1, hops + 1):
         frontier = seen.where(F.col("distance") == d - 1).select(F.col("id").alias("src"))
@@ -118,10 +122,10 @@ def within_budget(rows: DataFrame, size: Column, budget: float, *order: Column,
     The rows are an answer's (bounded by its hops), so one ordered window is enough for them.
     """
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = rows.withColumn("__n", F.row_number().over(Window.orderBy(*order))).withColumn("__s", (F.lit(start) + F.sum(size + 2).over(w)) / per).withColumn("__own", size + 2)
-    before = (F.col("__s") * per - F.col("__own")) / per
-    keep = (F.col("__n") == 1) | ((before if crossing else F.col("__s")) < budget)
-    return total.where(keep).drop("__n", "__s", "__own")
+    whole = F.struct(*rows.columns)
+    total = rows.select(whole.alias("whole"), F.row_number().over(Window.orderBy(*order)).alias("n"), ((F.lit(start) + F.sum(size + 2).over(w)) / per).alias("s"), (size + 2).alias("own"))
+    before = (F.col("s") * per - F.col("own")) / per
+    return total.where((F.col("n") == 1) | ((before if crossing else F.col("s")) < budget)).select("whole.*")
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, node: str, hops: int = 2, budget: float = 1500) -> DataFrame:

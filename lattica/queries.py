@@ -82,9 +82,11 @@ def validate(spark, d):
     return degree.validate(*graph_view(spark, d))
 
 
-@query(_DEGREES + "SELECT id, label, type, file FROM nodes WHERE id NOT IN (SELECT id FROM deg)")
+@query("SELECT id, label, type, file FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE relation <> 'contains' UNION ALL SELECT dst FROM edges WHERE relation <> 'contains')")
 def orphans(spark, d):
-    return degree.orphans(*graph_view(spark, d)).select("id", "label", "type", "file")
+    """Of the dependencies only: regions, nations and customers without orders have none."""
+    nodes, edges = graph_view(spark, d)
+    return degree.orphans(nodes, edges.where("relation <> 'contains'")).select("id", "label", "type", "file")
 
 
 @query("SELECT src, dst, relation, count(*) AS n FROM edges GROUP BY ALL HAVING count(*) > 1")
@@ -153,7 +155,7 @@ def strict_edges(spark, d):
 
 @query("SELECT relation, count(*) AS n FROM edges WHERE relation IN ('references', 'calls') GROUP BY relation")
 def relation_filter(spark, d):
-    return scope.of_relations(edge_view(spark, d), "types, calls").groupBy("relation").agg(F.count("*").alias("n"))
+    return scope.of_relations(edge_view(spark, d), "types, code").groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query(_DEGREES + ", h AS (SELECT * FROM nodes WHERE contains(lower(label), 'order 12') OR contains(lower(id), 'order 12')) SELECT id, label, type, coalesce(degree, 0) AS degree, (SELECT count(*) FROM h) AS total FROM (SELECT * FROM h ORDER BY pos LIMIT 50) LEFT JOIN deg USING (id)")
@@ -267,10 +269,36 @@ def link_calls(spark, d):
     return spans.link_calls(_urls(spark, d), routes)
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS call, 'external' AS kind, CAST(NULL AS VARCHAR) AS path FROM pages", view=False)
+_REQUESTS = ("{url}", "http://localhost:8000{path}?q=1", "${{base}}{path}#top", "{path}", "${{base}}", "${{host}}x{path}", "https://127.0.0.1", "{{api}}/v{n}{path}")
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS call, CASE page_id % 8 WHEN 0 THEN 'external' WHEN 4 THEN 'dynamic' WHEN 5 THEN 'dynamic' ELSE 'path' END AS kind,
+  CASE page_id % 8 WHEN 1 THEN path WHEN 2 THEN path WHEN 3 THEN path WHEN 6 THEN '/' WHEN 7 THEN '/v' || page_id || path END AS path, page_id % 8 IN (2, 7) AS guessed FROM p""",
+    view=False,
+)
 def request_paths(spark, d):
-    r = spans.request_path(F.col("url"))
-    return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("call"), r["kind"].alias("kind"), r["path"].alias("path"))
+    """Requests of all kinds, made of the pages' URLs."""
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    made = [F.lit("")] * len(_REQUESTS)
+    for k, form in enumerate(_REQUESTS):
+        parts = [F.col("url") if x == "url" else path if x == "path" else F.col("page_id").cast("string") if x == "n" else F.lit(x[1:]) for x in _pieces(form)]
+        made[k] = F.concat(*parts)
+    url = F.element_at(F.array(*made), (F.col("page_id") % len(made) + 1).cast("int"))
+    r = spans.request_path(url)
+    return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("call"), r["kind"].alias("kind"), r["path"].alias("path"), r["guessed"].alias("guessed"))
+
+
+def _pieces(form):
+    """The fields of a format string by name, and its literals after a ``=``."""
+    import string
+
+    for literal, name, _, _ in string.Formatter().parse(form):
+        if literal:
+            yield "=" + literal
+        if name:
+            yield name
 
 
 # Walks ----------------------------------------------------------------------------------------------------------
@@ -382,7 +410,7 @@ def containment_closure(spark, d):
 
 # Cycles ---------------------------------------------------------------------------------------------------------
 
-_NEXT = "WITH RECURSIVE " + NEXT_PART_SQL.format(above=48)
+_NEXT = "WITH RECURSIVE " + NEXT_PART_SQL
 _SCC = (
     _NEXT
     + """, e AS (SELECT DISTINCT src, dst FROM next_part WHERE src <> dst),
@@ -393,23 +421,23 @@ scc AS (SELECT a.src AS id, min(a.dst) AS component FROM reach a JOIN reach b ON
 
 @query(_SCC + "SELECT id, component FROM scc", view=False)
 def strong_components(spark, d):
-    return cycles.strong_components(next_part_edges(spark, d, 48))
+    return cycles.strong_components(next_part_edges(spark, d))
 
 
 @query(_SCC + ", sizes AS (SELECT component, count(*) AS size FROM scc GROUP BY component) SELECT component, any_value(size) AS size, count(*) AS edges FROM e JOIN scc a ON e.src = a.id JOIN scc b ON e.dst = b.id AND a.component = b.component JOIN sizes s ON s.component = a.component GROUP BY a.component".replace("SELECT component, any_value", "SELECT a.component AS component, any_value"), view=False)
 def cycle_groups(spark, d):
-    return cycles.cycle_groups(next_part_edges(spark, d, 48))
+    return cycles.cycle_groups(next_part_edges(spark, d))
 
 
 @query(_NEXT + "SELECT src AS id, count(*) AS n FROM next_part WHERE src = dst GROUP BY src", view=False)
 def self_loops(spark, d):
-    return cycles.self_loops(next_part_edges(spark, d, 48))
+    return cycles.self_loops(next_part_edges(spark, d))
 
 
 @query()
 def cycle_path(spark, d):
     """No SQL: which of several shortest loops is found depends on the walk's order."""
-    edges = next_part_edges(spark, d, 48)
+    edges = next_part_edges(spark, d)
     groups = cycles.strong_components(edges)
     first = groups.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
     if first is None:
@@ -420,7 +448,7 @@ def cycle_path(spark, d):
 @query()
 def tiered_cycles(spark, d):
     """No SQL: signatures of member sets are sums of hashes."""
-    e = next_part_edges(spark, d, 48).withColumn("runs", F.when(F.col("pos") % 3 == 0, "deferred").when(F.col("pos") % 7 == 0, "type-checking").otherwise("module-level"))
+    e = next_part_edges(spark, d).withColumn("runs", F.when(F.col("pos") % 3 == 0, "deferred").when(F.col("pos") % 7 == 0, "type-checking").otherwise("module-level"))
     return cycles.tiered_cycles(e).select("tier", "component", "size", "signature")
 
 
@@ -476,12 +504,13 @@ _COCHANGE = """WITH cf AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS c, 's'
 revs AS (SELECT file, count(*) AS revs FROM s GROUP BY file),
 p AS (SELECT x.file AS a, y.file AS b, count(*) AS shared FROM s x JOIN s y ON x.c = y.c AND x.file < y.file GROUP BY ALL HAVING count(*) >= 3),
 pairs AS (SELECT a, b, shared, 2.0::DOUBLE * shared / (ra.revs + rb.revs) AS degree FROM p JOIN revs ra ON a = ra.file JOIN revs rb ON b = rb.file WHERE 2.0::DOUBLE * shared / (ra.revs + rb.revs) >= 0.05),
-linked AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT 's' || l_suppkey AS x, 's' || l_partkey % 100 AS y FROM lineitem WHERE l_quantity > 45) WHERE x <> y)
+linked AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT 's' || s_suppkey AS x, 's' || (s_suppkey * 7 + k) % 100 AS y FROM supplier, (SELECT unnest([3, 8, 21, 40]) AS k)) WHERE x <> y)
 """
 
 
 def _linked(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("s"), "l_suppkey").alias("x"), F.concat(F.lit("s"), F.col("l_partkey") % 100).alias("y"))
+    at = F.explode(F.array(*(F.lit(k) for k in (3, 8, 21, 40)))).alias("k")
+    li = table(spark, d, "supplier").select("s_suppkey", at).select(F.concat(F.lit("s"), "s_suppkey").alias("x"), F.concat(F.lit("s"), (F.col("s_suppkey") * 7 + F.col("k")) % 100).alias("y"))
     return li.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -681,7 +710,7 @@ def code_terms(spark, d):
 # Communities ----------------------------------------------------------------------------------------------------
 
 _WEIGHTS = """, inner_nodes AS (SELECT id, file, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, split_part(file, '/', 1) AS top, starts_with(file, 'tests/') AS test FROM nodes WHERE NOT external),
-weights AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE relation WHEN 'contains' THEN 1.5::DOUBLE WHEN 'references' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN confidence = 'INFERRED' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END
+weights AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE WHEN relation IN ('contains', 'calls') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN confidence = 'INFERRED' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END
   * CASE WHEN s.file = t.file THEN 1.0::DOUBLE WHEN s.dir = t.dir THEN 1.25::DOUBLE WHEN s.top <> t.top THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN s.test <> t.test THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END) AS weight
   FROM edges JOIN inner_nodes s ON src = s.id JOIN inner_nodes t ON dst = t.id WHERE src <> dst GROUP BY ALL),
 member AS (SELECT id, community FROM nodes WHERE community IS NOT NULL)
@@ -745,7 +774,7 @@ def directory_ties(spark, d):
 def community_partition(spark, d):
     """No SQL: an iterative optimisation; tests check its modularity."""
     nodes, edges = graph_view(spark, d)
-    return communities.partition(communities.edge_weights(nodes, edges).where("weight > 0"), rounds=6)
+    return communities.partition(communities.edge_weights(nodes, edges).where("weight > 0"))
 
 
 # Changes --------------------------------------------------------------------------------------------------------

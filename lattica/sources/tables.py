@@ -6,9 +6,13 @@ view in DuckDB's SQL, as the beginning of a WITH clause.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.snapshot import shared_dir
+
 #: Order of the kinds in the graph; a node's or edge's position is its kind's rank times this, plus its key.
 STEP = 1_000_000_000_000
 #: Parts above this size aren't nodes, so edges to them dangle.
@@ -19,6 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: dict[tuple, tuple] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """The view that ``make`` gives, written to the shared folder at its first use in a session, so that queries read
+    its columns instead of joining the tables again. Tables that have changed since are viewed anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in VIEWED])
+    stamp = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name, *stamp)
+    if key not in _written:
+        df = make(spark, sf_dir)
+        path = f"{shared_dir(spark)}/view-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _written[key] = path, df.schema
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Tables that the view reads.
+VIEWED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
 def _id(prefix: str, key: str):
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
@@ -35,7 +61,11 @@ def part_file():
 
 
 def node_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos, id, label, type, file, community, external."""
+    """pos, id, label, type, file, community, external; written once a session."""
+    return kept(spark, sf_dir, "nodes", _nodes)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     no = F.lit(False)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "n_regionkey", F.concat(F.lit("geo/"), "r_name", F.lit("/"), "n_name").alias("place"))
@@ -59,7 +89,12 @@ def _edge(df: DataFrame, rank: int, key, src, dst, relation: str, confidence) ->
 
 
 def edge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos, src, dst, relation, confidence; positions of one order's lines may tie, dst then decides."""
+    """pos, src, dst, relation, confidence; positions of one order's lines may tie, dst then decides. Written once a
+    session."""
+    return kept(spark, sf_dir, "edges", _edges)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     sure = F.lit("EXTRACTED")
     flag = F.when(F.col("l_returnflag") == "A", "AMBIGUOUS").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("EXTRACTED")
@@ -81,21 +116,22 @@ def graph_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return node_view(spark, sf_dir), edge_view(spark, sf_dir)
 
 
-def next_part_edges(spark: SparkSession, sf_dir: str, above: float) -> DataFrame:
-    """pos, src, dst, relation: each part to the next line's part of the same order, for lines of a larger quantity
-    than ``above``. It has cycles, unlike the references."""
+def next_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, src, dst, relation: each part to the next line's part of the same brand in the same order, for all lines.
+    It has cycles of many sizes and loops, unlike the references."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").withColumn("next", F.lead("l_partkey").over(order)).where((F.col("l_quantity") > above) & F.col("next").isNotNull())
+    order = Window.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    branded = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    lines = branded.withColumn("next", F.lead("l_partkey").over(order)).where("next is not null")
     return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), _id("p", "l_partkey").alias("src"), _id("p", "next").alias("dst"), F.lit("imports").alias("relation"))
 
 
 NEXT_PART_SQL = """
 next_part AS (
   SELECT 'p' || l_partkey AS src, 'p' || nxt AS dst, l_orderkey * 10 + l_linenumber AS pos FROM (
-    SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM lineitem
-  ) WHERE l_quantity > {above} AND nxt IS NOT NULL
+    SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nxt FROM lineitem JOIN part ON l_partkey = p_partkey
+  ) WHERE nxt IS NOT NULL
 )"""
 
 VIEW_SQL = """
