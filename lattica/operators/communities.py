@@ -47,34 +47,209 @@ def _both(weights: DataFrame) -> DataFrame:
     return weights.select("a", "b", "weight").unionByName(weights.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
-def partition(weights: DataFrame, rounds: int = 24, resolution: float = 1.0) -> DataFrame:
-    """(id, community): every node starts alone and moves to the neighbouring community of the greatest gain in
-    modularity, half of the nodes (by hash) in each round, until none moves.
+def partition(weights: DataFrame, rounds: int = 200, resolution: float = 1.0, tolerance: float = 1e-4, finest: int = 16, start: DataFrame | None = None) -> DataFrame:
+    """(id, community): every node starts alone (or in its community of ``start``: id, community) and moves to the
+    neighbouring community of the greatest gain in modularity, a part of the nodes (by a hash that changes) in each
+    round: a half at first, and a smaller part, down to one in ``finest``, whenever a round gains less than
+    ``tolerance`` of modularity. A round that loses is taken back, so moves that undo each other come to an end.
 
-    A distributed stand-in for sequential optimisation: each round is a join and two aggregations, and equal gains
-    go to the smallest id, so that reruns agree.
+    A distributed form of sequential local moves: each round is a join and two aggregations, and equal gains go to the
+    smallest community, so that reruns agree. Loops (a = b) count for a node's strength. ``RuntimeError`` if the moves
+    don't settle within ``rounds``.
     """
     links = cut(_both(weights), "links")
-    strength = cut(links.groupBy("a").agg(F.sum("weight").alias("k")), "strength")
+    strength = cut(links.groupBy("a").agg(F.sum(F.col("weight") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0]
-    now = cut(strength.select(F.col("a").alias("id"), F.col("a").alias("community")), "partition")
-    quiet = 0
+    now = strength.select(F.col("a").alias("id"), F.col("a").alias("community"))
+    if start is not None:
+        now = now.select("id").join(start.select("id", F.col("community").cast("string").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("community"))
+    now = cut(now, "partition")
+    if not total:
+        return _by_least(now)
+    between, parts, kept = links.where("a <> b"), 2, None
     for r in range(rounds):
-        kc = strength.join(now, strength["a"] == now["id"]).groupBy("community").agg(F.sum("k").alias("tot"))
-        to = links.where("a <> b").join(now.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        kc = cut(strength.join(now, strength["a"] == now["id"]).groupBy("community").agg(F.sum("k").alias("tot")), "strength")
         mine = now.join(strength, now["id"] == strength["a"]).select("id", F.col("community").alias("own"), "k")
-        met = to.join(kc, "community").join(mine, to["a"] == mine["id"])
-        gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)) / total
-        best = met.withColumn("gain", F.round(gain, 9)).groupBy("id").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).alias("stay"))).alias("c"), F.max("gain").alias("g"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("own_gain"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        move = turn & (F.col("g") > F.coalesce("own_gain", F.lit(0.0)) + 1e-9)
-        new = cut(now.join(best, "id", "left").select("id", F.when(move, F.col("c")).otherwise(F.col("community")).alias("community"), F.coalesce(move, F.lit(False)).alias("moved")), "partition")
-        quiet = 0 if new.where("moved").limit(1).count() else quiet + 1
-        now = new.select("id", "community")
-        if quiet == 2:
+        to = between.join(now.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        to = cut(to.join(mine, to["a"] == mine["id"]).select("id", "community", "w", "own", "k"), "moves")
+        inside = to.agg(F.sum(F.when(F.col("community") == F.col("own"), F.col("w")))).first()[0] or 0.0
+        quality = inside / total - resolution * (kc.agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] / total**2)
+        if kept is not None and quality < kept[0] + tolerance:
+            parts *= 2
+            if quality < kept[0]:
+                quality, now, kc, to = kept
+            if parts > finest:
+                return _by_least(now)
+        kept = quality, now, kc, to
+        cost = lambda tot, own: resolution * F.col("k") * (tot - F.when(own, F.col("k")).otherwise(0)) / total
+        own = F.col("community") == F.col("own")
+        met = to.join(kc, "community").withColumn("gain", F.round(F.col("w") - cost(F.col("tot"), own), 9))
+        best = met.groupBy("id").agg(F.min_by("community", F.struct(-F.col("gain"), ~own, F.col("community"))).alias("c"), F.max("gain").alias("g"), F.max(F.when(own, F.col("gain"))).alias("own_gain"), F.first("own").alias("own"), F.first("k").alias("k"))
+        # staying where no neighbour is gains nothing but still has its cost
+        best = best.join(kc.select(F.col("community").alias("own"), "tot"), "own").withColumn("own_gain", F.coalesce("own_gain", F.round(-cost(F.col("tot"), F.lit(True)), 9)))
+        move = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(parts)) == 0) & (F.col("g") > F.col("own_gain") + 1e-9)
+        now = cut(now.join(best.select("id", "c", move.alias("moves")), "id", "left").select("id", F.when(F.col("moves"), F.col("c")).otherwise(F.col("community")).alias("community")), "partition")
+    raise RuntimeError(f"the moves haven't settled in {rounds} rounds")
+
+
+def _by_least(member: DataFrame) -> DataFrame:
+    """Communities named by their smallest member."""
+    least = member.groupBy("community").agg(F.min("id").alias("least"))
+    return member.join(least, "community").select("id", F.col("least").alias("community"))
+
+
+def refine(weights: DataFrame, member: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, community): communities cut into parts that are connected inside; a part is named by its smallest id."""
+    of = lambda c, name: member.select(F.col("id").alias(c), F.col("community").alias(name))
+    inside = cut(_both(weights.where("a <> b")).join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b"), "inside")
+    now = cut(member.select("id", F.col("id").alias("part")), "parts")
+    for _ in range(rounds):
+        near = inside.join(now.select(F.col("id").alias("b"), F.col("part").alias("p")), "b").groupBy(F.col("a").alias("id")).agg(F.min("p").alias("m"))
+        step = now.join(near, "id", "left").select("id", "part", F.least("part", "m").alias("to"))
+        # a part follows its own node's part as well, so that long chains halve
+        jump = step.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        new = cut(step.join(jump, "to", "left").select("id", F.least("to", "further").alias("part"), (F.least("to", "further") < F.col("part")).alias("moved")), "parts")
+        now = new.select("id", "part")
+        if not new.where("moved").limit(1).count():
+            return now.select("id", F.col("part").alias("community"))
+    raise RuntimeError(f"parts haven't settled in {rounds} rounds")
+
+
+def leiden(weights: DataFrame, levels: int = 64, resolution: float = 1.0, start: DataFrame | None = None, **moves) -> DataFrame:
+    """(id, community): local moves, refinement into connected parts, and the same on the graph of those parts, in
+    which each community of the moves starts together, until a level joins nothing more.
+
+    Level by level a table of (node, part) and the aggregated weights are written; the graph shrinks with each.
+    """
+    own = cut(weights.select("a", "b", "weight"), "level")
+    nodes = cut(_both(own).select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("part")), "level")
+    for _ in range(levels):
+        moved = partition(own, resolution=resolution, start=start, **moves)
+        parts = cut(refine(own, moved), "level")
+        found = parts.join(moved.withColumnRenamed("community", "of"), "id")  # (id, community: its part, of)
+        before, after = parts.count(), parts.select("community").distinct().count()
+        nodes = cut(nodes.join(found.select(F.col("id").alias("part"), F.col("community").alias("next"), "of"), "part").select("id", F.col("next").alias("part"), "of"), "level")
+        if after == before:
+            return _by_least(nodes.select("id", F.col("of").alias("community")))
+        of = lambda c, name: parts.select(F.col("id").alias(c), F.col("community").alias(name))
+        own = cut(own.join(of("a", "pa"), "a").join(of("b", "pb"), "b").groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("weight").alias("weight")), "level")
+        start = found.select(F.col("community").alias("id"), F.col("of").alias("community")).distinct()
+        nodes = nodes.drop("of")
+    raise RuntimeError(f"more than {levels} levels")
+
+
+#: A community is cut again if it is larger than this and this share of all nodes, or so large and so loosely linked.
+SPLIT_SIZE, SPLIT_SHARE, LOOSE_SIZE, LOOSE = 10, 0.25, 50, 0.05
+
+
+def split(weights: DataFrame, edges: DataFrame, member: DataFrame, **moves) -> DataFrame:
+    """(id, community): what is too large, then what is too loosely linked (by ``edges``), partitioned once more by
+    itself; one that stays whole is kept."""
+    n = member.count()
+    for rule in ("large", "loose"):
+        if rule == "large":
+            chosen = member.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") > max(SPLIT_SIZE, int(n * SPLIT_SHARE)))
+        else:
+            chosen = cohesion(edges, member).where((F.col("size") >= LOOSE_SIZE) & (F.col("cohesion") < LOOSE))
+        chosen = cut(chosen.select("community"), "split")
+        if not chosen.limit(1).count():
+            continue
+        within = cut(member.join(chosen, "community", "left_semi"), "split")
+        of = lambda c, name: within.select(F.col("id").alias(c), F.col("community").alias(name))
+        inside = weights.join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b", "weight")
+        parts = leiden(inside, **moves)  # chosen communities have no weights between them, so one run serves all
+        again = within.join(parts.withColumnRenamed("community", "part"), "id", "left").select("id", F.coalesce("part", F.col("id")).alias("community"))
+        member = cut(member.join(chosen, "community", "left_anti").select("id", "community").unionByName(again), "split")
+    return _by_least(member)
+
+
+def settle(weights: DataFrame, edges: DataFrame, before: DataFrame | None = None, passes: int = 6, **moves) -> DataFrame:
+    """(id, community) that another pass, starting from it, gives again: partitions and splits until a result comes
+    back. If states alternate, the one that agrees most with where the passes began (``before``, or the first result)
+    is kept; of equals the earliest. After ``passes`` the last state counts."""
+    once = lambda start: cut(split(weights, edges, leiden(weights, start=start, **moves), **moves), "settled")
+    mark = lambda m: m.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()
+    states = [once(before)]
+    marks = [mark(states[0])]
+    reference = before if before is not None else states[0]
+    for _ in range(passes):
+        new = once(states[-1])
+        m = mark(new)
+        if m == marks[-1]:
+            return states[-1]
+        if m in marks:
+            cycle = states[marks.index(m) :]
+            agree = [overlap(s, reference).groupBy("old").agg(F.max("shared").alias("s")).agg(F.sum("s")).first()[0] or 0 for s in cycle]
+            return cycle[agree.index(max(agree))]
+        states.append(new)
+        marks.append(m)
+    return states[-1]
+
+
+def by_size(member: DataFrame) -> DataFrame:
+    """(id, community) with communities numbered from 0: largest first, of equals the one with the smallest member."""
+    from .traverse import _numbered
+
+    sizes = member.groupBy("community").agg(F.struct((-F.count("*")).alias("size"), F.min("id").alias("least")).alias("order"))
+    return member.join(_numbered(sizes, 0).select("community", "rank"), "community").select("id", F.col("rank").alias("community"))
+
+
+def remap(member: DataFrame, before: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, community): the new communities (numbers) under the ids of the earlier ones that they share most members
+    with; each earlier id goes once, to the largest overlap first (of equals the smallest old, then new); the others
+    take the lowest free numbers.
+
+    A pair that is the best for both its sides is what taking pairs in order would take, so each round takes all such
+    pairs at once.
+    """
+    left = cut(overlap(before, member), "overlaps")
+    order = F.struct(-F.col("shared"), F.col("old"), F.col("new"))
+    taken = cut(left.limit(0).select("old", "new"), "taken")
+    for _ in range(rounds):
+        best = left.groupBy("old").agg(F.min_by("new", order).alias("new")).join(left.groupBy("new").agg(F.min_by("old", order).alias("old")), ["old", "new"])
+        best = cut(best.select("old", "new"), "taken")
+        if not best.limit(1).count():
             break
-    least = now.groupBy("community").agg(F.min("id").alias("least"))
-    return now.join(least, "community").select("id", F.col("least").alias("community"))
+        taken = cut(taken.unionByName(best), "taken")
+        left = cut(left.join(best.select("old"), "old", "left_anti").join(best.select("new"), "new", "left_anti"), "overlaps")
+    else:
+        raise RuntimeError(f"ids aren't matched in {rounds} rounds")
+    rest = member.select(F.col("community").alias("new")).distinct().join(taken, "new", "left_anti")
+    n = taken.count() + rest.count()
+    free = member.sparkSession.range(n).select(F.col("id").alias("number")).join(taken.select(F.col("old").cast("long").alias("number")), "number", "left_anti")
+    place = lambda df, column: df.withColumn("order", F.struct(F.col(column).alias("v")))
+    from .traverse import _numbered
+
+    given = _numbered(place(rest, "new"), 0).select("new", "rank").join(_numbered(place(free, "number"), 0).select("number", "rank"), "rank").select(F.col("number").alias("old"), "new")
+    ids = taken.select(F.col("old").cast("long").alias("old"), "new").unionByName(given)
+    return member.join(ids, member["community"] == ids["new"]).select("id", F.col("old").alias("community"))
+
+
+def surviving_labels(labels: DataFrame, before: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows of ``labels`` (community, name) that still name their community: its members are the same, or those it
+    shares with the earlier one of this id are more than half of both."""
+    old, new = before.groupBy("community").agg(F.count("*").alias("o")), member.groupBy("community").agg(F.count("*").alias("n"))
+    shared = overlap(before, member).where("old = new").select(F.col("old").alias("community"), "shared")
+    fits = shared.join(old, "community").join(new, "community").where("(shared = o and shared = n) or (2 * shared > o and 2 * shared > n)")
+    return labels.join(fits.select("community"), "community", "left_semi")
+
+
+def placeholder_names(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """(community, name): the saved name, else ``Community N``."""
+    own = member.select("community").distinct().join(labels.select("community", "name"), "community", "left")
+    return own.select("community", F.coalesce("name", F.concat(F.lit("Community "), F.col("community").cast("string"))).alias("name"))
+
+
+def wiki(nodes: DataFrame, edges: DataFrame, member: DataFrame, community, boundary: int = 50) -> DataFrame:
+    """(part, src, dst, relation): a community's page: its members, the edges inside, and the first ``boundary`` edges
+    that cross its border, in graph order."""
+    own = member.where(F.col("community") == community).select("id")
+    there = nodes.join(own, "id", "left_semi").select(F.lit("member").alias("part"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("relation"))
+    flag = lambda c: own.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_in"))
+    met = edges.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left").where("src_in or dst_in")
+    inside = met.where("src_in and dst_in").select(F.lit("internal").alias("part"), "src", "dst", "relation")
+    across = met.where("src_in is null or dst_in is null").orderBy("pos", "src", "dst", "relation").limit(boundary).select(F.lit("boundary").alias("part"), "src", "dst", "relation")
+    return there.unionByName(inside).unionByName(across)
 
 
 def modularity(weights: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -106,11 +281,22 @@ def overlap(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.groupBy("old", "new").agg(F.count("*").alias("shared"))
 
 
+#: A directory that more than this share of a community's files lie in stands before its name.
+NAME_SHARE = 0.6
+
+
 def names(nodes: DataFrame, edges: DataFrame, member: DataFrame) -> DataFrame:
-    """(community, name): the member of the highest degree, after the directory that more than 60 % share."""
+    """(community, name): its member with the most edges that isn't external, of equals the smallest id, without
+    leading dots and ``()``; after the directory that most of its files share."""
     from .degree import degrees
 
-    met = member.join(nodes.select("id", "label", dirname(F.coalesce("file", F.lit(""))).alias("dir")), "id").join(degrees(edges), "id", "left").fillna(0, ["degree"])
-    best = met.groupBy("community").agg(F.min_by("label", F.struct(-F.col("degree"), F.col("id"))).alias("label"), F.count("*").alias("n"))
-    dirs = met.groupBy("community", "dir").agg(F.count("*").alias("k")).groupBy("community").agg(F.max_by("dir", F.struct("k", "dir")).alias("dir"), F.max("k").alias("k"))
-    return best.join(dirs, "community").select("community", F.when((F.col("k") > 0.6 * F.col("n")) & (F.col("dir") != ""), F.concat_ws(": ", "dir", "label")).otherwise(F.col("label")).alias("name"))
+    external = F.coalesce("external", F.lit(False)) if "external" in nodes.columns else F.lit(False)
+    file = F.coalesce("file", F.lit(""))
+    met = member.join(nodes.select("id", "label", external.alias("external"), file.alias("file")), "id").join(degrees(edges.where("src <> dst")), "id", "left").fillna(0, ["degree"])
+    label = F.regexp_replace(F.regexp_replace(F.trim("label"), r"^[.]+", ""), r"\(\)$", "")
+    label = F.when(F.coalesce(label, F.lit("")) == "", F.col("id")).otherwise(label)
+    best = met.groupBy("community").agg(F.min_by(label, F.struct("external", -F.col("degree"), F.col("id"))).alias("label"), F.count("*").alias("n"), F.count_if(F.col("file") != "").alias("placed"))
+    dirs = met.where("file <> ''").groupBy("community", dirname(F.col("file")).alias("dir")).agg(F.count("*").alias("k")).groupBy("community").agg(F.min_by(F.struct("dir", "k"), F.struct(-F.col("k"), F.col("dir"))).alias("d"))
+    own = best.join(dirs, "community", "left")
+    shared = (F.col("n") > 1) & (F.col("d.dir") != "") & (F.col("d.k") > NAME_SHARE * F.col("placed"))
+    return own.select("community", F.when(shared, F.concat_ws(": ", "d.dir", "label")).otherwise(F.col("label")).alias("name"))

@@ -777,6 +777,102 @@ def community_partition(spark, d):
     return communities.partition(communities.edge_weights(nodes, edges).where("weight > 0"))
 
 
+def _brand_weights(spark, d):
+    """Parts that follow each other in orders, within a brand: many communities of several sizes."""
+    e = next_part_edges(spark, d).where("src <> dst")
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("weight"))
+
+
+@query()
+def community_leiden(spark, d):
+    """No SQL: an iterative optimisation; tests compare its modularity and that communities are connected."""
+    return communities.leiden(_brand_weights(spark, d))
+
+
+@query()
+def community_settled(spark, d):
+    """No SQL: passes of partition and split until one gives itself again; numbered by size."""
+    return communities.by_size(communities.settle(_brand_weights(spark, d), next_part_edges(spark, d)))
+
+
+_BEFORE = "member AS (SELECT 'p' || p_partkey AS id, p_partkey % 10 AS old, (p_partkey * 7 + p_size) % 12 AS new FROM part), o AS (SELECT old, new, count(*) AS shared FROM member GROUP BY ALL)"
+
+
+def _two_partitions(spark, d):
+    part = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), (F.col("p_partkey") % 10).alias("old"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 12).alias("new"))
+    return part.select("id", F.col("old").alias("community")), part.select("id", F.col("new").alias("community"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + _BEFORE
+    + """, pick AS (SELECT 0 AS step, CAST([] AS BIGINT[]) AS olds, CAST([] AS BIGINT[]) AS news, CAST(NULL AS BIGINT) AS old, CAST(NULL AS BIGINT) AS new
+  UNION ALL SELECT step + 1, list_append(olds, x.old), list_append(news, x.new), x.old, x.new FROM pick, LATERAL (SELECT old, new FROM o WHERE NOT list_contains(olds, o.old) AND NOT list_contains(news, o.new) ORDER BY shared DESC, old, new LIMIT 1) x),
+taken AS (SELECT old, new FROM pick WHERE step > 0),
+rest AS (SELECT new, row_number() OVER (ORDER BY new) AS r FROM (SELECT DISTINCT new FROM member WHERE new NOT IN (SELECT new FROM taken))),
+free AS (SELECT i, row_number() OVER (ORDER BY i) AS r FROM (SELECT unnest(range(100)) AS i) WHERE i NOT IN (SELECT old FROM taken)),
+ids AS (SELECT old, new FROM taken UNION ALL SELECT i, new FROM rest JOIN free USING (r))
+SELECT id, ids.old AS community FROM member JOIN ids ON member.new = ids.new""",
+    view=False,
+)
+def community_remap(spark, d):
+    before, after = _two_partitions(spark, d)
+    return communities.remap(after, before)
+
+
+@query("WITH c AS (SELECT p_size AS community, count(*) AS n, min('p' || p_partkey) AS least FROM part GROUP BY p_size), r AS (SELECT community, row_number() OVER (ORDER BY n DESC, least) - 1 AS number FROM c) SELECT 'p' || p_partkey AS id, number AS community FROM part JOIN r ON p_size = r.community", view=False)
+def communities_by_size(spark, d):
+    return communities.by_size(table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_size").alias("community")))
+
+
+_SIZES = """WITH m AS (SELECT 'p' || p_partkey AS id, p_size AS old, CASE WHEN p_size % 3 = 0 THEN p_size WHEN p_partkey % 10 < p_size % 10 THEN p_size ELSE 0 END AS new FROM part),
+fits AS (SELECT old AS community FROM (SELECT old, count(*) AS o, count(*) FILTER (new = old) AS shared FROM m GROUP BY old) a JOIN (SELECT new, count(*) AS n FROM m GROUP BY new) b ON a.old = b.new WHERE 2 * shared > o AND 2 * shared > n),
+label AS (SELECT DISTINCT p_size AS community, 'Size ' || p_size AS name FROM part WHERE p_size % 4 <> 1)
+"""
+
+
+def _sizes(spark, d):
+    size = F.col("p_size")
+    new = F.when(size % 3 == 0, size).when(F.col("p_partkey") % 10 < size % 10, size).otherwise(0)
+    m = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), size.alias("old"), new.alias("new"))
+    labels = table(spark, d, "part").where(size % 4 != 1).select(size.alias("community"), F.concat(F.lit("Size "), size.cast("string")).alias("name")).distinct()
+    return m.select("id", F.col("old").alias("community")), m.select("id", F.col("new").alias("community")), labels
+
+
+@query(_SIZES + "SELECT * FROM label WHERE community IN (SELECT community FROM fits)", view=False)
+def surviving_labels(spark, d):
+    before, after, labels = _sizes(spark, d)
+    return communities.surviving_labels(labels, before, after)
+
+
+@query(_SIZES + "SELECT DISTINCT new AS community, coalesce(name, 'Community ' || new) AS name FROM m LEFT JOIN label ON new = community", view=False)
+def placeholder_names(spark, d):
+    _, after, labels = _sizes(spark, d)
+    return communities.placeholder_names(after, labels)
+
+
+@query(
+    """, member AS (SELECT id FROM nodes WHERE community = 3), i AS (SELECT *, src IN (SELECT id FROM member) AS s, dst IN (SELECT id FROM member) AS t FROM edges)
+SELECT 'member' AS part, id AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS relation FROM member UNION ALL SELECT 'internal', src, dst, relation FROM i WHERE s AND t
+UNION ALL SELECT * FROM (SELECT 'boundary', src, dst, relation FROM i WHERE s <> t ORDER BY pos, src, dst, relation LIMIT 50)"""
+)
+def community_wiki(spark, d):
+    nodes, edges = graph_view(spark, d)
+    return communities.wiki(nodes, edges, _member(nodes), 3)
+
+
+@query(
+    """, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id),
+m AS (SELECT nodes.*, regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (id) WHERE community IS NOT NULL),
+b AS (SELECT community, arg_min(label, (external, -degree, id)) AS label, count(*) AS n FROM m GROUP BY community),
+k AS (SELECT community, arg_min({'dir': dir, 'k': k}, (-k, dir)) AS d FROM (SELECT community, dir, count(*) AS k FROM m GROUP BY ALL) GROUP BY community)
+SELECT b.community, CASE WHEN n > 1 AND d.dir <> '' AND d.k > 0.6 * n THEN d.dir || ': ' || label ELSE label END AS name FROM b JOIN k USING (community)"""
+)
+def community_names(spark, d):
+    nodes, edges = graph_view(spark, d)
+    return communities.names(nodes, edges, _member(nodes))
+
+
 # Changes --------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,8 @@ import json
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lattica.operators import communities, cycles, review, scope, search, spans, traverse
@@ -180,3 +182,95 @@ def test_bursts_on_a_stream_equal_a_batch(spark, tmp_path):
     run.awaitTermination(120)
     pick = lambda df: sorted((r.key, r.n, tuple(r["items"])) for r in df.collect())
     assert pick(spark.table("bursts")) == pick(watch.bursts(batch, F.col("k"), F.col("i"))) == [("k", 1, ("a",)), ("k", 2, ("a", "b")), ("z", 1, ("c",))]
+
+
+def weights_of(spark, pairs):
+    return spark.createDataFrame([(min(a, b), max(a, b), 1.0) for a, b in pairs], "a string, b string, weight double")
+
+
+def clique(names):
+    return [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+
+
+def test_leiden_finds_a_ring_of_cliques(spark):
+    """Eight cliques in a ring: one community for each, all connected, and no less modular than brute force finds."""
+    groups = [[f"c{g}n{k}" for k in range(5)] for g in range(8)]
+    pairs = [p for g in groups for p in clique(g)] + [(groups[g][0], groups[(g + 1) % 8][1]) for g in range(8)]
+    w = weights_of(spark, pairs)
+    member = communities.leiden(w)
+    got = {}
+    for r in member.collect():
+        got.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+    kept = communities.settle(w, edges_of(spark, pairs))
+    assert {(r.id, r.community) for r in kept.collect()} == {(r.id, r.community) for r in member.collect()}
+    assert {r.id for r in communities.by_size(kept).where("community = 0").collect()} == set(groups[0])
+
+
+def test_refine_cuts_what_isnt_connected(spark):
+    chain = [(f"a{k:02d}", f"a{k + 1:02d}") for k in range(30)]
+    w = weights_of(spark, chain + [("x", "y"), ("y", "a00")])
+    member = spark.createDataFrame([(f"a{k:02d}", "one") for k in range(31)] + [("x", "one"), ("y", "two")], "id string, community string")
+    got = {r.id: r.community for r in communities.refine(w, member).collect()}
+    assert got == {f"a{k:02d}": "a00" for k in range(31)} | {"x": "x", "y": "y"}
+
+
+def test_split_cuts_large_communities_once_more(spark):
+    groups = [[f"c{g}n{k}" for k in range(6)] for g in range(3)]
+    pairs = [p for g in groups for p in clique(g)] + [("c0n0", "c1n0"), ("c1n1", "c2n0")]
+    all_in_one = spark.createDataFrame([(n, "c0n0") for g in groups for n in g], "id string, community string")
+    got = {}
+    for r in communities.split(weights_of(spark, pairs), edges_of(spark, pairs), all_in_one).collect():
+        got.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
+def test_remap_is_greedy_by_overlap(spark):
+    random.seed(9)
+    old = {f"n{k}": random.randrange(12) for k in range(300)}
+    new = {n: (c if random.random() < 0.6 else random.randrange(15)) for n, c in old.items() if random.random() < 0.95} | {f"m{k}": 20 for k in range(5)}
+    shared = {}
+    for n, c in new.items():
+        if n in old:
+            shared[old[n], c] = shared.get((old[n], c), 0) + 1
+    ids, used = {}, set()
+    for (o, c), _ in sorted(shared.items(), key=lambda x: (-x[1], x[0])):
+        if c not in ids and o not in used:
+            ids[c] = o
+            used.add(o)
+    free = (k for k in range(100) if k not in used)
+    for c in sorted(set(new.values())):
+        if c not in ids:
+            ids[c] = next(free)
+    frame = lambda m: spark.createDataFrame(list(m.items()), "id string, community long")
+    assert {r.id: r.community for r in communities.remap(frame(new), frame(old)).collect()} == {n: ids[c] for n, c in new.items()}
+
+
+def test_relation_weights_by_hand(spark):
+    """Fixed weights: what joins what, how surely, and where both lie."""
+    nodes = spark.createDataFrame([("f", "m.py", "src/a/m.py"), ("g", "g()", "src/a/g.py"), ("h", "h()", "lib/h.py"), ("t", "t()", "tests/t.py"), ("i", "i()", "src/a/m.py")], "id string, label string, file string").withColumn("external", F.lit(False))
+    rows = [("i", "f", "contains", None, 1.0), ("g", "i", "inherits", None, 1.5 * 1.25), ("g", "f", "imports", None, 0.7 * 1.25), ("h", "i", "imports_from", "EXTRACTED", 0.4 * 0.6), ("h", "g", "calls", "INFERRED", 0.5 * 0.6), ("t", "h", "extends", None, 0.5 * 0.6 * 0.1), ("i", "i", "calls", None, 0.0)]
+    edges = spark.createDataFrame([(k, a, b, r, c) for k, (a, b, r, c, _) in enumerate(rows)], "pos long, src string, dst string, relation string, confidence string")
+    got = {(r.a, r.b): round(r.weight, 9) for r in communities.edge_weights(nodes, edges).collect()}
+    assert got == {tuple(sorted((a, b))): round(w, 9) for a, b, _, _, w in rows if a != b}
+
+
+def test_stems_and_vendored_names(spark):
+    want = {"retries": "retry", "retried": "retry", "classes": "class", "parses": "pars", "parsed": "pars", "parse": "pars", "bus": "bus", "this": "this", "class": "class", "users": "user", "names": "nam", "running": "runn", "ring": "ring", "red": "red", "used": "used", "ease": "eas", "dies": "die", "ied": "ied"}
+    frame = spark.createDataFrame([(w,) for w in want], "w string").select("w", search.stem(F.col("w")).alias("s"))
+    assert {r.w: r.s for r in frame.collect()} == want
+    from lattica.functions.paths import is_minified, is_test_path, is_vendored
+
+    paths = {"_vendor/x.py": 1, "lib/site-packages/a.py": 1, "external/a.py": 0, "a/decorate-BgofJUJ5.js": 1, "main.3f2a1b9c.js": 1, "main.12345678.js": 0, "my-component.js": 0, "a.min.css": 1, "vendored/z": 1}
+    assert {r.p: r.v for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", is_vendored(F.col("p")).alias("v")).collect()} == {p: bool(v) for p, v in paths.items()}
+    tests = {"a/jvmTest/x.kt": 1, "Foo.Tests.Xml/a.cs": 1, "src/OwnerControllerTests.java": 1, "src/TypeSpec.java": 0, "x_tests.py": 1, "conftest.py": 1, "src/contest.py": 0, "e2e/a.ts": 1, "a.spec.ts": 1}
+    assert {r.p: r.v for r in spark.createDataFrame([(p,) for p in tests], "p string").select("p", is_test_path(F.col("p")).alias("v")).collect()} == {p: bool(v) for p, v in tests.items()}
+    long = spark.createDataFrame([("a.js", "x" * 400), ("a.js", "x\n" * 400), ("a.py", "x" * 400), ("a.css", None)], "p string, t string").select(is_minified(F.col("p"), F.col("t")).alias("m"))
+    assert [r.m for r in long.collect()] == [True, False, False, False]
+
+
+def test_scope_flags(spark):
+    assert scope.parse_scope("+Minified -TEST +externals src/** !docs/").__dict__ == {"include": ["src"], "exclude": ["docs"], "tests": False, "external": True, "vendored": True}
+    with pytest.raises(ValueError, match="tset"):
+        scope.parse_scope("-tset")
+    assert "dispatches_to" in scope.relations("calls") and "references" not in scope.relations("types") and "http_calls" in scope.relations("code")
