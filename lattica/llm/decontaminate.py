@@ -33,7 +33,22 @@ SHARE = 20
 #: Lower-cases A-Z; every other ASCII character but 0-9 and a-z separates words.
 _FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: A segment: its documents, its terms in order, where each term's list ends, and the lists.
-INDEX = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<string>, ends array<int>, docs array<int>, positions array<int>"
+INDEX = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<string>, ends binary, docs binary, positions binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """32-bit integers as compressed differences, byte by byte; lists of a term ascend, so most bytes are zero."""
+    import zstandard
+
+    d = np.diff(x.astype("<i4"), prepend=np.int32(0)).astype("<i4")
+    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
 
 
 def words(data: bytes) -> list[bytes]:
@@ -126,7 +141,8 @@ def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
         for batch in batches:
             n_words, terms, ends, where, positions = segment(batch.column(2))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
-            yield pa.RecordBatch.from_arrays([*map(one, (batch.column(0), batch.column(1), n_words, terms.cast(pa.string()), ends, where, positions))], names=[c.split()[0] for c in INDEX.split(", ")])
+            lists = [pa.array([packed(x)], pa.binary()) for x in (ends, where, positions)]
+            yield pa.RecordBatch.from_arrays([*map(one, (batch.column(0), batch.column(1), n_words, terms.cast(pa.string()))), *lists], names=[c.split()[0] for c in INDEX.split(", ")])
 
     own = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
     return own.transform(small_batches).mapInArrow(of, INDEX)
@@ -144,7 +160,7 @@ def frequencies(index: DataFrame, vocabulary: list[str]) -> np.ndarray:
             for terms, ends in zip(batch.column(0), batch.column(1)):
                 at = pc.index_in(terms.values, value_set=known)
                 found = at.is_valid().to_numpy(zero_copy_only=False)
-                total[at.drop_null().to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)[found]
+                total[at.drop_null().to_numpy()] += np.diff(unpacked(ends.as_py()), prepend=0)[found]
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["term", "n"])
 
@@ -227,7 +243,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
         for batch in batches:
             for rows, ids, n_words, terms, ends, docs, positions in zip(*batch.columns):
                 n = len(n_words)
-                found, pairs, near = matches(windows, terms.values, *(x.values.to_numpy(zero_copy_only=False) for x in (ends, docs, positions)), slop)
+                found, pairs, near = matches(windows, terms.values, *(unpacked(x.as_py()) for x in (ends, docs, positions)), slop)
                 starts, stops, items = [[]] * n, [[]] * n, [[]] * n
                 for doc in np.unique(found).tolist():
                     own = pairs[found == doc]

@@ -115,7 +115,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(x) for x in found], pa.list_(pa.int64()))], names=["y", "terms"])
 
     met = docs.select(F.col("doc_id").cast("long").alias("k"), text_bytes().alias("data")).join(F.broadcast(own), "k")  # at most ``sample`` rows
-    met = met.groupBy("k", "y").agg(F.min("data").alias("data")).select("y", "data")
+    again = written(met.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "repeated-ids")
+    once = met.join(F.broadcast(again), "k", "left_anti")
+    if again.limit(1).count():  # texts are only compared where an id has several
+        once = once.unionByName(met.join(F.broadcast(again), "k", "left_semi").groupBy("k", "y").agg(F.min("data").alias("data")).select("k", "data", "y"))
+    met = once.select("y", "data")
     rows = written(met.transform(small_batches).mapInArrow(terms_of, "y int, terms array<long>"), "terms")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     p = (pos + 0.5) / (n + 1)
