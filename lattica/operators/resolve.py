@@ -129,3 +129,25 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (src, dst, relation): the site of the first, the surest confidence, the earliest run."""
     sure = F.element_at(F.create_map(*(F.lit(x) for x in ("EXTRACTED", 0, "INFERRED", 1, "AMBIGUOUS", 2))), F.coalesce("confidence", F.lit("EXTRACTED")))
     return edges.groupBy("src", "dst", "relation").agg(F.min("pos").alias("pos"), F.min_by("confidence", sure).alias("confidence"), F.count("*").alias("n"))
+
+
+def did_you_mean(nodes: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(rank, name, why) for a key that no node has: up to ``n`` alternatives, those that contain it first, then those
+    that are spelled like it."""
+    bare = bare_name(F.col("label"))
+    part = nodes.where(F.contains(F.lower("label"), F.lit(key.lower()))).groupBy(bare.alias("name")).agg(F.min("pos").alias("pos")).select("name", F.lit("contains").alias("why"), F.lit(0).alias("prio"), F.col("pos").cast("double").alias("order"))
+    like = close_matches(nodes, key, n).select("name", F.lit("spelled like").alias("why"), F.lit(1).alias("prio"), (-F.col("score")).alias("order"))
+    both = part.unionByName(like).groupBy("name").agg(F.min(F.struct("prio", "order", "why")).alias("x"))
+    order = Window.orderBy("x.prio", "x.order", "name")
+    best = both.orderBy("x.prio", "x.order", "name").limit(n)  # so few rows that one window numbers them
+    return best.select(F.row_number().over(order).cast("long").alias("rank"), "name", F.col("x.why").alias("why"))
+
+
+def explain(nodes: DataFrame, edges: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """(part, id, relation, n): what is known of a key: the node it means (``node``), its neighbours by relation and
+    direction (``out``, ``in``) with how many there are of each; the first ``limit`` of each direction by relation, id."""
+    picked = pick(nodes, key).select("id")
+    met = edges.join(picked.withColumnRenamed("id", "src"), "src", "left_semi").select(F.lit("out").alias("part"), F.col("dst").alias("id"), "relation").unionByName(edges.join(picked.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.lit("in").alias("part"), F.col("src").alias("id"), "relation"))
+    counted = met.groupBy("part", "id", "relation").agg(F.count("*").alias("n"))
+    first = counted.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("relation", "id"))).where(F.col("k") <= limit).drop("k")
+    return picked.select(F.lit("node").alias("part"), "id", F.lit(None).cast("string").alias("relation"), F.lit(None).cast("long").alias("n")).unionByName(first)

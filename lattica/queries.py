@@ -908,3 +908,10 @@ def upsert_rows(spark, d):
 def prune_nodes(spark, d):
     nodes, edges = graph_view(spark, d)
     return graph_json.prune(nodes, edges, nodes.where(~F.startswith("file", F.lit("catalog/Brand#1/"))).select("file"))[0].select("id", "label", "type")
+
+
+# Queries over source files, histories and walks have a module of their own.
+from . import code_queries  # noqa: E402
+
+QUERIES |= code_queries.QUERIES
+ORACLE_SQL |= code_queries.ORACLE_SQL

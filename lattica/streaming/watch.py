@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,34 @@ def upsert(table: DataFrame, fresh: DataFrame, key: str, removed: DataFrame | No
     if removed is not None:
         out = out.join(removed.select(key), key, "left_anti")
     return out.select(table.columns).unionByName(fresh.select(table.columns))
+
+
+def feed(spark: SparkSession, root: str, pattern: str = "*", each: int = 1000) -> DataFrame:
+    """A stream of (file, ts, size, text) of the files that appear or change below a folder, ``each`` a batch.
+
+    Spark's file source remembers in the checkpoint which files it has seen, so a restarted stream goes on where it
+    ended.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    made = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", each).load(root)
+    return made.select(F.col("path").alias("file"), F.col("modificationTime").alias("ts"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+
+
+def judge_changes(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """(file, change) of a batch of files (file, text; null text: removed) against the shapes known (file, shape):
+    new, structural, cosmetic or removed. A removed file that wasn't known is nothing."""
+    from ..sources.git import shapes
+
+    now = shapes(batch).withColumnRenamed("shape", "now").join(batch.select("file", F.col("text").isNull().alias("gone")).distinct(), "file")
+    met = now.join(known.select("file", F.col("shape").alias("was"), F.lit(True).alias("known")), "file", "left")
+    change = F.when(F.col("gone"), F.when(F.col("known"), "removed")).when(F.col("known").isNull(), "new").when(F.col("was") == F.col("now"), "cosmetic").otherwise("structural")
+    return met.select("file", change.alias("change")).where("change is not null")
+
+
+def apply_batch(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """The shapes (file, shape) after a batch: removed files go, others have their new shape. For ``foreachBatch``,
+    written as a table of its own each time."""
+    from ..sources.git import shapes
+
+    fresh = shapes(batch.where("text is not null"))
+    return known.join(batch.select("file").distinct(), "file", "left_anti").select("file", "shape").unionByName(fresh)
