@@ -25,6 +25,10 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: For tables of large values that are compressed already: small row groups, no second compression.
+LARGE_VALUES = {"compression": "none", "parquet.block.size": 16 << 20}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,7 +3,7 @@
 1. *Index.* One scan of the texts writes the index in segments, as search engines do: a segment is a row that covers a
    batch of documents and holds, for each of their terms in order, the list of (document, position) of its occurrences.
    All terms are stored, so one index serves any number of test sets without reading the texts again. Segments are
-   bounded by ``BATCH_BYTES`` of text (or one larger text); a term that is common in the corpus has a part of its list
+   bounded by ``SEGMENT_BYTES`` of text (or one larger text); a term that is common in the corpus has a part of its list
    in each segment, so no list is ever gathered in one task, and the index needs no shuffle.
 2. *Statistics.* The corpus frequency of each test term, from the segments' term lists alone, orders the terms of each
    test window from rarest to commonest.
@@ -23,9 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_bytes, text_hash, written
+from .common import LARGE_VALUES, small_batches, table, text_bytes, text_hash, written
 
 WINDOW = 13
+#: Bytes of text in a segment.
+SEGMENT_BYTES = 2 << 20
 #: Words of test items that are sent to the tasks at once.
 BLOCK_WORDS = 200_000
 #: A document with at least one hit word in so many words is contaminated.
@@ -101,6 +103,22 @@ def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tup
         yield block
 
 
+def _parts(batch):
+    """An Arrow batch in parts of about ``SEGMENT_BYTES`` of text; a larger text is a part of its own. What a part took
+    goes back to the system before the next one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + SEGMENT_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
+        at = end
+
+
 def segment(texts) -> tuple:
     """(n_words, terms, ends, docs, positions) of a segment over an Arrow array of texts as binary."""
     import pyarrow as pa
@@ -120,7 +138,7 @@ def segment(texts) -> tuple:
     coded = flat.filter(pa.array(real)).dictionary_encode()
     of = of[real]
     n_words = np.bincount(of, minlength=n).astype(np.int32)
-    positions = np.arange(len(of), dtype=np.int64) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+    positions = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(n_words) - n_words).astype(np.int32), n_words)
     terms = coded.dictionary
     order = pc.sort_indices(terms).to_numpy()
     place = np.empty(len(order), np.int32)
@@ -128,7 +146,7 @@ def segment(texts) -> tuple:
     numbers = place[coded.indices.to_numpy()]
     sort = np.argsort(numbers, kind="stable")
     ends = np.cumsum(np.bincount(numbers, minlength=len(order))).astype(np.int32)
-    return n_words, terms.take(pa.array(order)), ends, of[sort], positions[sort].astype(np.int32)
+    return n_words, terms.take(pa.array(order)), ends, of[sort], positions[sort]
 
 
 def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
@@ -138,7 +156,7 @@ def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
     def of(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b)):
             n_words, terms, ends, where, positions = segment(batch.column(2))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
             lists = [pa.array([packed(x)], pa.binary()) for x in (ends, where, positions)]
@@ -241,6 +259,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
 
         ints, strings = pa.list_(pa.int64()), pa.list_(pa.string())
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for rows, ids, n_words, terms, ends, docs, positions in zip(*batch.columns):
                 n = len(n_words)
                 found, pairs, near = matches(windows, terms.values, *(unpacked(x.as_py()) for x in (ends, docs, positions)), slop)
@@ -275,7 +294,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     occurrence of a window is hit. Null or blank texts have no words, items without words no window; repeated
     rows each get their own result; no items, no hits. Other columns are ignored.
     """
-    return hits(written(build_index(docs), "postings"), items, window, slop, limit).drop("row")
+    return hits(written(build_index(docs), "postings", **LARGE_VALUES), items, window, slop, limit).drop("row")
 
 
 def hits(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, limit: int = BLOCK_WORDS) -> DataFrame:
@@ -312,7 +331,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows are told apart by id and text, so null and repeated ids don't take others with them; null and empty texts
     stay. No rows or no items: nothing goes. Other columns, whatever their names, come through.
     """
-    found = hits(written(build_index(docs.select("doc_id", "text"), text_hash()), "postings"), items)
+    found = hits(written(build_index(docs.select("doc_id", "text"), text_hash()), "postings", **LARGE_VALUES), items)
     bad = found.where(contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
     left = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_row"))
     return left.join(bad, left["own_id"].eqNullSafe(bad["bad_id"]) & (left["own_row"] == bad["bad_row"]), "left_anti").select("whole.*")

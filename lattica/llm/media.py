@@ -23,7 +23,7 @@ from html import unescape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_bytes, written
+from .common import LARGE_VALUES, small_batches, table, text_bytes, written
 from .html import ATTRIBUTE, CLOSE, TOKEN
 
 WIDTH = 64
@@ -162,10 +162,6 @@ def describe(stored: bytes) -> tuple:
 DESCRIPTION = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-#: Images are compressed already; small row groups keep what a task holds of them small.
-STORED = {"compression": "none", "parquet.block.size": 16 << 20}
-
-
 def image_store(payloads: DataFrame) -> DataFrame:
     """The written store of ``payloads`` (digest, data): (digest, n_bytes, media), media being the stored images.
 
@@ -187,7 +183,7 @@ def image_store(payloads: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()))], names=["digest", "n_bytes", "media"])
 
-    return written(payloads.select("digest", "data").transform(small_batches).mapInArrow(of, "digest string, n_bytes long, media binary"), "image-store", **STORED)
+    return written(payloads.select("digest", "data").transform(small_batches).mapInArrow(of, "digest string, n_bytes long, media binary"), "image-store", **LARGE_VALUES)
 
 
 def descriptions(store: DataFrame) -> DataFrame:
