@@ -261,7 +261,7 @@ def package_uses(facts: DataFrame, files: DataFrame) -> DataFrame:
     A package is the first part of an import that means no file of the project; a symbol is what is imported from it or
     called through it.
     """
-    root = F.when(F.col("language").isin("go"), F.col("target")).when(F.col("language").isin("js", "ts"), F.regexp_extract("target", r"^(@[^/]+/[^/]+|[^/]+)", 1)).when(F.col("language") == "python", F.element_at(F.split("target", "[.:]"), 1)).when(F.col("language") == "rust", F.element_at(F.split("target", "::"), 1)).when(F.col("language") == "php", F.element_at(F.split("target", r"\\\\"), 1)).when(F.col("language").isin("java", "kotlin", "scala", "csharp"), F.regexp_replace("target", r"\.(?:\*|_|[A-Z].*)$", "")).otherwise(F.col("target"))
+    root = F.when(F.col("language").isin("go"), F.col("target")).when(F.col("language").isin("js", "ts"), F.regexp_extract("target", r"^(@[^/]+/[^/]+|[^/]+)", 1)).when(F.col("language") == "python", F.element_at(F.split("target", "[.:]"), 1)).when(F.col("language") == "rust", F.element_at(F.split("target", "::"), 1)).when(F.col("language") == "php", F.element_at(F.split("target", r"\\"), 1)).when(F.col("language").isin("java", "kotlin", "scala", "csharp"), F.regexp_replace("target", r"\.(?:\*|_|[A-Z].*)$", "")).otherwise(F.col("target"))
     own = files.select(F.explode(F.array(F.element_at(F.split("file", "/"), 1), F.regexp_replace(basename(F.col("file")), r"\.[^.]*$", ""), F.element_at(F.split("file", "/"), -2))).alias("package")).where("package is not null").distinct() if files is not None else None
     imports = facts.where("fact = 'import' and coalesce(level, 0) = 0 and target not like '.%'").select("file", "language", root.alias("package"), "name", F.when(F.col("kind") == "name", F.element_at(F.split("target", ":"), -1)).alias("symbol"))
     imports = imports.join(own, "package", "left_anti") if own is not None else imports

@@ -1,8 +1,8 @@
 """Files of a project as tables: which ones a walk takes, what ignore files leave out, confined reads, saved names,
 and vectors kept by the text's hash.
 
-Listings come from Spark's own file source, so a tree of any size is listed in parallel and no content is read for a
-file that is left out.
+A listing has names, sizes and times only; no content is read for a file that is left out, and contents are read by
+the tasks.
 """
 
 from __future__ import annotations
@@ -25,20 +25,41 @@ ROUTE_LIMIT = 200
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(file, size, modified, path) of all files below a folder, ``file`` relative to it; contents aren't read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    below = re.sub(r"^file:/*", "/", root.rstrip("/")) if "://" not in root or root.startswith("file:") else root.rstrip("/")
-    bare = F.regexp_replace("path", r"^file:/*", "/") if not re.match(r"^(?!file:)[a-z0-9+.-]+://", root) else F.col("path")
-    return listed.select(bare.substr(F.lit(len(below) + 2), F.length(bare)).alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "path")
+    """(file, size, modified, path) of all files below a folder, ``file`` relative to it; contents aren't read.
+
+    Spark's own file source passes by names with a leading ``_`` or ``.``, which sources have, so the listing is the
+    file system's.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(conf)
+    base = system.resolvePath(top).toString().rstrip("/")
+    found, rows = system.listFiles(top, True), []
+    while found.hasNext():
+        x = found.next()
+        path = x.getPath().toString()
+        rows.append((path[len(base) + 1 :], x.getLen(), x.getModificationTime(), path))
+    made = spark.createDataFrame(rows, "file string, size long, millis long, path string")
+    return made.select("file", "size", F.timestamp_millis("millis").alias("modified"), "path")
+
+
+def read_text(listed: DataFrame) -> DataFrame:
+    """(file, text) of listed files (file, path), read by the tasks; bytes that aren't UTF-8 are replaced."""
 
+    def of(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
+                texts = []
+                for path in part.column(1).to_pylist():
+                    system, name = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+                    with system.open_input_file(re.sub("^/+", "/", name)) as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["file", "text"])
 
-def read_text(spark: SparkSession, listed: DataFrame) -> DataFrame:
-    """(file, text) of listed files (file, path)."""
-    paths = [r.path for r in listed.select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], "file string, text string")
-    whole = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("text"))
-    return listed.select("file", "path").join(whole, "path").select("file", "text")
+    return listed.select("file", "path").mapInArrow(of, "file string, text string")
 
 
 def ignore_regex(pattern: str) -> str:
@@ -125,7 +146,7 @@ def relevant(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confined(path: Column) -> Column:
     """A relative path without ``.`` and ``..`` steps; null if it leaves its root or is absolute."""
-    steps = F.split(F.regexp_replace(path, r"\\\\", "/"), "/")
+    steps = F.split(F.regexp_replace(path, r"\\", "/"), "/")
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(True).alias("ok"))
     walked = F.aggregate(
         steps, state,

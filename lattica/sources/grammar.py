@@ -73,7 +73,7 @@ GRAMMARS = {
         strings=r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'",
     ),
     "swift": Grammar((("class", rf"^\s*(?:@\w+\s+)*{_MODS}(?:class|actor)\s+(?P<n>[A-Z]\w*)"), ("struct", rf"^\s*{_MODS}struct\s+(?P<n>\w+)"), ("interface", rf"^\s*{_MODS}protocol\s+(?P<n>\w+)"), ("enum", rf"^\s*{_MODS}(?:indirect\s+)?enum\s+(?P<n>\w+)"), ("extension", rf"^\s*{_MODS}extension\s+(?P<n>[\w.]+)"), ("function", rf"^\s*(?:@\w+\s+)*{_MODS}func\s+(?P<n>\w+)")), (r"^\s*(?:@testable\s+)?import\s+(?P<m>[\w.]+)",), r"\b(?:class|struct|enum|protocol|extension|actor)\s+[\w.]+(?:<[^>]*>)?\s*:\s*(?P<b>[\w.]+)(?:\s*,\s*(?P<i>[\w., ]+))?"),
-    "c": Grammar((("struct", r"^\s*(?:typedef\s+)?(?:struct|union)\s+(?P<n>\w+)\s*\{"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?(?P<n>\w+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<n>\w+)[^;]*$"), ("namespace", r"^\s*(?:inline\s+)?namespace\s+(?P<n>[\w:]+)"), ("constant", r"^\s*#\s*define\s+(?P<n>\w+)"), ("function", r"^(?!\s*(?:return|else|typedef|using)\b)\s*(?:[\w:<>,*&~]+[\s*&]+)+(?:(?P<o>\w+)::)?(?P<n>~?\w+)\s*\([^;]*\)\s*(?:const|noexcept|override|final|\s)*\{?\s*$")), (r"^\s*#\s*include\s+[<\"](?P<m>[^>\"]+)[>\"]",), r"\b(?:class|struct)\s+\w+\s*(?:final\s*)?:\s*(?:public|private|protected|virtual|\s)*(?P<b>[\w:]+)"),
+    "c": Grammar((("struct", r"^\s*(?:typedef\s+)?(?:struct|union)\s+(?P<n>\w+)\s*\{"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?(?P<n>\w+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<n>\w+)[^;]*$"), ("namespace", r"^\s*(?:inline\s+)?namespace\s+(?P<n>[\w:]+)"), ("constant", r"^\s*#\s*define\s+(?P<n>\w+)"), ("function", r"^(?!\s*(?:return|else|typedef|using)\b)\s*(?:[\w:<>,~]++[\s*&]++)+(?:(?P<o>\w+)::)?(?P<n>~?\w+)\s*\([^;]*\)\s*(?:const|noexcept|override|final|\s)*\{?\s*$")), (r"^\s*#\s*include\s+[<\"](?P<m>[^>\"]+)[>\"]",), r"\b(?:class|struct)\s+\w+\s*(?:final\s*)?:\s*(?:public|private|protected|virtual|\s)*(?P<b>[\w:]+)"),
     "ruby": Grammar((("class", r"^\s*class\s+(?P<n>[A-Z][\w:]*)"), ("module", r"^\s*module\s+(?P<n>[A-Z][\w:]*)"), ("function", r"^\s*def\s+(?:self\.)?(?P<n>\w+[?!=]?)"), ("constant", r"^\s*(?P<n>[A-Z][A-Z0-9_]+)\s*=(?!=)")), (r"^\s*(?:require|require_relative|load)\s*\(?\s*['\"](?P<m>[^'\"]+)['\"]",), r"^\s*class\s+[\w:]+\s*<\s*(?P<b>[\w:]+)|^\s*(?:include|extend|prepend)\s+(?P<x>[A-Z][\w:]*)", block="end", comments=r"#[^\n]*|^=begin.*?^=end"),
     "php": Grammar((("namespace", r"^\s*namespace\s+(?P<n>[\w\\]+)"), ("class", rf"^\s*{_MODS}class\s+(?P<n>\w+)"), ("interface", r"^\s*interface\s+(?P<n>\w+)"), ("interface", r"^\s*trait\s+(?P<n>\w+)"), ("enum", r"^\s*enum\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}function\s+&?(?P<n>\w+)")), (r"^\s*use\s+(?:function\s+|const\s+)?(?P<m>[\w\\]+(?:\\\{[^}]*\})?)(?:\s+as\s+\w+)?\s*;", r"\b(?:require|include)(?:_once)?\s*\(?\s*['\"](?P<m>[^'\"]+)['\"]"), r"\bextends\s+(?P<b>[\w\\]+)(?:.*?\bimplements\s+(?P<i>[\w\\, ]+))?|\bimplements\s+(?P<i2>[\w\\, ]+)", comments=r"//[^\n]*|#(?!\[)[^\n]*|/\*.*?\*/"),
 }
