@@ -35,22 +35,60 @@ SHARE = 20
 #: Lower-cases A-Z; every other ASCII character but 0-9 and a-z separates words.
 _FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: A segment: its documents, its terms in order, where each term's list ends, and the lists.
-INDEX = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<string>, ends binary, docs binary, positions binary"
+INDEX = "rows array<long>, doc_ids array<long>, n_words array<int>, terms binary, ends binary, docs binary, positions binary"
 
 
-def packed(x: np.ndarray) -> bytes:
-    """32-bit integers as compressed differences, byte by byte; lists of a term ascend, so most bytes are zero."""
+def packed(x: np.ndarray, starts: np.ndarray) -> bytes:
+    """32-bit integers as compressed differences, byte by byte, that begin anew at ``starts`` (ascending, the first
+    0): runs between them ascend, so most bytes are zero."""
     import zstandard
 
     d = np.diff(x.astype("<i4"), prepend=np.int32(0)).astype("<i4")
+    d[starts] = x[starts]
     return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, starts: np.ndarray | None = None) -> np.ndarray:
+    """What ``packed`` packed with the same ``starts`` (None: only the first)."""
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
+    d = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+    total = np.cumsum(d, dtype=np.int64)
+    if starts is not None and len(starts):
+        total -= np.repeat(total[starts] - d[starts], np.diff(starts, append=len(d)))
+    return total.astype(np.int32)
+
+
+def packed_terms(terms) -> bytes:
+    """An Arrow array of words, compressed; words hold no white space."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(x.as_buffer() for x in terms))
+
+
+def unpacked_terms(data: bytes):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import zstandard
+
+    joined = zstandard.ZstdDecompressor().decompress(data).decode()
+    return pc.ascii_split_whitespace(pa.array([joined], pa.large_string())).values if joined else pa.array([], pa.large_string())
+
+
+def lists_of(ends, docs, positions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A segment's lists from their packed columns: ``docs`` begin anew with each term, ``positions`` also with each
+    document in it."""
+    e = unpacked(ends)
+    begins = np.concatenate([[0], e[:-1]]) if len(e) else np.empty(0, np.int64)
+    d = unpacked(docs, begins)
+    return e, d, unpacked(positions, _anew(begins, d))
+
+
+def _anew(begins: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    new = np.diff(docs, prepend=-1) != 0
+    new[begins] = True
+    return np.flatnonzero(new)
 
 
 def words(data: bytes) -> list[bytes]:
@@ -159,8 +197,9 @@ def build_index(docs: DataFrame, row: Column | None = None) -> DataFrame:
         for batch in (part for b in batches for part in _parts(b)):
             n_words, terms, ends, where, positions = segment(batch.column(2))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
-            lists = [pa.array([packed(x)], pa.binary()) for x in (ends, where, positions)]
-            yield pa.RecordBatch.from_arrays([*map(one, (batch.column(0), batch.column(1), n_words, terms.cast(pa.string()))), *lists], names=[c.split()[0] for c in INDEX.split(", ")])
+            begins = np.concatenate([[0], ends[:-1]]) if len(ends) else np.empty(0, np.int64)
+            lists = [pa.array([packed(x, starts)], pa.binary()) for x, starts in ((ends, begins[:1]), (where, begins), (positions, _anew(begins, where)))]
+            yield pa.RecordBatch.from_arrays([*map(one, (batch.column(0), batch.column(1), n_words)), pa.array([packed_terms(terms)], pa.binary()), *lists], names=[c.split()[0] for c in INDEX.split(", ")])
 
     own = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
     return own.transform(small_batches).mapInArrow(of, INDEX)
@@ -173,10 +212,10 @@ def frequencies(index: DataFrame, vocabulary: list[str]) -> np.ndarray:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known, total = pa.array(vocabulary, pa.string()), np.zeros(len(vocabulary), np.int64)
+        known, total = pa.array(vocabulary, pa.large_string()), np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for terms, ends in zip(batch.column(0), batch.column(1)):
-                at = pc.index_in(terms.values, value_set=known)
+                at = pc.index_in(unpacked_terms(terms.as_py()), value_set=known)
                 found = at.is_valid().to_numpy(zero_copy_only=False)
                 total[at.drop_null().to_numpy()] += np.diff(unpacked(ends.as_py()), prepend=0)[found]
         met = np.flatnonzero(total)
@@ -217,7 +256,7 @@ def matches(windows: Windows, terms, ends: np.ndarray, docs: np.ndarray, positio
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    at = pc.index_in(terms, value_set=pa.array(windows.vocabulary, pa.string()))
+    at = pc.index_in(terms, value_set=pa.array(windows.vocabulary, pa.large_string()))
     met = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
     numbers = at.drop_null().to_numpy()
     there = np.zeros(len(windows.vocabulary) + 1, bool)
@@ -262,7 +301,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
             pa.default_memory_pool().release_unused()
             for rows, ids, n_words, terms, ends, docs, positions in zip(*batch.columns):
                 n = len(n_words)
-                found, pairs, near = matches(windows, terms.values, *(unpacked(x.as_py()) for x in (ends, docs, positions)), slop)
+                found, pairs, near = matches(windows, unpacked_terms(terms.as_py()), *lists_of(ends.as_py(), docs.as_py(), positions.as_py()), slop)
                 starts, stops, items = [[]] * n, [[]] * n, [[]] * n
                 for doc in np.unique(found).tolist():
                     own = pairs[found == doc]

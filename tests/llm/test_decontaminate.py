@@ -95,3 +95,18 @@ def test_a_full_block_is_small():
     windows = d.Windows(own, 13)
     windows.rank(d.np.zeros(len(windows.vocabulary), d.np.int64))
     assert len(windows.terms) > 190_000 and len(pickle.dumps(windows)) < 20e6
+
+
+def test_packed_lists_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 4000):
+        ends = np.sort(rng.choice(np.arange(1, n + 1), min(n, 1 + n // 7), replace=False)).astype(np.int32)
+        if n:
+            ends[-1] = n
+        ends = np.unique(ends)
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else np.empty(0, np.int64)
+        docs, positions = rng.integers(0, 1000, n).astype(np.int32), rng.integers(0, 2**31 - 1, n).astype(np.int32)
+        got = d.lists_of(d.packed(ends, begins[:1]), d.packed(docs, begins), d.packed(positions, d._anew(begins, docs)))
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, (ends, docs, positions)))
