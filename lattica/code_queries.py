@@ -235,6 +235,17 @@ def overloads(spark, d):
     return build.resolve_names(facts, nodes, none).where("fact = 'call'").select("target", "line", "id", "confidence")
 
 
+@query
+def structural_receivers(spark, d):
+    """A value of unknown type is of the one class that answers every name called on it."""
+    text = "class Door:\n    def open(self): pass\n    def close(self): pass\n\nclass Book:\n    def open(self): pass\n    def read(self): pass\n\nclass Gate(Door):\n    def open(self): pass\n    def close(self): pass\n\ndef study(x, y, z):\n    x.open()\n    x.read()\n    y.open()\n    z.open()\n    z.close()\n"
+    own = spark.createDataFrame([("d.py", text)], "file string, text string")
+    facts = cut(code_facts(own), "facts")
+    nodes = cut(build.assemble(facts, own)[0], "nodes")
+    none = spark.createDataFrame([], "file string, name string, target_file string, symbol string")
+    return build.structural_receivers(cut(build.resolve_names(facts, nodes, none), "resolved"), nodes)
+
+
 # Reviews --------------------------------------------------------------------------------------------------------
 
 

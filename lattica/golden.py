@@ -605,6 +605,13 @@ GOLDEN: dict[str, tuple[str, list[tuple]]] = {
             ('self.m', 12, 'o_a_m_2', 'INFERRED'),
         ],
     ),
+    "structural_receivers": (
+        "src VARCHAR, dst VARCHAR, relation VARCHAR, confidence VARCHAR",
+        [
+            ("d_study", "d_book_open", "calls", "INFERRED"),
+            ("d_study", "d_book_read", "calls", "INFERRED"),
+        ],
+    ),
     "definition_kinds": (
         "id VARCHAR, kind VARCHAR",
         [

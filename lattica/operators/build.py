@@ -289,3 +289,19 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     extra = lambda df: df.select("id", "label", "type", "kind", F.lit("").alias("file"), F.lit(None).cast("int").alias("line"))
     every = nodes.select("id", "label", "type", "kind", "file", "line").unionByName(extra(res_nodes)).unionByName(extra(route_nodes))
     return every, edges
+
+
+def structural_receivers(resolved: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
+    """(src, dst, relation, confidence) of calls on values of unknown type: where a definition calls at least ``least``
+    different names on one value, and one class alone of the same language family has methods of all those names, the
+    calls are guessed to be its methods. Calls that are resolved, or on imported names, take no part."""
+    calls = resolved.where("fact = 'call' and id is null").select("file", "owner", F.split("target", r"\.").alias("t")).where("size(t) = 2")
+    used = calls.select("file", "owner", F.col("t")[0].alias("value"), F.col("t")[1].alias("name")).where("value not in ('self', 'cls', 'this', 'super')").distinct()
+    sizes = used.groupBy("file", "owner", "value").agg(F.count("*").alias("wanted")).where(F.col("wanted") >= least)
+    methods = nodes.where(F.col("kind").isin("method", "constructor")).select(F.col("id").alias("dst"), family(F.col("file")).alias("fam"), F.col("file").alias("class_file"), F.regexp_replace("qualname", r"\.[^.]*$", "").alias("class"), F.element_at(F.split("qualname", r"\."), -1).alias("name"))
+    met = used.join(sizes, ["file", "owner", "value"]).withColumn("fam", family(F.col("file"))).join(methods, ["fam", "name"])
+    whole = met.groupBy("file", "owner", "value", "class_file", "class").agg(F.countDistinct("name").alias("has"), F.first("wanted").alias("wanted")).where("has = wanted")
+    only = whole.groupBy("file", "owner", "value").agg(F.count("*").alias("n"), F.min(F.struct("class_file", "class")).alias("c")).where("n = 1").select("file", "owner", "value", "c.class_file", "c.class")
+    owner = nodes.select("file", F.col("qualname").alias("owner"), F.col("id").alias("src")).dropDuplicates(["file", "owner"])
+    found = met.join(only, ["file", "owner", "value", "class_file", "class"]).join(owner, ["file", "owner"])
+    return found.select("src", "dst", F.lit("calls").alias("relation"), F.lit("INFERRED").alias("confidence")).distinct()

@@ -207,3 +207,8 @@ def static_embedding(tokens: DataFrame, texts: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last row of each key: what an appended table says now."""
     return first_by(rows, keys, *order)
+
+
+def addable(url: Column, offline: bool = False) -> Column:
+    """Whether an outside document may be added: web addresses only, and none offline."""
+    return F.lit(not offline) & F.coalesce(url.rlike(r"^(?i)https?://[^/\s]+"), F.lit(False))
