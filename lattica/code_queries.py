@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.hashes import blake2b_hex, fnv1a_hex, member_signature
 from .functions.paths import approx_tokens
 from .golden import GOLDEN, values_sql
-from .operators import build, code_search, cycles, degree, resolve, review, search, spans, traverse
+from .operators import build, code_search, communities, cycles, degree, resolve, review, search, spans, traverse
 from .plans.snapshot import cut, shared_dir
 from .sources import files as file_source
 from .sources import git, graph_json, samples
@@ -299,6 +299,38 @@ def router_prefixes(spark, d):
     return traverse.compose_prefixes(routers, mounts)
 
 
+def _small(spark, pairs):
+    return spark.createDataFrame([(k, a, b, "calls", "EXTRACTED") for k, a, b in pairs], "pos long, src string, dst string, relation string, confidence string")
+
+
+_DIAMOND = [(1, "a", "b"), (2, "a", "c"), (3, "b", "d"), (0, "c", "d"), (5, "d", "a"), (6, "c", "c"), (7, "d", "e"), (4, "c", "e"), (8, "e", "f")]
+
+
+@query
+def hop_provenance(spark, d):
+    """Of the edges into a node, the one from the earlier place in the queue counts, then the earlier edge."""
+    return traverse.hop_records(_small(spark, _DIAMOND), spark.createDataFrame([("a", 0)], "id string, rank long"), 3).select("id", "distance", "via", "relation")
+
+
+@query
+def path_through_diamond(spark, d):
+    return traverse.shortest_path(_small(spark, _DIAMOND), "a", "f", 5)
+
+
+@query
+def small_cycles(spark, d):
+    """Two groups joined one way, a loop and a tail."""
+    edges = _small(spark, [(k, a, b) for k, (a, b) in enumerate(["ab", "bc", "ca", "cd", "de", "ed", "ef", "ff", "gh"])])
+    return cycles.cycle_groups(edges).unionByName(cycles.self_loops(edges).select(F.col("id").alias("component"), F.lit(1).cast("long").alias("size"), F.col("n").alias("edges")))
+
+
+@query
+def two_cliques(spark, d):
+    """Two cliques of five and a bridge are two communities."""
+    own = lambda x: [(f"{x}{i}", f"{x}{j}", 1.0) for i in range(5) for j in range(i + 1, 5)]
+    return communities.leiden(spark.createDataFrame([*own("p"), *own("q"), ("p0", "q0", 1.0)], "a string, b string, weight double"))
+
+
 # Search ---------------------------------------------------------------------------------------------------------
 
 

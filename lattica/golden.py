@@ -605,6 +605,13 @@ GOLDEN: dict[str, tuple[str, list[tuple]]] = {
             ('self.m', 12, 'o_a_m_2', 'INFERRED'),
         ],
     ),
+    "hop_provenance": (
+        "id VARCHAR, distance INTEGER, via VARCHAR, relation VARCHAR",
+        [("a", 0, None, None), ("b", 1, "a", "calls"), ("c", 1, "a", "calls"), ("d", 2, "b", "calls"), ("e", 2, "c", "calls"), ("f", 3, "e", "calls")],
+    ),
+    "path_through_diamond": ("step BIGINT, id VARCHAR", [(0, "a"), (1, "c"), (2, "e"), (3, "f")]),
+    "small_cycles": ("component VARCHAR, size BIGINT, edges BIGINT", [("a", 3, 3), ("d", 2, 2), ("f", 1, 1)]),
+    "two_cliques": ("id VARCHAR, community VARCHAR", [*((f"p{k}", "p0") for k in range(5)), *((f"q{k}", "q0") for k in range(5))]),
     "structural_receivers": (
         "src VARCHAR, dst VARCHAR, relation VARCHAR, confidence VARCHAR",
         [
