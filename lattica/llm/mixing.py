@@ -39,9 +39,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
     weighed = sizes.withColumn("i", (F.row_number().over(order) - 1) % len(weights))
     weighed = weighed.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("i") + 1)).withColumn("stop", F.col("source_size") * float(repeats))
     rank = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
-    upto, after, all_ = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    # the level if all before this one are at their stop and the rest share what is left
-    level = (F.sum("source_size").over(all_) * share - F.coalesce(F.sum("stop").over(upto), F.lit(0.0))) / F.sum("weight").over(after)
+    upto, all_ = rank.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0))
+    # the level if all before this one are at their stop and the rest share what is left; a running sum each
+    level = (F.sum("source_size").over(all_) * share - before("stop")) / (F.sum("weight").over(all_) - before("weight"))
     ranked = weighed.withColumn("level", level).withColumn("free", F.when(F.col("level") <= F.col("stop") / F.col("weight"), F.col("level")))
     # the first rank whose level its own stop allows holds for all; null: every source is at its stop
     ranked = ranked.withColumn("held", F.first("free", ignorenulls=True).over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
