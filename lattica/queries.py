@@ -543,6 +543,23 @@ def shared_state(spark, d):
     return review.shared_state(resolve.touches(_state_edges(spark, d)), files)
 
 
+def _touching_files(spark, d):
+    u = table(spark, d, "events").select("user_id").distinct()
+    return u.select(F.concat(F.lit("u"), "user_id").alias("id"), F.concat(F.lit("d"), F.col("user_id") % 5, F.lit("/f"), F.col("user_id") % 20).alias("file"), (F.col("user_id") % 3).alias("community"))
+
+
+@query(
+    _STATE
+    + """, f AS (SELECT 'u' || user_id AS definition, 'd' || user_id % 5 || '/f' || user_id % 20 AS file, user_id % 3 AS community FROM (SELECT DISTINCT user_id FROM events)),
+o AS (SELECT t.*, file, community FROM touch t JOIN f USING (definition))
+SELECT w.state, w.file AS writer_file, o.file AS other_file, count(*) AS pairs, CAST(max(1 + CASE WHEN split_part(w.file, '/', 1) <> split_part(o.file, '/', 1) THEN 2 ELSE 0 END + CASE WHEN w.community IS DISTINCT FROM o.community THEN 1 ELSE 0 END) AS BIGINT) AS score
+FROM o w JOIN o ON w.state = o.state AND w.writes AND w.file <> o.file AND (NOT o.writes OR w.file < o.file) GROUP BY ALL""",
+    view=False,
+)
+def shared_state_files(spark, d):
+    return review.shared_state_files(resolve.touches(_state_edges(spark, d)), _touching_files(spark, d))
+
+
 _SURPRISES = (
     _DEGREES
     + """, n AS (SELECT nodes.*, degree, string_split(file, '/')[:-2] AS dirs FROM nodes LEFT JOIN deg USING (id)),
