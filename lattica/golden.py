@@ -1,5 +1,8 @@
-"""Expected rows of queries whose input is a sample: (columns with their SQL types, rows), each read against the sample's
-sources by hand."""
+"""Expected rows of queries whose input is a sample: (columns with their SQL types, rows).
+
+The rows of hand-made graphs were written by hand; most others were taken from a run and read against the sample's
+sources, so they hold the operators to what they gave then, not to a second implementation.
+"""
 
 from __future__ import annotations
 
