@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, linededup, media, mixing, pii, simhash, tokens, toxicity, urls
+from . import decontaminate, html, kmeans, linededup, media, mixing, pii, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_kmeans": kmeans.op11_kmeans,
 }
 
 ORACLE_SQL = {

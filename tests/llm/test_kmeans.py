@@ -1,0 +1,71 @@
+import hashlib
+import math
+
+import pytest
+
+from lattica.llm import kmeans
+
+
+def brute(rows, k=8, rounds=10, size=64):
+    """Plain Lloyd over all vectors and centroids, in Python's integers."""
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == size and all(x is not None and math.isfinite(x) for x in v)]
+    sha = lambda i: hashlib.sha256(f"3:{i}".encode()).hexdigest()
+    centroids = [v for _, v in sorted(kept, key=lambda r: (r[0] is None, sha(r[0]), r[1]))[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for t in range(rounds + 1):
+        own = [min((far(v, c), j) for j, c in enumerate(centroids)) for _, v in kept]
+        if t < rounds:
+            for j in range(len(centroids)):
+                mine = [v for (_, v), (_, c) in zip(kept, own) if c == j]
+                if mine:
+                    centroids[j] = [sum(x) // len(mine) for x in zip(*mine)]
+    inertia = [sum(d for d, c in own if c == j) for j in range(len(centroids))]
+    hashes = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted(((i, c, d, inertia[c], sum(inertia), hashes[c]) for (i, _), (d, c) in zip(kept, own)), key=repr)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_every_vector_of_the_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    got = kmeans.op11_kmeans(spark, "/root/testdata/sf0.001")
+    assert got.dtypes == [("vec_id", "bigint"), ("cluster", "int"), ("distance", "bigint"), ("cluster_inertia", "bigint"), ("inertia", "bigint"), ("centroid_sha256", "string")]
+    assert rows_of(got) == brute(rows)
+
+
+ODD = [(1, None), (2, []), (3, [1.0]), (4, [0.5, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [0.25, -0.25]), (None, [4.0, 4.0])]
+GOOD = [(10 + i, [((i * 37) % 11 - 5) / 7, ((i * 53) % 13 - 6) / 9]) for i in range(60)] + [(10, [3.0, 3.0]), (11, [-0.0005, 0.0])] * 3 + [(99, [1.0, 1.0])] * 40
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, row int, cluster string")
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 10])
+def test_odd_vectors_ties_and_repeats(spark, rounds):
+    rows = [(i, v) for i, v in ODD + GOOD]
+    import numpy as np
+
+    exact = [(i, v if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert rows_of(kmeans.clustered(frame(spark, rows), rounds=rounds, size=2)) == brute(exact, rounds=rounds, size=2)
+
+
+def test_fewer_vectors_than_centroids_and_none(spark):
+    rows = [(1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [-1.0, 2.0])]
+    assert rows_of(kmeans.clustered(frame(spark, rows), size=2)) == brute(rows, size=2)
+    assert kmeans.clustered(frame(spark, []), size=2).collect() == []
+    assert kmeans.clustered(frame(spark, ODD[:7]), size=2).collect() == []
+
+
+def test_huge_components_are_limited(spark):
+    got = kmeans.clustered(frame(spark, [(1, [3e38, -3e38]), (2, [0.0, 0.0])]), k=1, size=2).collect()
+    assert {(r.vec_id, r.distance >= 0) for r in got} == {(1, True), (2, True)}
+
+
+def test_joins_of_rounds_shuffle_nothing(spark):
+    kept = kmeans.integer_vectors(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    owners, vectors, _ = kmeans.delta_lloyd(kept, rounds=2)
+    plan = vectors.hint("merge").join(owners, "row")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
