@@ -87,6 +87,18 @@ class SharedFiles:
         else:
             self.fs.move(part, f"{self.root}/{name}")
 
+    def remove(self, name: str) -> None:
+        """Takes a file away; one that isn't there (any more) is no error."""
+        path = f"{self.root}/{name}"
+        if self.local:
+            if os.path.exists(path):
+                os.remove(path)
+        else:
+            from pyarrow import fs
+
+            if self.fs.get_file_info(path).type != fs.FileType.NotFound:
+                self.fs.delete_file(path)
+
     def map(self, name: str, dtype):
         """The file as a flat array: memory-mapped where the file system allows it."""
         import numpy as np

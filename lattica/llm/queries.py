@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, kmeans, linededup, media, mixing, pii, simhash, tokens, toxicity, urls
+from . import bpe, decontaminate, html, kmeans, linededup, media, mixing, pii, simhash, time_parts, tokens, toxicity, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_kmeans": kmeans.op11_kmeans,
+    "op12_time_parts": time_parts.op12_time_parts,
     "op13_byte_bpe": bpe.op13_byte_bpe,
 }
 
