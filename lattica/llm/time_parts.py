@@ -129,12 +129,10 @@ def _bucket(key: Column, pivots: Column) -> Column:
 def ranked(rows: DataFrame, leaves: list[Leaf], limit: int) -> DataFrame:
     """``rows`` with leaf and part: the number, from 1, of the file in the leaf that takes the row.
 
-    ``rows`` has key, a struct that orders it (equal rows differ in its last field), hash, and the numbers of its
-    nodes. Pivots are one row in ``limit`` / ``FINER`` by hash, so there are about ``FINER`` for each file.
+    ``rows`` is as ``keyed`` gives it.
     """
-    led = _led(rows, leaves)
-    pivots = led.where(F.pmod(F.xxhash64("hash", F.lit("pivot")), F.lit(max(1, limit // FINER))) == 0).groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
-    placed = led.join(F.broadcast(written(pivots, "pivots")), "leaf", "left").withColumn("bucket", _bucket(F.col("key"), F.col("pivots"))).drop("pivots")
+    pivots = _led(rows.where("pivot"), leaves).groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
+    placed = _led(rows, leaves).join(F.broadcast(written(pivots, "pivots")), "leaf", "left").withColumn("bucket", _bucket(F.col("key"), F.col("pivots"))).drop("pivots")
     counts = written(placed.groupBy("leaf", "bucket").agg(F.count("*").alias("n")), "buckets")
     before = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("leaf", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -197,16 +195,18 @@ def _files(spark: SparkSession, root: str, schema, key: str) -> DataFrame:
     return one_each.mapInArrow(digest, "leaf string, part long, path string, n_rows long, ids_sha256 string")
 
 
-def keyed(df: DataFrame, moment: Column, order: list[str], started: Column) -> DataFrame:
-    """(row, key, hash, new, year, month, day, hour) of each row, written once: both layouts see the same numbers.
+def keyed(df: DataFrame, moment: Column, order: list[str], started: Column, limit: int) -> DataFrame:
+    """(row, key, pivot, new, year, month, day, hour) of each row, written once: both layouts see the same numbers.
 
     key orders rows by moment, ``order``, then a hash of all columns, and a number where whole rows are equal; nulls
-    come first. new: not ``started``.
+    come first. pivot: true for one row in ``limit`` / ``FINER`` by hash, so there are about ``FINER`` for each file.
+    new: not ``started``.
     """
     every = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     own = df.select(every.alias("row"), moment.cast("timestamp_ntz").alias("moment"), F.struct(*(F.col(f"`{c}`") for c in order)).alias("order"), F.coalesce(~started, F.lit(True)).alias("new"), F.monotonically_increasing_id().alias("salt"))
     key = F.struct("moment", "order", F.xxhash64("row").alias("hash"), "salt").alias("key")
-    return written(own.select("row", key, F.xxhash64("row", "salt").alias("hash"), "new", *(n.alias(c) for n, c in zip(_nodes(F.col("moment")), LEVELS))), "keyed")
+    pivot = F.pmod(F.xxhash64("moment", "order", "salt"), F.lit(max(1, limit // FINER))) == 0
+    return written(own.select("row", key, pivot.alias("pivot"), "new", *(n.alias(c) for n, c in zip(_nodes(F.col("moment")), LEVELS))), "keyed")
 
 
 def layouts(df: DataFrame, moment: Column, order: list[str], started: Column, key: str, limit: int | None = None, path: str | None = None) -> DataFrame:
@@ -220,8 +220,8 @@ def layouts(df: DataFrame, moment: Column, order: list[str], started: Column, ke
     columns, whatever their names, are in the files.
     """
     spark, path = df.sparkSession, path or fresh_path(df.sparkSession, "layout")
-    rows = keyed(df, moment, order, started)
-    limit = limit or 1 + rows.count() // FILES
+    limit = limit or 1 + df.count() // FILES
+    rows = keyed(df, moment, order, started, limit)
     hours = written(rows.where("year is not null").groupBy(*LEVELS).agg(F.count(F.when(~F.col("new"), 1)).alias("started"), F.count("*").alias("n")), "hours")
     first = written(ranked(rows.where(~F.col("new")), leaves_of(hours.select(*LEVELS, F.col("started").alias("n")), limit), limit), "placed")
     _write(first, path, df.columns)

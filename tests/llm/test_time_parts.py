@@ -132,9 +132,9 @@ def test_equal_rows_are_cut_into_buckets(spark):
     t = dt.datetime(2024, 1, 1, 5)
     df = spark.createDataFrame([(1, t, t)] * 5000 + [(i, t + dt.timedelta(minutes=i), t) for i in range(5000)], "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz")
     limit = 200
-    rows = time_parts.keyed(df, F.col("ts"), ["arrived_at", "click_id"], started())
+    rows = time_parts.keyed(df, F.col("ts"), ["arrived_at", "click_id"], started(), limit)
     led = time_parts._led(rows, time_parts.leaves_of(rows.groupBy(*time_parts.LEVELS).agg(F.count("*").alias("n")), limit))
-    pivots = led.where(F.pmod(F.xxhash64("hash", F.lit("pivot")), F.lit(limit // 4)) == 0).groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
+    pivots = led.where("pivot").groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("pivots"))
     sizes = led.join(pivots, "leaf", "left").groupBy("leaf", time_parts._bucket(F.col("key"), F.col("pivots"))).count().collect()
     assert max(r["count"] for r in sizes) < 3 * limit and sum(r["count"] for r in sizes) == 10_000
 
