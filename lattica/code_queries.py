@@ -1,339 +1,37 @@
-"""Queries over source files, histories and walks: each applies one operator to the sample project, to saved output of
-``git`` or to a table, and has the expected rows written down (``golden``) or SQL of its own."""
+"""Queries of code search, histories and stores over the given tables, each with SQL of its own or a test by brute force."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashes import blake2b_hex, fnv1a_hex, member_signature
 from .functions.paths import approx_tokens
-from .golden import GOLDEN, values_sql
-from .operators import build, code_search, communities, cycles, degree, resolve, review, search, spans, traverse
-from .plans.snapshot import cut, shared_dir
+from .operators import code_search, degree, resolve
+from .plans.snapshot import cut
 from .sources import files as file_source
-from .sources import git, graph_json, samples
-from .sources.code import code_facts
-from .sources.tables import edge_view, graph_view, node_view, table
-from .streaming import watch
+from .sources import git
+from .sources.tables import node_view, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f=None, *, sql: str | None = None):
-    """Registers a query under its name, with ``sql`` or its golden rows."""
+    """Registers a query under its name, with its SQL if there is one."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
-        elif f.__name__ in GOLDEN:
-            ORACLE_SQL[f.__name__] = values_sql(*GOLDEN[f.__name__])
         return f
 
     return add(f) if f is not None else add
 
 
-_made: dict = {}
-
-
-def _project(spark: SparkSession) -> dict[str, DataFrame]:
-    """The sample project's facts, nodes, imports and resolved names, written once a session."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark))
-    if key not in _made:
-        own = samples.sample_files(spark)
-        facts = cut(code_facts(own), "facts")
-        nodes, contained = build.assemble(facts, own)
-        nodes = cut(nodes.withColumn("pos", F.xxhash64("id")), "nodes")
-        targets = cut(build.import_targets(facts, own), "imports")
-        bound = cut(build.bindings(targets, nodes), "bindings")
-        resolved = cut(build.resolve_names(facts, nodes, bound), "resolved")
-        edges = contained.select("src", "dst", "relation", F.lit("EXTRACTED").alias("confidence")).unionByName(build.edges_of(resolved, nodes).select("src", "dst", "relation", "confidence")).unionByName(build.import_edges(targets, nodes).select("src", "dst", "relation", F.lit("EXTRACTED").alias("confidence")))
-        edges = cut(edges.withColumn("pos", F.xxhash64("src", "dst", "relation")), "edges")
-        _made[key] = {"files": own, "facts": facts, "nodes": nodes, "contained": cut(contained, "contained"), "targets": targets, "bound": bound, "resolved": resolved, "edges": edges}
-    return _made[key]
-
-
-def _spans(p):
-    return p["nodes"].where("kind not in ('file', 'heading', 'variable', 'constant')").select("file", "region_start", "end_line", F.col("line").alias("def_line"), "qualname")
-
-
-def _index(spark):
-    p = _project(spark)
-    if "index" not in p:
-        chunks = code_search.chunk_files(p["files"], _spans(p))
-        p["index"] = code_search.CodeIndex(chunks, code_search.overlay_index(p["nodes"], p["edges"]))
-    return p["index"]
-
-
-# Facts ----------------------------------------------------------------------------------------------------------
-
-
-@query
-def code_definitions(spark, d):
-    return code_facts(samples.sample_files(spark)).where("fact = 'def'").select("file", "kind", "name", "line", "end_line", "least_args", "most_args")
-
-
-@query
-def code_imports(spark, d):
-    return code_facts(samples.sample_files(spark)).where("fact = 'import'").select("file", "line", "name", "target", "level", "runs")
-
-
-@query
-def code_calls(spark, d):
-    return code_facts(samples.sample_files(spark)).where("fact = 'call'").select("file", "owner", "kind", "target", "line")
-
-
-@query
-def code_state(spark, d):
-    return code_facts(samples.sample_files(spark)).where("fact in ('read', 'write')").select("file", "owner", "fact", "kind", "target", "line")
-
-
-@query
-def code_headings(spark, d):
-    return code_facts(samples.sample_files(spark).unionByName(samples.polyglot_files(spark))).where("fact = 'heading'").select("file", "name", "level", "line", "end_line")
-
-
-@query
-def polyglot_definitions(spark, d):
-    return code_facts(samples.polyglot_files(spark)).where("fact = 'def'").select("file", "language", "kind", "name", "region_start", "line", "end_line")
-
-
-@query
-def polyglot_imports(spark, d):
-    return code_facts(samples.polyglot_files(spark)).where("fact = 'import'").select("file", "line", "target", "name")
-
-
-@query
-def polyglot_bases(spark, d):
-    return code_facts(samples.polyglot_files(spark)).where("fact = 'base'").select("file", "owner", "kind", "target")
-
-
-@query
-def polyglot_routes(spark, d):
-    """Routes of nine languages' frameworks, with normalised patterns."""
-    own = code_facts(samples.polyglot_files(spark)).where("fact = 'route'")
-    return own.select("file", "line", F.col("name").alias("method"), spans.normalize_pattern(F.col("target")).alias("pattern"), F.col("kind").alias("framework"), F.col("owner").alias("handler"))
-
-
-@query
-def polyglot_calls(spark, d):
-    return code_facts(samples.polyglot_files(spark)).where("fact = 'call'").select("file", "owner", "target", "line")
-
-
-@query
-def polyglot_uses(spark, d):
-    """Requests, events and environment variables by literal."""
-    return code_facts(samples.polyglot_files(spark)).where("fact in ('request', 'resource')").select("file", "fact", "kind", "name", "target", "owner")
-
-
-@query
-def unreadable_files(spark, d):
-    return code_facts(samples.polyglot_files(spark)).where("fact = 'error'").select("file", "kind")
-
-
-# Build ----------------------------------------------------------------------------------------------------------
-
-
-@query
-def code_nodes(spark, d):
-    return _project(spark)["nodes"].select("id", "label", "type", "kind", "file", "line")
-
-
-@query
-def code_containment(spark, d):
-    return _project(spark)["contained"]
-
-
-@query
-def import_targets(spark, d):
-    return _project(spark)["targets"].select("file", "name", "runs", "target_file", "symbol")
-
-
-@query
-def import_bindings(spark, d):
-    return _project(spark)["bound"]
-
-
-@query
-def import_edges(spark, d):
-    p = _project(spark)
-    return build.import_edges(p["targets"], p["nodes"])
-
-
-@query
-def resolved_names(spark, d):
-    return _project(spark)["resolved"].select("file", "owner", "fact", "target", "line", "id", "how", "confidence")
-
-
-@query
-def code_edges(spark, d):
-    p = _project(spark)
-    return build.edges_of(p["resolved"], p["nodes"])
-
-
-@query
-def unresolved_calls(spark, d):
-    p = _project(spark)
-    return build.unresolved(p["resolved"], p["facts"], p["nodes"])
-
-
-@query
-def resource_edges(spark, d):
-    p = _project(spark)
-    return build.resource_edges(p["facts"], p["nodes"])[1]
-
-
-@query
-def route_edges(spark, d):
-    p = _project(spark)
-    return build.route_edges(p["facts"], p["nodes"])[1]
-
-
-@query
-def routes_served(spark, d):
-    p = _project(spark)
-    return resolve.routes(build.route_edges(p["facts"], p["nodes"])[1].withColumn("pos", F.lit(0)))
-
-
-@query
-def package_apis(spark, d):
-    p = _project(spark)
-    return build.package_uses(p["facts"].unionByName(code_facts(samples.polyglot_files(spark))), p["files"])
-
-
-@query
-def build_report(spark, d):
-    p = _project(spark)
-    return review.build_report(p["facts"], p["nodes"], p["edges"], p["resolved"])
-
-
-@query
-def build_graph(spark, d):
-    """The whole build: how many edges of each relation and confidence."""
-    return build.build(samples.sample_files(spark))[1].groupBy("relation", "confidence").agg(F.count("*").alias("n"))
-
-
-@query
-def allocated_ids(spark, d):
-    rows = spark.createDataFrame([("a/x.py", 1, "f"), ("a/x.py", 5, "f"), ("a/x.py", 9, "f"), ("a/x.py", 12, "f_2"), ("a/x.py", 14, "F")], "file string, line int, name string")
-    return build.allocate_ids(rows, build.slug(F.col("name")), F.col("line")).select("line", "name", "id")
-
-
-@query
-def overloads(spark, d):
-    """Calls of names with several definitions: those that take the arguments, else all as guesses."""
-    text = "class A:\n    def m(self, x):\n        return 1\n\n    def m(self, x, y):\n        return 2\n\n    def use(self):\n        self.m(1)\n        self.m(1, 2)\n        self.m(*a)\n        self.m(1, 2, 3)\n"
-    own = spark.createDataFrame([("o.py", text)], "file string, text string")
-    facts = cut(code_facts(own), "facts")
-    nodes = cut(build.assemble(facts, own)[0], "nodes")
-    none = spark.createDataFrame([], "file string, name string, target_file string, symbol string")
-    return build.resolve_names(facts, nodes, none).where("fact = 'call'").select("target", "line", "id", "confidence")
-
-
-@query
-def structural_receivers(spark, d):
-    """A value of unknown type is of the one class that answers every name called on it."""
-    text = "class Door:\n    def open(self): pass\n    def close(self): pass\n\nclass Book:\n    def open(self): pass\n    def read(self): pass\n\nclass Gate(Door):\n    def open(self): pass\n    def close(self): pass\n\ndef study(x, y, z):\n    x.open()\n    x.read()\n    y.open()\n    z.open()\n    z.close()\n"
-    own = spark.createDataFrame([("d.py", text)], "file string, text string")
-    facts = cut(code_facts(own), "facts")
-    nodes = cut(build.assemble(facts, own)[0], "nodes")
-    none = spark.createDataFrame([], "file string, name string, target_file string, symbol string")
-    return build.structural_receivers(cut(build.resolve_names(facts, nodes, none), "resolved"), nodes)
-
-
-# Reviews --------------------------------------------------------------------------------------------------------
-
-
-@query
-def definition_kinds(spark, d):
-    p = _project(spark)
-    return review.classify(p["nodes"], p["edges"])
-
-
-@query
-def hook_methods(spark, d):
-    p = _project(spark)
-    return review.hook_methods(p["nodes"], p["edges"])
-
-
-@query
-def unreferenced_code(spark, d):
-    p = _project(spark)
-    decorated = p["facts"].where("fact = 'call' and kind = 'decorator'").join(p["nodes"].select("file", F.col("qualname").alias("owner"), "id"), ["file", "owner"]).select("id", F.col("target").alias("name"))
-    return review.unreferenced_code(p["nodes"], p["edges"], p["files"], decorated)
-
-
-@query
-def similar_bodies(spark, d):
-    """Definitions with like bodies that the graph keeps apart, of the sample project and a copy of a file of it."""
-    p = _project(spark)
-    return code_search.duplicates(_index(spark), p["nodes"], p["edges"], floor=0.2, least_lines=2).select("a", "b", F.round("score", 3).alias("score"))
-
-
 @query
 def did_you_mean(spark, d):
     return resolve.did_you_mean(node_view(spark, d).where("type = 'region'"), "AMERCA")
 
 
-@query
-def explained(spark, d):
-    p = _project(spark)
-    return resolve.explain(p["nodes"], p["edges"], "Cart")
-
-
-@query
-def module_imports(spark, d):
-    p = _project(spark)
-    return cycles.module_imports(p["targets"].select(F.col("file").alias("src"), F.col("target_file").alias("dst"), "runs"))
-
-
-@query
-def router_prefixes(spark, d):
-    routers = spark.createDataFrame([("app", "/"), ("api", "/api"), ("items", "/items/"), ("x", "/x"), ("y", None), ("lone", "lone")], "router string, own string")
-    mounts = spark.createDataFrame([("app", "api", "/v1"), ("app", "api", "/v2/"), ("api", "items", None), ("x", "y", "/a"), ("y", "x", "/b")], "parent string, child string, prefix string")
-    return traverse.compose_prefixes(routers, mounts)
-
-
-def _small(spark, pairs):
-    return spark.createDataFrame([(k, a, b, "calls", "EXTRACTED") for k, a, b in pairs], "pos long, src string, dst string, relation string, confidence string")
-
-
-_DIAMOND = [(1, "a", "b"), (2, "a", "c"), (3, "b", "d"), (0, "c", "d"), (5, "d", "a"), (6, "c", "c"), (7, "d", "e"), (4, "c", "e"), (8, "e", "f")]
-
-
-@query
-def hop_provenance(spark, d):
-    """Of the edges into a node, the one from the earlier place in the queue counts, then the earlier edge."""
-    return traverse.hop_records(_small(spark, _DIAMOND), spark.createDataFrame([("a", 0)], "id string, rank long"), 3).select("id", "distance", "via", "relation")
-
-
-@query
-def path_through_diamond(spark, d):
-    return traverse.shortest_path(_small(spark, _DIAMOND), "a", "f", 5)
-
-
-@query
-def small_cycles(spark, d):
-    """Two groups joined one way, a loop and a tail."""
-    edges = _small(spark, [(k, a, b) for k, (a, b) in enumerate(["ab", "bc", "ca", "cd", "de", "ed", "ef", "ff", "gh"])])
-    return cycles.cycle_groups(edges).unionByName(cycles.self_loops(edges).select(F.col("id").alias("component"), F.lit(1).cast("long").alias("size"), F.col("n").alias("edges")))
-
-
-@query
-def two_cliques(spark, d):
-    """Two cliques of five and a bridge are two communities."""
-    own = lambda x: [(f"{x}{i}", f"{x}{j}", 1.0) for i in range(5) for j in range(i + 1, 5)]
-    return communities.leiden(spark.createDataFrame([*own("p"), *own("q"), ("p0", "q0", 1.0)], "a string, b string, weight double"))
-
-
-# Search ---------------------------------------------------------------------------------------------------------
-
-
 @query(
     sql="""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS file, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 t AS (SELECT file, CASE WHEN a[len(a)] = '' THEN a[:len(a) - 1] ELSE a END AS a FROM l), w AS (SELECT file, a, unnest(range(1, len(a) + 1, 40)) AS s FROM t)
@@ -344,54 +42,6 @@ def text_windows(spark, d):
     return code_search.chunk_files(texts).select("file", "start_line", "end_line", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
-@query
-def code_chunks(spark, d):
-    p = _project(spark)
-    return code_search.chunk_files(p["files"].where("file like '%.py' or file like '%.go'"), _spans(p)).select("cid", "file", "start_line", "end_line", "qualname", "kind", F.length("body").alias("n_chars"))
-
-
-_TOKENS = ["getUserName", "get_user_name", "GetUserName", "HTTPServer2x", "parsed parses parse", "v2", "12 a1_2 3_4", "größeÄnderung", "classes retries bus", "$scope.$apply", "x"]
-
-
-@query
-def code_tokens(spark, d):
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(_TOKENS)], "k int, text string")
-    return rows.select("k", F.array_join(search.code_terms(F.col("text")), " ").alias("terms"))
-
-
-@query
-def query_kinds(spark, d):
-    asked = ["getUser", "a.b c::d", "how are carts priced", "where is the total of a cart", "f(x) = {y}", "two words", "one\ntwo", "CartTotal user_name", ""]
-    return spark.createDataFrame([(q, code_search.query_kind(q), " ".join(code_search.query_terms(spark, q))) for q in asked], "query string, kind string, terms string")
-
-
-@query
-def exact_names(spark, d):
-    index = _index(spark)
-    return code_search.exact_boost(index.chunks, "Cart.total()").unionByName(code_search.exact_boost(index.chunks, "nothing.total")).groupBy("boost").agg(F.count("*").alias("n"))
-
-
-@query
-def overlay_terms(spark, d):
-    return _index(spark).overlay.select("term", "file", "line", "tf")
-
-
-@query
-def path_priors(spark, d):
-    rows = spark.createDataFrame([("src/a.py",), ("tests/a.py",), ("examples/a.py",), ("types/a.d.ts",), ("a/demo/tests/x.py",)], "file string")
-    return rows.select("file", code_search.path_weight(F.col("file"), "cart total").alias("plain"), code_search.path_weight(F.col("file"), "cart tests").alias("asked"))
-
-
-@query
-def code_search_symbol(spark, d):
-    return _index(spark).search("money", 5).select("file", "start_line", F.round("score", 4).alias("score"))
-
-
-@query
-def code_search_question(spark, d):
-    return _index(spark).search("how is the total of a cart described", 5).select("file", "start_line", F.round("score", 4).alias("score"))
-
-
 @query(
     sql="""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, 'f' || vec_id % 20 AS file, CAST(vec_id // 20 * 10 + 1 AS INTEGER) AS a, CAST(vec_id // 20 * 10 + 12 AS INTEGER) AS b FROM embeddings),
 q AS (SELECT * FROM v WHERE vec_id = 3), n AS (SELECT v.vec_id, v.file, v.a, v.b, list_dot_product(v.e, q.e) / sqrt(list_dot_product(v.e, v.e) * list_dot_product(q.e, q.e)) AS score FROM v, q ORDER BY score DESC, v.vec_id LIMIT 24)
@@ -403,48 +53,11 @@ def related_vectors(spark, d):
     return code_search.related_dense(e.select(F.col("vec_id").alias("cid"), "embedding"), chunks, 3)
 
 
-@query
-def locate(spark, d):
-    p = _project(spark)
-    return code_search.locate(_index(spark), p["nodes"], p["edges"], "money", k=1, hops=1).select("section", "id", "file", "line", "distance")
-
-
-@query
-def fetch(spark, d):
-    p = _project(spark)
-    return code_search.fetch(p["nodes"], p["files"], ["shop_util_money", "shop_cart_cart", "nowhere", "shop_cart_add", "docs_guide_use"], budget=110)
-
-
-@query
-def skeleton(spark, d):
-    own = spark.createDataFrame([("s.py", "@wraps\ndef f(\n    a,\n    b=(1,),\n):\n    return 1\n\n\nclass C:\n    def m(self): return (\n        1)\n")], "file string, text string")
-    at = spark.createDataFrame([("s.py", 1, 6, 2, "f"), ("s.py", 9, 11, 9, "C"), ("s.py", 10, 11, 10, "C.m")], "file string, region_start int, end_line int, def_line int, qualname string")
-    return code_search.skeleton(own, at)
-
-
 @query(sql="SELECT doc_id, greatest(1, CAST(floor(length(coalesce(text, '')) / 3.5) AS BIGINT)) AS tokens FROM documents")
 def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", approx_tokens(F.length(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
-# History --------------------------------------------------------------------------------------------------------
-
-
-def _commits(spark):
-    return git.read_log(spark.createDataFrame([("r", samples.LOG)], "repo string, log string"))
-
-
-@query
-def git_log(spark, d):
-    return _commits(spark).select("commit_pos", "commit", "status", "old", "file")
-
-
-@query
-def git_commit_files(spark, d):
-    tracked = spark.createDataFrame([("r", f) for f in samples.TRACKED], "repo string, file string")
-    return git.commit_files(_commits(spark), tracked).select("commit", "file")
-
-
 @query(
     sql="""WITH f AS (SELECT 'm' || l_suppkey % 4 AS repo, l_orderkey AS c, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT repo, count(*) AS commits, count(*) FILTER (n > 30) AS bulk, count(*) >= 10 AS usable FROM f GROUP BY repo"""
@@ -455,87 +68,12 @@ def history_state(spark, d):
     return git.history_state(own, own)
 
 
-@query
-def git_status(spark, d):
-    return git.read_status(spark.createDataFrame([("r", samples.STATUS)], "repo string, raw string")).select("code", "file", "old")
-
-
-@query
-def structural_diff(spark, d):
-    changes = git.read_diff(spark.createDataFrame([("r", samples.DIFF)], "repo string, raw string"))
-    return git.structural_diff(changes, samples.texts(spark, samples.BEFORE), samples.texts(spark, samples.AFTER))
-
-
-@query
-def freshness(spark, d):
-    nodes = spark.createDataFrame([("src/a.py",), ("src/gone.py",), ("",)], "file string")
-    cases = {"comments": [("src/a.py", False), ("src/b.js", False), ("logo.png", False)], "edit": [("src/c.js", False)], "removed": [("src/gone.py", True)], "nothing": [], "unknown": [("src/x.py", True)]}
-    out = None
-    for name, rows in cases.items():
-        one = git.freshness(nodes, spark.createDataFrame(rows, "file string, removed boolean"), samples.texts(spark, samples.BEFORE), samples.texts(spark, samples.AFTER)).withColumn("case", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    late = git.freshness(nodes, spark.createDataFrame([], "file string, removed boolean"), samples.texts(spark, samples.BEFORE), samples.texts(spark, samples.AFTER), behind=True, reachable=False)
-    return out.unionByName(late.withColumn("case", F.lit("unreachable")))
-
-
 @query(sql="SELECT 'd' || doc_id AS file FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 = 0")
 def build_drift(spark, d):
     own = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file"), "doc_id")
     return git.build_drift(own.where("doc_id % 3 = 0").select("file"), own.where("doc_id % 5 = 0").select("file"))
 
 
-@query
-def changes_judged(spark, d):
-    known = git.shapes(samples.texts(spark, samples.BEFORE))
-    batch = samples.texts(spark, samples.AFTER).unionByName(spark.createDataFrame([("src/gone.py", None), ("never.py", None)], "file string, text string"))
-    return watch.judge_changes(known, batch)
-
-
-# Files ----------------------------------------------------------------------------------------------------------
-
-_TREE = [(f, 100) for f in (".git/x.py", "src/a.py", "src/build/b.py", "src/keep/build/c.py", "lib/d.min.js", "docs/e.md", "logo.png", "env1/pyvenv.cfg", "env1/lib/f.py", "src/gen/g.py", "src/gen/keep.py", "app/urls.py", "config/routes.rb", "app/routes/web.php", "node_modules/m/i.js")] + [("src/huge.py", 3 << 20)]
-_RULES = [("", "# comment"), ("", "/src/build/"), ("", "*.min.js"), ("src", "gen/*"), ("src", "!gen/keep.py")]
-
-
-def _tree(spark):
-    return spark.createDataFrame(_TREE, "file string, size long")
-
-
-@query
-def project_walk(spark, d):
-    return file_source.discover(_tree(spark), _RULES)
-
-
-@query
-def search_walk(spark, d):
-    extra = spark.createDataFrame([("src/a.py",), ("node_modules/m/i.js",)], "file string")
-    return file_source.search_walk(_tree(spark), extra)
-
-
-@query
-def route_candidates(spark, d):
-    return file_source.route_candidates(_tree(spark), spark.createDataFrame([("app/urls.py",)], "file string"))
-
-
-@query
-def relevant_files(spark, d):
-    nodes = spark.createDataFrame([("logo.png",), ("",)], "file string")
-    return file_source.relevant(_tree(spark).select("file"), nodes)
-
-
-@query
-def source_lines(spark, d):
-    asked = spark.createDataFrame([("shop/./util.py", 0, 2), ("shop/../shop/util.py", 11, 99), ("../etc/passwd", 1, 5), ("/etc/passwd", 1, 5), ("shop/util.py", 3, 1)], "file string, lo int, hi int")
-    return file_source.read_lines(samples.sample_files(spark), asked)
-
-
-@query
-def saved_labels(spark, d):
-    names = lambda rows: spark.createDataFrame(rows, "community long, name string")
-    kept, rejected = file_source.set_labels(names([(1, "One"), (2, "Two"), (3, "Three")]), names([(2, " Zwei "), (3, " "), (9, "Nine")]), spark.createDataFrame([(k,) for k in range(1, 6)], "community long"))
-    return kept.withColumn("rejected", F.lit(False)).unionByName(rejected.select("community", F.lit(None).cast("string").alias("name"), F.lit(True).alias("rejected")))
-
-
 @query(sql="SELECT count(DISTINCT sha256(coalesce(text, ''))) AS keys, count(DISTINCT sha256(coalesce(text, ''))) FILTER (doc_id % 4 <> 0) >= 0 AS ok FROM documents")
 def vector_store(spark, d):
     """Vectors by text hash: after an update the store has a vector for each distinct text, kept or new."""
@@ -547,44 +85,6 @@ def vector_store(spark, d):
     return second.agg(F.countDistinct("key").alias("keys")).select("keys", F.lit(fresh > 0).alias("ok"))
 
 
-@query
-def static_vectors(spark, d):
-    tokens = spark.createDataFrame([("cart", [1.0, 0.0]), ("total", [0.0, 1.0])], "token string, embedding array<float>")
-    texts = spark.createDataFrame([("a", "Cart total"), ("b", "the cart, a CART and total"), ("c", "nothing")], "key string, text string")
-    return file_source.static_embedding(tokens, texts).select("key", F.round(F.col("embedding")[0].cast("double"), 4).alias("x"), F.round(F.col("embedding")[1].cast("double"), 4).alias("y"))
-
-
-@query
-def json_graph(spark, d):
-    """A graph written as JSON under other field names, read tolerantly, written as tables and read again."""
-    graph = {
-        "nodes": [{"id": 0, "name": "Zero", "path": "a/z.py", "file_type": "code", "cluster": 3, "source_location": "L12-L30"}, {"id": "b", "label": "", "name": "B", "summary": "doc", "line": "7", "external": True}, {"name": "C"}],
-        "links": [{"from": 0, "to": "b", "type": "calls"}, {"source": "b", "target": "C", "relation": "uses", "confidence": "INFERRED"}, {}],
-    }
-    path = f"{shared_dir(spark)}/json-graph-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(graph),)], "value string").coalesce(1).write.text(path)
-    nodes, edges = graph_json.read_graph(spark, path)
-    graph_json.write_graph(nodes, edges, path + "-tables")
-    nodes, edges = spark.read.parquet(path + "-tables/nodes"), spark.read.parquet(path + "-tables/edges")
-    a = nodes.select(F.lit("node").alias("part"), "pos", F.col("id").alias("a"), F.col("label").alias("b"), "file", F.col("type").alias("kind"), F.col("community").alias("n"), "line", "external")
-    return a.unionByName(edges.select(F.lit("edge").alias("part"), "pos", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("string").alias("file"), F.col("relation").alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("boolean").alias("external")))
-
-
-# Functions ------------------------------------------------------------------------------------------------------
-
-
-@query
-def other_hashes(spark, d):
-    rows = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "x string")
-    return rows.select("x", fnv1a_hex(F.col("x")).alias("fnv"), blake2b_hex(F.col("x"), 8).alias("blake"))
-
-
-@query
-def member_signatures(spark, d):
-    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "a\x00b"), (3, None)], "g long, m string")
-    return member_signature(rows, "g", "m")
-
-
 @query(
     sql="""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, props FROM events)
 SELECT event_type, count(*) AS n, CAST(sum(len(json_keys(props))) AS BIGINT) AS keys FROM events GROUP BY event_type"""

@@ -1,4 +1,4 @@
-"""Expected rows of queries whose input is a sample: (columns with their SQL types, rows).
+"""Expected rows of the sample cases: (columns with their SQL types, rows).
 
 The rows of hand-made graphs were written by hand; most others were taken from a run and read against the sample's
 sources, so they hold the operators to what they gave then, not to a second implementation.
@@ -7,21 +7,6 @@ sources, so they hold the operators to what they gave then, not to a second impl
 from __future__ import annotations
 
 
-def values_sql(columns: str, rows: list[tuple]) -> str:
-    """SQL that gives the rows."""
-    names = [c.rsplit(" ", 1) for c in columns.split(", ")]
-
-    def literal(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return "true" if x else "false"
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
-
-    listed = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    return "SELECT " + ", ".join(f'CAST("{n}" AS {t}) AS "{n}"' for n, t in names) + f" FROM (VALUES {listed}) t(" + ", ".join(f'"{n}"' for n, _ in names) + ")"
-
-
 GOLDEN: dict[str, tuple[str, list[tuple]]] = {
     "code_definitions": (
         "file VARCHAR, kind VARCHAR, name VARCHAR, line INTEGER, end_line INTEGER, least_args INTEGER, most_args INTEGER",
