@@ -98,25 +98,64 @@ def _by_least(member: DataFrame) -> DataFrame:
     return member.join(least, "community").select("id", F.col("least").alias("community"))
 
 
-def refine(weights: DataFrame, member: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, community): communities cut into parts that are connected inside; a part is named by its smallest id."""
+def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolution: float = 1.0) -> DataFrame:
+    """(id, community, part, round, rank): the merges that refine communities; a node that joined another's part has
+    the round and the rank in it, and ``part`` is the node that it began with.
+
+    Inside a community every node begins alone. A node that is still alone, and well connected to the rest of the
+    community, joins the part in which it gains most, if that one is well connected too; *well connected* means a weight
+    to the rest of the community of at least resolution * strength * (strength of the rest) / (all strength). In a
+    round, nodes with a hash of one kind join nodes of the other or parts already joined, so none moves into one that
+    moves. The nodes that choose the same part are taken in order of gain, as long as both conditions hold with those
+    before them in it: running sums over the order, with the weights among them, give the same as one merge after another.
+    """
+    eps = 1e-12
+    links = cut(_both(weights), "links")
+    strength = cut(links.groupBy("a").agg(F.sum(F.col("weight") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("k")), "strength")
+    m2 = strength.agg(F.sum("k")).first()[0] or 1.0
+    known = member.join(strength, member["id"] == strength["a"], "left").select("id", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
+    whole = known.groupBy("community").agg(F.sum("k").alias("total"))
+    now = cut(known.join(whole, "community").select("id", "community", "k", "total", F.col("id").alias("part"), F.lit(None).cast("int").alias("round"), F.lit(None).cast("int").alias("rank")), "parts")
     of = lambda c, name: member.select(F.col("id").alias(c), F.col("community").alias(name))
-    inside = cut(_both(weights.where("a <> b")).join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b"), "inside")
-    now = cut(member.select("id", F.col("id").alias("part")), "parts")
-    for _ in range(rounds):
-        near = inside.join(now.select(F.col("id").alias("b"), F.col("part").alias("p")), "b").groupBy(F.col("a").alias("id")).agg(F.min("p").alias("m"))
-        step = now.join(near, "id", "left").select("id", "part", F.least("part", "m").alias("to"))
-        # a part follows its own node's part as well, so that long chains halve
-        jump = step.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        new = cut(step.join(jump, "to", "left").select("id", F.least("to", "further").alias("part"), (F.least("to", "further") < F.col("part")).alias("moved")), "parts")
-        now = new.select("id", "part")
-        if not new.where("moved").limit(1).count():
-            return now.select("id", F.col("part").alias("community"))
-    raise RuntimeError(f"parts haven't settled in {rounds} rounds")
+    inner = cut(links.where("a <> b").join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b", "weight"), "inside")
+    loose = lambda ext, tot, total: F.col(ext) + eps < resolution * F.col(tot) * (F.col(total) - F.col(tot)) / m2
+    for r in range(rounds):
+        to = inner.join(now.select(F.col("id").alias("b"), F.col("part").alias("into")), "b").groupBy("a", "into").agg(F.sum("weight").alias("w"))
+        to = cut(to.join(now.select(F.col("id").alias("a"), "part", "k", "total"), "a").where("part <> into"), "moves")
+        sums = now.groupBy("part").agg(F.sum("k").alias("tot"), F.count("*").alias("n"), F.first("total").alias("total"))
+        groups = sums.join(to.groupBy("part").agg(F.sum("w").alias("ext")), "part", "left").withColumn("ext", F.coalesce("ext", F.lit(0.0)))
+        groups = groups.where(~loose("ext", "tot", "total"))
+        alone = groups.where("n = 1").select("part", F.col("ext").alias("own"))
+        target = groups.select(F.col("part").alias("into"), "tot", "ext", "n")
+        met = to.join(alone, "part").join(target, "into").withColumn("gain", F.col("w") - resolution * F.col("k") * F.col("tot") / m2).where(F.col("gain") >= -eps)
+        best = met.withColumn("order", F.struct((-F.round("gain", 9)).alias("g"), "into")).groupBy(F.col("a").alias("id")).agg(F.min_by(F.struct("into", "w", "k", "total", "own", "tot", "ext", "n", "gain"), "order").alias("x")).select("id", "x.*")
+        best = cut(best, "moves")
+        if not best.limit(1).count():
+            return now.select("id", "community", "part", "round", "rank")
+        side = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(r)), F.lit(2))
+        asked = best.where((side("id") == 0) & ((F.col("n") > 1) | (side("into") == 1)))
+        inorder = Window.partitionBy("into").orderBy(F.desc("gain"), "id")
+        asked = cut(asked.withColumn("at", F.row_number().over(inorder)), "moves")
+        # weights between a node and those before it in the same part's order
+        place = lambda c, p: asked.select(F.col("id").alias(c), F.col("into").alias(f"{p}_into"), F.col("at").alias(f"{p}_at"))
+        among = inner.join(place("a", "x"), "a").join(place("b", "y"), "b").where("x_into = y_into and y_at < x_at").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("among"))
+        upto = inorder.rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0))
+        lined = asked.join(among, "id", "left").withColumn("among", F.coalesce("among", F.lit(0.0))).withColumn("d", F.col("own") - 2 * F.col("w") - 2 * F.col("among"))
+        lined = lined.withColumn("joined", before(F.col("k"))).withColumn("t", F.col("tot") + F.col("joined")).withColumn("e", F.col("ext") + before(F.col("d")))
+        good = ~loose("e", "t", "total") & (F.col("gain") + F.col("among") - resolution * F.col("k") * F.col("joined") / m2 >= -eps)
+        taken = lined.withColumn("bad", F.sum((~good).cast("int")).over(inorder)).where("bad = 0").select("id", "into", F.col("at"))
+        now = cut(now.join(taken, "id", "left").select("id", "community", "k", "total", F.coalesce("into", "part").alias("part"), F.when(F.col("into").isNotNull(), r).otherwise(F.col("round")).cast("int").alias("round"), F.coalesce("at", "rank").cast("int").alias("rank")), "parts")
+    raise RuntimeError(f"the refinement hasn't settled in {rounds} rounds")
+
+
+def refine(weights: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, community): communities cut into well connected parts (``refinement``), each named by its smallest id."""
+    return _by_least(refinement(weights, member, resolution=resolution).select("id", F.col("part").alias("community")))
 
 
 def leiden(weights: DataFrame, levels: int = 64, resolution: float = 1.0, start: DataFrame | None = None, **moves) -> DataFrame:
-    """(id, community): local moves, refinement into connected parts, and the same on the graph of those parts, in
+    """(id, community): local moves, refinement into well connected parts, and the same on the graph of those parts, in
     which each community of the moves starts together, until a level joins nothing more.
 
     Level by level a table of (node, part) and the aggregated weights are written; the graph shrinks with each.
@@ -125,7 +164,7 @@ def leiden(weights: DataFrame, levels: int = 64, resolution: float = 1.0, start:
     nodes = cut(_both(own).select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("part")), "level")
     for _ in range(levels):
         moved = partition(own, resolution=resolution, start=start, **moves)
-        parts = cut(refine(own, moved), "level")
+        parts = cut(refine(own, moved, resolution), "level")
         found = parts.join(moved.withColumnRenamed("community", "of"), "id")  # (id, community: its part, of)
         before, after = parts.count(), parts.select("community").distinct().count()
         nodes = cut(nodes.join(found.select(F.col("id").alias("part"), F.col("community").alias("next"), "of"), "part").select("id", F.col("next").alias("part"), "of"), "level")
@@ -163,10 +202,10 @@ def split(weights: DataFrame, edges: DataFrame, member: DataFrame, **moves) -> D
     return _by_least(member)
 
 
-def settle(weights: DataFrame, edges: DataFrame, before: DataFrame | None = None, passes: int = 6, **moves) -> DataFrame:
+def settle(weights: DataFrame, edges: DataFrame, before: DataFrame | None = None, passes: int = 32, **moves) -> DataFrame:
     """(id, community) that another pass, starting from it, gives again: partitions and splits until a result comes
     back. If states alternate, the one that agrees most with where the passes began (``before``, or the first result)
-    is kept; of equals the earliest. After ``passes`` the last state counts."""
+    is kept; of equals the earliest. ``RuntimeError`` if ``passes`` don't bring one back."""
     once = lambda start: cut(split(weights, edges, leiden(weights, start=start, **moves), **moves), "settled")
     mark = lambda m: m.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()
     states = [once(before)]
@@ -183,7 +222,7 @@ def settle(weights: DataFrame, edges: DataFrame, before: DataFrame | None = None
             return cycle[agree.index(max(agree))]
         states.append(new)
         marks.append(m)
-    return states[-1]
+    raise RuntimeError(f"no state came back in {passes} passes")
 
 
 def by_size(member: DataFrame) -> DataFrame:

@@ -16,38 +16,56 @@ def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return edges
 
 
+def _least_reaching(edges: DataFrame, ids: DataFrame, seed: int, rounds: int) -> DataFrame:
+    """(id, label): the node of the least hash among those that reach a node, itself included; label is (hash, id).
+
+    In each round a node takes the least label of its predecessors and the label of its label: what reaches the node
+    that reaches it. Hashes make the order of nodes along a path random, so that labels' reach about doubles in a
+    round, and rounds grow with the logarithm of the longest path on chains, rings and the like.
+    """
+    own = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("id"))
+    label = cut(ids.select("id", own.alias("label")), "label")
+    for _ in range(rounds):
+        handed = edges.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
+        jump = label.select(F.col("id").alias("at"), F.col("label").alias("further"))
+        least = F.least("label", "m", "further")
+        new = label.join(jump, label["label"]["id"] == jump["at"]).join(handed, "id", "left").select("id", least.alias("label"), (least < F.col("label")).alias("moved"))
+        new = cut(new, "label")
+        label = new.select("id", "label")
+        if not new.where("moved").limit(1).count():
+            return label
+    raise RuntimeError(f"labels haven't settled in {rounds} rounds")
+
+
 def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component): nodes of components of two nodes or more; the component is its smallest id.
 
-    Colouring: every node takes the smallest id that reaches it; of each colour, the nodes that reach the colour's
-    own node along the colour are its component. They are taken out, and what is left is coloured again.
+    Forward and backward at once from many pivots: every node takes the least node (by a hash) that reaches it; of
+    those with the same, the nodes that reach it too are its component. The others are cut apart where either label
+    differs, as no cycle crosses there, and labelled again under other hashes. ``RuntimeError`` if ``rounds`` of either
+    kind don't suffice.
     """
     left = _trimmed(cut(edges.select("src", "dst").where("src <> dst").distinct(), "scc"))
-    done = cut(edges.sparkSession.createDataFrame([], "id string, component string"), "scc")
-    for _ in range(rounds):
+    done = []
+    for seed in range(rounds):
         if not left.limit(1).count():
-            return done
-        colour = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")), "colour")
-        while True:
-            handed = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            new = cut(colour.join(handed, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")), "colour")
-            colour = new.select("id", "c")
-            if not new.where("moved").limit(1).count():
-                break
-        own = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c"))
-        own = cut(own, "colour")
-        found = cut(own.where("c = dst").select(F.col("c").alias("id"), "c").distinct(), "back")
-        frontier = found
-        while True:  # backwards from each colour's node, inside the colour
-            step = own.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "c").distinct().join(found, ["id", "c"], "left_anti")
-            frontier = cut(step, "back")
-            if not frontier.limit(1).count():
-                break
-            found = cut(found.union(frontier), "back")
-        done = cut(done.union(found.select("id", F.col("c").alias("component"))), "scc")
-        gone = colour.join(found.select("id"), "id", "left_semi").select("id").union(colour.where("c = id").select("id")).distinct()
-        left = _trimmed(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    raise RuntimeError("strong components not settled")
+            break
+        ids = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "scc")
+        of = lambda label, end, name: label.select(F.col("id").alias(end), F.col("label").alias(name))
+        fore = _least_reaching(left, ids, seed, rounds)
+        own = cut(left.join(of(fore, "src", "cs"), "src").join(of(fore, "dst", "cd"), "dst").where("cs = cd").select("src", "dst"), "scc")
+        back = _least_reaching(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, seed, rounds)
+        both = cut(fore.withColumnRenamed("label", "fore").join(back.withColumnRenamed("label", "back"), "id").select("id", "fore", "back", (F.col("fore") == F.col("back")).alias("found")), "scc")
+        done.append(both.where("found").select("id", F.col("fore").alias("label")))
+        rest = both.where("not found").select("id", F.col("back").alias("label"))
+        left = _trimmed(own.join(of(rest, "src", "bs"), "src").join(of(rest, "dst", "bd"), "dst").where("bs = bd").select("src", "dst"))
+    else:
+        raise RuntimeError("strong components not settled")
+    out = edges.sparkSession.createDataFrame([], "id string, component string")
+    for member in done:
+        least = member.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+        out = out.unionByName(member.join(least, "label").select("id", "component"))
+    return out
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
