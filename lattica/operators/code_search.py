@@ -19,6 +19,7 @@ from . import search
 from .build import CALLABLES, CLASSES
 from .resolve import first_by
 from .scope import CALLS
+from .simjoin import similar_pairs
 
 # Fixed values of chunks and ranking.
 WINDOW_LINES, GAP_LINES = 40, 3
@@ -346,7 +347,7 @@ def fetch(nodes: DataFrame, files: DataFrame, wanted: list[str], context: int =
     """(place, id, status, file, start_line, end_line, text): the source of each wanted node, in the order asked.
 
     A definition's lines run from its region's start to its end, ``context`` more on either side. Blocks are cut at
-    ``block`` tokens. The first always comes; once the budget is exceeded the rest is ``not_fetched``; ids that are no
+    ``block`` tokens, with the status ``cut`` in place of ``fetched``. The first always comes; once the budget is exceeded the rest is ``not_fetched``; ids that are no
     node are ``not_found``.
     """
     spark = nodes.sparkSession
@@ -357,11 +358,11 @@ def fetch(nodes: DataFrame, files: DataFrame, wanted: list[str], context: int =
     hi = F.least(F.size("lines"), F.coalesce("end_line", "line", F.size("lines")) + context)
     cut_ = met.withColumn("lo", lo).withColumn("hi", hi)
     body = F.array_join(F.slice("lines", F.col("lo"), F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0))), "\n")
-    cut_ = cut_.withColumn("text", F.when(F.col("lines").isNotNull(), F.substring(body, 1, int(block * 3.5)))).withColumn("size", F.when(F.col("text").isNotNull(), approx_tokens(F.length("text"))).otherwise(0))
+    cut_ = cut_.withColumn("text", F.when(F.col("lines").isNotNull(), F.substring(body, 1, int(block * 3.5)))).withColumn("shorter", F.length(body) > int(block * 3.5)).withColumn("size", F.when(F.col("text").isNotNull(), approx_tokens(F.length("text"))).otherwise(0))
     order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as were asked for
     run = cut_.withColumn("upto", F.sum("size").over(order)).withColumn("n", F.sum((F.col("size") > 0).cast("int")).over(order))
-    status = F.when(F.col("text").isNull(), "not_found").when((F.col("n") == 1) | (F.col("upto") <= budget), "fetched").otherwise("not_fetched")
-    shown = lambda c: F.when(F.col("status") == "fetched", F.col(c)).alias(c)
+    status = F.when(F.col("text").isNull(), "not_found").when((F.col("n") == 1) | (F.col("upto") <= budget), F.when(F.col("shorter"), "cut").otherwise("fetched")).otherwise("not_fetched")
+    shown = lambda c: F.when(F.col("status").isin("fetched", "cut"), F.col(c)).alias(c)
     return run.withColumn("status", status).select("place", "id", "status", "file", shown("lo").alias("start_line"), shown("hi").alias("end_line"), shown("text"))
 
 
@@ -383,8 +384,7 @@ def duplicates(index: CodeIndex, nodes: DataFrame, edges: DataFrame, floor: floa
 
     Both have at least ``least_lines`` lines, are of the same kind (class or callable) and on the same side of tests,
     and differ in size by no more than ``ratio``; they are ``least_distance`` steps apart or more. Likeness is the
-    cosine of their terms' weights, over pairs that share a term which no more than a hundredth of the chunks (64 at
-    least) have; every such pair is weighed.
+    cosine of their terms' weights; ``similar_pairs`` finds all pairs at ``floor`` or above.
     """
     own = definition_of(index.chunks.where("kind = 'definition'"), nodes)
     file, kind = F.col("file"), F.when(F.col("kind").isin(*CLASSES), "class").when(F.col("kind").isin(*CALLABLES), "callable")
@@ -394,19 +394,20 @@ def duplicates(index: CodeIndex, nodes: DataFrame, edges: DataFrame, floor: floa
     df = index.postings.where("tf_body > 0").groupBy("term").agg(F.count("*").alias("df"))
     weight = (1 + F.log("tf_body")) * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = cut(index.postings.where("tf_body > 0").join(defs.select("cid"), "cid", "left_semi").join(df, "term").select("cid", "term", "df", weight.alias("w")), "weights")
-    norms = weighed.groupBy("cid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rare = weighed.where(F.col("df") <= max(64, n // 100)).select("cid", "term")
-    pairs = rare.select("term", F.col("cid").alias("x")).join(rare.select("term", F.col("cid").alias("y")), "term").where("x < y").select("x", "y").distinct()
     side = lambda c: defs.select(F.col("cid").alias(c), F.col("id").alias(f"{c}_id"), F.col("size").alias(f"{c}_size"), F.col("family").alias(f"{c}_family"), F.col("test").alias(f"{c}_test"))
+    pairs = similar_pairs(weighed.select("cid", "term", "w"), floor - 0.00005).where(F.round("score", 4) >= floor).withColumn("score", F.round("score", 4))
     fair = pairs.join(side("x"), "x").join(side("y"), "y").where("x_family = y_family and x_test = y_test and x_id <> y_id").where((F.col("x_size") <= ratio * F.col("y_size")) & (F.col("y_size") <= ratio * F.col("x_size")))
-    fair = cut(fair, "pairs")
-    dot = fair.select("x", "y").join(weighed.select(F.col("cid").alias("x"), "term", F.col("w").alias("wx")), "x").join(weighed.select(F.col("cid").alias("y"), "term", F.col("w").alias("wy")), ["y", "term"]).groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
-    scored = dot.join(norms.select(F.col("cid").alias("x"), F.col("norm").alias("nx")), "x").join(norms.select(F.col("cid").alias("y"), F.col("norm").alias("ny")), "y").withColumn("score", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 4)).where(F.col("score") >= floor)
+    scored = fair.select("x", "y", "score")
     met = scored.join(fair.select("x", "y", "x_id", "y_id"), ["x", "y"]).groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).agg(F.max("score").alias("score"))
     steps = cut(edges.where("src <> dst").select("src", "dst").unionAll(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "steps")
     met = cut(met, "pairs")
-    close, at = met.select("a", "b").limit(0), met.select("a", "b", F.col("a").alias("at"))
-    for _ in range(least_distance - 1):  # walks from each pair's one end, of the pairs only
-        at = cut(at.join(steps.withColumnRenamed("src", "at"), "at").select("a", "b", F.col("dst").alias("at")).distinct(), "walks")
-        close = close.unionByName(at.where("at = b").select("a", "b"))
+    ends = met.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    near = cut(ends.select("end", F.col("end").alias("at")), "walks")
+    half = [near]
+    for _ in range((least_distance - 1 + 1) // 2):  # what lies around each end, half of the way
+        near = cut(near.join(steps.withColumnRenamed("src", "at"), "at").select("end", F.col("dst").alias("at")).unionByName(near).distinct(), "walks")
+        half.append(near)
+    a_half, b_half = half[(least_distance - 1) // 2], half[(least_distance - 1 + 1) // 2]
+    reach = met.select("a", "b").join(a_half.select(F.col("end").alias("a"), "at"), "a").join(b_half.select(F.col("end").alias("b"), "at"), ["b", "at"])
+    close = reach.select("a", "b")
     return met.join(close.distinct(), ["a", "b"], "left_anti").orderBy(F.desc("score"), "a", "b").limit(most)

@@ -68,12 +68,13 @@ def partition(weights: DataFrame, rounds: int = 200, resolution: float = 1.0, to
         return _by_least(now)
     between, parts, kept = links.where("a <> b"), 2, None
     for r in range(rounds):
-        kc = cut(strength.join(now, strength["a"] == now["id"]).groupBy("community").agg(F.sum("k").alias("tot")), "strength")
+        kc = strength.join(now, strength["a"] == now["id"]).groupBy("community").agg(F.sum("k").alias("tot"))
         mine = now.join(strength, now["id"] == strength["a"]).select("id", F.col("community").alias("own"), "k")
         to = between.join(now.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         to = cut(to.join(mine, to["a"] == mine["id"]).select("id", "community", "w", "own", "k"), "moves")
-        inside = to.agg(F.sum(F.when(F.col("community") == F.col("own"), F.col("w")))).first()[0] or 0.0
-        quality = inside / total - resolution * (kc.agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] / total**2)
+        inside = to.agg(F.coalesce(F.sum(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("inside"))
+        sums = inside.crossJoin(kc.agg(F.sum(F.col("tot") * F.col("tot")).alias("squares"))).first()  # a row each
+        quality = sums.inside / total - resolution * (sums.squares / total**2)
         if kept is not None and quality < kept[0] + tolerance:
             parts *= 2
             if quality < kept[0]:

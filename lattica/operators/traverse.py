@@ -116,14 +116,25 @@ def neighbour_tally(edges: DataFrame, node: str) -> DataFrame:
     return out.unionAll(into).distinct().groupBy("relation", "direction").agg(F.count("*").alias("n"))
 
 
-def within_budget(rows: DataFrame, size: Column, budget: float, *order: Column, start: float = 98, per: float = 3.5, crossing: bool = False) -> DataFrame:
-    """Rows in order until their sizes reach the budget: the first always; the one that crosses only if wanted.
+def running_sum(rows: DataFrame, size: Column, *order: Column) -> DataFrame:
+    """(whole, n, own, sum): each row as a struct, its place from 1 in the order, its size, and the sum of sizes up to it.
 
-    The rows are an answer's (bounded by its hops), so one ordered window is enough for them.
+    Rows are dealt by ranges of ``order``; each range counts and sums on its own, a row for each range is summed up to
+    its base, so no window is over all rows. Rows that tie share a range, in any order.
     """
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.struct(*rows.columns)
-    total = rows.select(whole.alias("whole"), F.row_number().over(Window.orderBy(*order)).alias("n"), ((F.lit(start) + F.sum(size + 2).over(w)) / per).alias("s"), (size + 2).alias("own"))
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(sorted_.select(F.struct(*rows.columns).alias("whole"), size.alias("own"), F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")), "dealt")
+    inside = Window.partitionBy("__p").orderBy("__i")
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = dealt.groupBy("__p").agg(F.count("*").alias("rows"), F.sum("own").alias("size"))
+    bases = sums.select("__p", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("rows"), F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("size"))
+    return dealt.join(F.broadcast(bases), "__p").select("whole", (F.col("rows") + F.row_number().over(inside)).alias("n"), "own", (F.col("size") + F.sum("own").over(inside)).alias("sum"))
+
+
+def within_budget(rows: DataFrame, size: Column, budget: float, *order: Column, start: float = 98, per: float = 3.5, crossing: bool = False) -> DataFrame:
+    """Rows in order until their sizes reach the budget: the first always; the one that crosses only if wanted. Sums run
+    by ranges of the order (``running_sum``)."""
+    total = running_sum(rows, size + 2, *order).withColumn("s", (F.lit(start) + F.col("sum")) / per)
     before = (F.col("s") * per - F.col("own")) / per
     return total.where((F.col("n") == 1) | ((before if crossing else F.col("s")) < budget)).select("whole.*")
 

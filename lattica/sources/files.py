@@ -106,11 +106,13 @@ def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
 def discover(listed: DataFrame, rules: list[tuple[str, str]] = (), docs: bool = True, largest: int = LARGEST) -> DataFrame:
     """(file, status) of listed files (file, size): ``read``, or why not: hidden, ignored, environment, too_large,
     unknown. A folder with ``pyvenv.cfg`` is an environment. In order of the path."""
-    homes = listed.where(F.endswith("file", F.lit("/pyvenv.cfg"))).select(F.regexp_replace("file", "pyvenv.cfg$", "").alias("home"))
-    env = [r.home for r in homes.limit(1000).collect()]  # environments of one project
-    in_env = F.lit(False)
-    for home in env:
-        in_env = in_env | F.startswith("file", F.lit(home))
+    homes = listed.where(F.endswith("file", F.lit("/pyvenv.cfg"))).select(F.regexp_replace("file", "/pyvenv.cfg$", "").alias("home")).distinct()
+    # a file's folders against the environments, however many there are
+    parts = F.split("file", "/")
+    above = listed.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("home"))
+    inside = above.join(homes, "home", "left_semi").select("file").distinct().withColumn("inside", F.lit(True))
+    listed = listed.join(inside, "file", "left")
+    in_env = F.coalesce("inside", F.lit(False))
     wanted = [e for e in grammar.LANGUAGE if docs or grammar.LANGUAGE[e] not in ("markdown", "rst")]
     status = F.when(F.col("file").rlike(r"(?:^|/)\.[^/]"), "hidden").when(ignored(F.col("file"), list(rules)), "ignored").when(in_env, "environment").when(~extension(F.col("file")).isin(*wanted), "unknown").when(F.col("size") > largest, "too_large").otherwise("read")
     return listed.select("file", status.alias("status")).orderBy("file")

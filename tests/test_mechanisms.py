@@ -78,3 +78,60 @@ def test_refinement_parts_cliques_of_one_community(spark):
     got = communities.refine(weights, member).collect()
     for part in {r.community for r in got}:
         assert len({r.id[0] for r in got if r.community == part}) == 1
+
+
+def _cosines(vectors, floor):
+    out = {}
+    unit = {i: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()} for i, v in vectors.items()}
+    for x in unit:
+        for y in unit:
+            if x < y:
+                s = sum(w * unit[y].get(t, 0) for t, w in unit[x].items())
+                if s >= floor:
+                    out[x, y] = round(s, 6)
+    return out
+
+
+@pytest.mark.parametrize("floor,block", [(0.3, 2048), (0.8, 3)])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, floor, block):
+    """Common terms, rare terms, copies; lists longer than a block are met block by block."""
+    from lattica.operators import simjoin
+
+    monkeypatch.setattr(simjoin, "BLOCK", block)
+    r = random.Random(7)
+    vectors = {i: {f"t{min(int(r.expovariate(0.15)), 39)}": r.choice([0.5, 1.0, 2.0]) for _ in range(r.randint(1, 12))} for i in range(120)}
+    vectors |= {200 + i: dict(vectors[3]) for i in range(15)}
+    rows = [(i, t, w) for i, v in vectors.items() for t, w in v.items()]
+    got = simjoin.similar_pairs(spark.createDataFrame(rows, "cid long, term string, w double"), floor).collect()
+    assert len(got) == len({(g.x, g.y) for g in got})
+    assert {(g.x, g.y): round(g.score, 6) for g in got} == _cosines(vectors, floor)
+    assert simjoin.similar_pairs(spark.createDataFrame([], "cid long, term string, w double"), floor).count() == 0
+
+
+def test_index_refreshed_in_batches_equals_a_fresh_one(spark):
+    from lattica.operators import search, segments
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("cid"), F.col("source").alias("name"), F.col("lang").alias("path"), F.col("text").alias("body")).where("cid < 90").cache()
+    index = segments.SegmentedIndex(search.plain_terms, fan=2)
+    for k in range(4):  # some come first with another text, and change in a later batch
+        early = docs.where(F.col("cid") % 4 == k).withColumn("body", F.when(F.col("cid") % 3 == 0, F.lit("other the words")).otherwise(F.col("body")))
+        again = docs.where((F.col("cid") % 4 == k - 1) & (F.col("cid") % 3 == 0))
+        index.refresh(early.unionByName(again), docs.where((F.col("cid") % 4 == k - 2) & (F.col("cid") % 5 == 0)).select("cid"))
+    assert len(index.segments) <= 3
+    final = docs.where("not (cid % 4 < 2 and cid % 5 = 0) and not (cid % 4 = 3 and cid % 3 = 0)").unionByName(docs.where("cid % 4 = 3 and cid % 3 = 0").withColumn("body", F.lit("other the words")))
+    fresh = search.index(final, search.plain_terms)
+    tidy = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    assert tidy(index.postings()) == tidy(fresh[0]) and tidy(index.lengths()) == tidy(fresh[1])
+    got, want = (sorted((x.cid, round(x.score, 9), x.matched) for x in df.collect()) for df in (index.scores(["the", "a", "other"]), search.bm25f(*fresh, ["the", "a", "other"])))
+    assert got == want
+
+
+def test_running_sums_by_ranges(spark):
+    from lattica.operators import traverse
+
+    rows = [(k % 7, f"x{k:03d}", (k * 37) % 11) for k in range(500)]
+    got = traverse.running_sum(spark.createDataFrame(rows, "a int, b string, c int"), F.col("c"), F.desc("a"), F.col("b")).collect()
+    total = 0
+    for n, (g, w) in enumerate(zip(sorted(got, key=lambda g: g.n), sorted(rows, key=lambda r: (-r[0], r[1])), strict=True), 1):
+        total += w[2]
+        assert (g.n, tuple(g.whole), g.own, g.sum) == (n, w, w[2], total)
