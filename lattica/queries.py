@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import communities, cycles, degree, resolve, review, scope, search, spans, traverse
+from .operators import communities, cycles, degree, resolve, review, scope, search, segments, simjoin, spans, traverse
+from .plans.snapshot import cut
 from .sources import graph_json
-from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, next_part_edges, node_view, table
+from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, kept, next_part_edges, node_view, table
 from .streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,6 +649,12 @@ def _chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("source").alias("name"), F.concat("lang", F.lit("/"), "source").alias("path"), F.col("text").alias("body"))
 
 
+def _written_index(spark, d):
+    """Postings and lengths of the documents, written once a session."""
+    made = lambda k: lambda spark, d: search.index(_chunks(spark, d), search.plain_terms)[k]
+    return tuple(kept(spark, d, name, made(k), ("documents",)) for k, name in enumerate(("postings", "lengths")))
+
+
 _INDEX = """WITH c AS (SELECT doc_id AS cid, source AS name, lang || '/' || source AS path, coalesce(text, '') AS body FROM documents),
 w AS (SELECT cid, 'name' AS f, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS term FROM c UNION ALL SELECT cid, 'path', unnest(regexp_extract_all(lower(path), '[a-z]+')) FROM c UNION ALL SELECT cid, 'body', unnest(regexp_extract_all(lower(body), '[a-z]+')) FROM c),
 postings AS (SELECT term, cid, count(*) FILTER (f = 'name') AS tf_name, count(*) FILTER (f = 'path') AS tf_path, count(*) FILTER (f = 'body') AS tf_body FROM w GROUP BY ALL),
@@ -678,12 +685,25 @@ def text_index(spark, d):
 
 @query(_BM25 + "SELECT cid, round(score, 6) AS score, matched FROM scored", view=False)
 def bm25_scores(spark, d):
-    return search.bm25f(*search.index(_chunks(spark, d), search.plain_terms), _TERMS).select("cid", F.round("score", 6).alias("score"), "matched")
+    return search.bm25f(*_written_index(spark, d), _TERMS).select("cid", F.round("score", 6).alias("score"), "matched")
+
+
+@query(_BM25 + "SELECT cid, round(score, 6) AS score, matched FROM scored", view=False)
+def refreshed_scores(spark, d):
+    """The same scores from an index that took the documents in four batches, a third of them first with another text,
+    and dropped and took again some of them."""
+    chunks, index = _chunks(spark, d), segments.SegmentedIndex(search.plain_terms, fan=2)
+    of = lambda k: F.pmod(F.xxhash64("cid"), F.lit(4)) == k
+    for k in range(4):
+        index.refresh(chunks.where(of(k)).withColumn("body", F.when(F.pmod("cid", F.lit(3)) == 0, F.reverse("body")).otherwise(F.col("body"))))
+    index.refresh(chunks.where(F.pmod("cid", F.lit(3)) == 0), chunks.where(F.pmod("cid", F.lit(5)) == 0).select("cid"))
+    index.refresh(chunks.where((F.pmod("cid", F.lit(5)) == 0) & (F.pmod("cid", F.lit(3)) > 0)))
+    return index.scores(_TERMS).select("cid", F.round("score", 6).alias("score"), "matched")
 
 
 def _lexical(spark, d):
     chunks = _chunks(spark, d)
-    return search.rerank(search.bm25f(*search.index(chunks, search.plain_terms), _TERMS), chunks)
+    return search.rerank(search.bm25f(*_written_index(spark, d), _TERMS), chunks)
 
 
 @query(_RANKED + "SELECT cid, path, round(score, 6) AS score FROM lexical", view=False)
@@ -711,6 +731,24 @@ def search_fused(spark, d):
     return search.fuse(_lexical(spark, d), dense, (1.0, 0.3)).select("cid", F.round("score", 9).alias("score"))
 
 
+@query(
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS c, count(*) OVER (PARTITION BY term) AS df FROM t GROUP BY doc_id, term), p AS (SELECT doc_id, term, c, (1 + ln(c)) * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS w FROM f),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS n, md5(string_agg(term || ':' || c, ',' ORDER BY term)) AS h FROM p GROUP BY doc_id), k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class FROM n),
+dot AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(a.w * b.w) AS dot FROM p a JOIN p b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, count(*) AS links FROM dot JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE dot / (nx.n * ny.n) >= 0.8 GROUP BY x)
+SELECT k.doc_id, class, coalesce(links, 0) AS links FROM k LEFT JOIN l ON x = k.doc_id""",
+    view=False,
+)
+def similar_documents(spark, d):
+    """Documents by the cosine of their terms' weights, all pairs of 0.8 or more: the class of equal ones, and links."""
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    counted = cut(docs.select(F.col("doc_id").alias("cid"), F.explode(search.plain_terms(F.col("text"))).alias("term")).groupBy("cid", "term").agg(F.count("*").alias("tf")), "terms")
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = counted.join(df, "term").select("cid", "term", ((1 + F.log("tf")) * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    return simjoin.links(*simjoin.similar_classes(weighed, 0.8)).withColumnRenamed("cid", "doc_id")
+
+
 @query()
 def related_chunks(spark, d):
     """No SQL: candidates are cut by sums whose last digits depend on their order; tests compare with brute force."""

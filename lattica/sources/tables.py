@@ -26,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[tuple, tuple] = {}
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The view that ``make`` gives, written to the shared folder at its first use in a session, so that queries read
+def kept(spark: SparkSession, sf_dir: str, name: str, make, tables: tuple[str, ...] | None = None) -> DataFrame:
+    """The view of ``tables`` (by default ``VIEWED``) that ``make`` gives, written to the shared folder at its first use in a session, so that queries read
     its columns instead of joining the tables again. Tables that have changed since are viewed anew."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in VIEWED])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in tables or VIEWED])
     stamp = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name, *stamp)
     if key not in _written:

@@ -13,7 +13,7 @@ from lattica.operators import build, code_search, degree, resolve, search
 from lattica.plans.result import limited
 from lattica.sources import files, git, grammar, graph_json
 from lattica.sources.code import code_facts, facts_of
-from lattica.sources.samples import POLYGLOT, sample_files, texts
+from samples import POLYGLOT, sample_files, texts
 from lattica.streaming import watch
 
 

@@ -135,3 +135,32 @@ def test_running_sums_by_ranges(spark):
     for n, (g, w) in enumerate(zip(sorted(got, key=lambda g: g.n), sorted(rows, key=lambda r: (-r[0], r[1])), strict=True), 1):
         total += w[2]
         assert (g.n, tuple(g.whole), g.own, g.sum) == (n, w, w[2], total)
+
+
+def test_poll_sees_files_that_are_written_anew(spark, tmp_path):
+    import os
+
+    from lattica.streaming import watch
+
+    root, state = tmp_path / "src", f"file://{tmp_path}/state"
+    root.mkdir()
+    seen = lambda: {(r.file.rsplit("/", 1)[1], r.change) for r in watch.poll(spark, f"file://{root}", state).collect()}
+    (root / "a.py").write_text("one")
+    (root / "b.py").write_text("two")
+    assert seen() == {("a.py", "new"), ("b.py", "new")} and seen() == set()
+    (root / "a.py").write_text("ONE")
+    os.utime(root / "a.py", (2_000_000_000, 2_000_000_000))
+    (root / "b.py").unlink()
+    (root / "c.py").write_text("three")
+    assert seen() == {("a.py", "changed"), ("b.py", "removed"), ("c.py", "new")} and seen() == set()
+
+
+def test_did_you_mean_equals_difflib(spark):
+    from difflib import SequenceMatcher
+
+    from lattica.code_queries import QUERIES
+
+    names = {r.r_name for r in spark.read.parquet(f"{SF}/region.parquet").collect()}
+    got = [str(r) for r in QUERIES["did_you_mean"](spark, SF).collect()]
+    best = max(names, key=lambda n: SequenceMatcher(None, n.lower(), "amerca").ratio())
+    assert best == "AMERICA" and got and best in got[0]
