@@ -106,8 +106,8 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
     Inside a community every node begins alone. A node that is still alone, and well connected to the rest of the
     community, joins the part in which it gains most, if that one is well connected too; *well connected* means a weight
     to the rest of the community of at least resolution * strength * (strength of the rest) / (all strength). In a
-    round, nodes with a hash of one kind join nodes of the other or parts already joined, so none moves into one that
-    moves. The nodes that choose the same part are taken in order of gain, as long as both conditions hold with those
+    round, nodes with a hash of one kind join nodes of the other or parts already joined, and so do those of the other
+    kind that none has chosen, so none moves into one that moves. The nodes that choose the same part are taken in order of gain, as long as both conditions hold with those
     before them in it: running sums over the order, with the weights among them, give the same as one merge after another.
     """
     eps = 1e-12
@@ -135,6 +135,8 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
             return now.select("id", "community", "part", "round", "rank")
         side = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(r)), F.lit(2))
         asked = best.where((side("id") == 0) & ((F.col("n") > 1) | (side("into") == 1)))
+        rest = best.where((side("id") == 1) & (F.col("n") > 1)).join(asked.select(F.col("into").alias("id")), "id", "left_anti")
+        asked = asked.unionByName(rest)
         inorder = Window.partitionBy("into").orderBy(F.desc("gain"), "id")
         asked = cut(asked.withColumn("at", F.row_number().over(inorder)), "moves")
         # weights between a node and those before it in the same part's order
