@@ -19,19 +19,25 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 # Fixed vocabularies of HTML.
-CONTAINERS = frozenset("html body main article section div td form aside nav header footer blockquote ul ol table dl figure details dialog fieldset menu search hgroup noscript template svg button select textarea iframe object label".split())
-BREAKS = CONTAINERS - {"label", "button", "svg"} | frozenset("p br hr h1 h2 h3 h4 h5 h6 li tr th dt dd pre figcaption address center option summary caption thead tbody tfoot title head".split())
+CONTAINERS = frozenset("html body main article section div td form aside nav header footer blockquote ul ol table dl figure details dialog fieldset menu search hgroup noscript template svg select textarea iframe object".split())
+BREAKS = CONTAINERS - {"svg"} | frozenset("p br hr h1 h2 h3 h4 h5 h6 li tr th dt dd pre figcaption address center option summary caption thead tbody tfoot title head".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
 #: Elements that end where one of a group begins or their parent ends.
 IMPLIED = {"p": BREAKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 #: Elements whose text is never main text; elements that no class makes boilerplate.
-NOISE_TAGS = frozenset("nav aside footer header form button select svg menu dialog object label search fieldset".split())
+NOISE_TAGS = frozenset("nav aside footer header select svg menu dialog object search".split())
+#: Elements that are main text only if they hold most of the page's; controls, whose words are text only inside a sentence.
+FORMS = frozenset("form fieldset".split())
+CONTROLS = frozenset("button label".split())
 PLAIN = frozenset("html body main".split())
 #: Words of a class, id or role of adverts, notices and reader comments; and of the parts around an article.
-FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist reply replies disqus discussion cookie cookies consent gdpr newsletter subscribe".split())
-LAYOUT = frozenset("banner sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot notice notices alert popup modal overlay signup login share sharing social related recommended widget toolbar pagination pager copyright complementary contentinfo search".split())
+FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist reply replies disqus discussion adbanner adbox adcontainer adsense adslot adspace adunit adwrapper cookie cookies consent gdpr newsletter subscribe".split())
+LAYOUT = frozenset("banner sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot notice notices alert popup modal overlay signup login share sharing social related recommended widget toolbar pagination pager copyright complementary contentinfo responses search".split())
 #: Words that may stand beside those in one class without changing what it says.
-NEUTRAL = frozenset("area article bar block body bottom box button buttons col column container content entry feed global group inner item items js left link links list main message module outer page panel post posts primary reader right row secondary section site slot text thread top unit user wrap wrapper".split())
+NEUTRAL = frozenset("area article bar block body bottom box button buttons col column container content entry feed form global group inner item items js left link links list main message module outer page panel post posts primary reader right row secondary section site slot text thread top unit user wrap wrapper".split())
+#: Words that say the same behind any prefix (``wp-comment``), and those before them that speak of something else (``no-ads``).
+CERTAIN = frozenset("ad ads advert adverts advertisement comment comments commentlist".split())
+STATES = frozenset("with without has have no not non show shows hide is are allow allows allowed enable enabled disable disabled open closed free block after before above below to on".split())
 # Tags as the HTML standard reads them: a quote opens a value only right after "=", and "/" has no effect.
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)|"
@@ -44,6 +50,10 @@ _ENDS = re.compile(r"[.!?;:,]")
 _PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Places in which a host's pages meet its winning path.
+SALTS = 32
+
+
 class Container:
     """An element that holds others. ``blocks`` are indices into the page's list of blocks; ``kind`` is "tag" or
     "foreign" if the element itself is boilerplate, "layout" if its class says so and its text may tell otherwise."""
@@ -68,10 +78,14 @@ class Container:
 
 def judged(tokens: list[str], article: bool = False) -> str | None:
     """What whole class tokens say: "foreign", "layout" or nothing. Of a token's words one must be of the
-    vocabulary and the others neutral, so neither ``with-sidebar`` nor ``comments-open`` says anything."""
+    vocabulary and the others neutral, so neither ``with-sidebar`` nor ``comments-open`` says anything. A certain word
+    may end any name, as ``google-ads`` or the block of ``c-ad__body``."""
     found = None
     for token in tokens:
         parts = [x.lower() for x in _PART.findall(token)]
+        block = [x.lower() for x in _PART.findall(token.split("__")[0].split("--")[0])]
+        if block and block[-1] in CERTAIN and not STATES & set(block):
+            return "foreign"
         if parts and all(x in FOREIGN or x in LAYOUT or x in NEUTRAL for x in parts):
             if any(x in FOREIGN for x in parts):
                 return "foreign"
@@ -87,9 +101,9 @@ def _describe(tag: str, attributes: str) -> tuple[str, str | None]:
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     classes = unescape(found.get("class", "")).split()
-    kind = "tag" if tag in NOISE_TAGS else None
-    if kind is None and found and tag not in PLAIN:
-        kind = judged([*classes, *found.get("id", "").split(), *found.get("role", "").split()], tag == "article")
+    kind = "tag" if tag in NOISE_TAGS else "layout" if tag in FORMS else None
+    if kind != "tag" and found and tag not in PLAIN:
+        kind = kind if (said := judged([*classes, *found.get("id", "").split(), *found.get("role", "").split()], tag == "article")) is None else said
     return tag + ("." + re.sub(r"\d+", "#", classes[0].lower()) if classes else ""), kind
 
 
@@ -102,17 +116,25 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
     wanted = path.split(">") if path else []
     root = Container(None, "", "", None, 0, wanted)
     stack, containers, blocks, parts, open_ = [root], [root], [], [], Counter()
-    link = mute = 0  # depth of the stack at an open link or advert inside a line
+    link = mute = control = 0  # depth of the stack at an open link, advert or control inside a line
+    controls: list[int] = []  # which of the parts are a control's words
 
     def flush() -> None:
         if parts:
+            if controls:
+                own = set(controls)
+                words = [k for k, x in enumerate(parts) if k not in own and not x.isspace()]
+                for k in controls:
+                    if not words or not words[0] < k < words[-1]:
+                        parts[k] = " "
+                controls.clear()
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 blocks.append((text, stack[-1]))
 
     def close(tag: str) -> None:
-        nonlocal link, mute
+        nonlocal link, mute, control
         flush()
         while True:
             x = stack.pop()
@@ -120,7 +142,7 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
             open_[x.tag] -= 1
             if x.tag == tag:
                 break
-        link, mute = (k if k <= len(stack) else 0 for k in (link, mute))
+        link, mute, control = (k if k <= len(stack) else 0 for k in (link, mute, control))
 
     at = 0
     while at < len(page):
@@ -128,8 +150,10 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
         chunk = page[at : m.start() if m else len(page)]
         if chunk and not mute:
             text = unescape(chunk)
+            if control:
+                controls.append(len(parts))
             parts.append(text)
-            n = len(text) if not text.isspace() else 0
+            n = len(text) if not (control or text.isspace()) else 0
             top = stack[-1]
             top.text += n
             if link:
@@ -144,6 +168,10 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
             continue
         if tag == "a":
             link = 0 if m[1] else len(stack)
+        if tag in CONTROLS:
+            control = 0 if m[1] else control or len(stack)
+        elif tag in ("p", "li", "td"):
+            control = 0  # a control that isn't closed ends with its block
         if tag in ("a", "span"):
             if m[1]:
                 mute = 0
@@ -181,8 +209,8 @@ def parse(page: str, path: str | None = None) -> tuple[list[tuple[str, Container
 
 
 def _settle(containers: list[Container]) -> None:
-    """Which containers are boilerplate: elements that are, and all inside; what only its layout class says so about
-    isn't if it holds most of the page's text and that isn't links."""
+    """Which containers are boilerplate: elements that are, and all inside; a form, or what only its layout class says so
+    about, isn't if it holds most of the page's text and that isn't links."""
     text, links = ({id(x): (0 if x.kind in ("tag", "foreign") else getattr(x, k)) for x in containers} for k in ("text", "links"))
     for x in reversed(containers):  # children come after their parent
         if x.parent is not None and x.kind not in ("tag", "foreign"):
@@ -265,7 +293,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), page_host(F.col("url")).alias("host"))
-    met = own.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    # a host may have a third of the pages: its row is met in SALTS places (one, where Spark finds the winners small)
+    own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    met = own.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "path")
     return met.transform(small_batches).mapInArrow(of, "page_id long, url string, text string").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -104,3 +104,30 @@ def test_repeated_rows_and_clashing_columns(spark):
     rows = [(1, "http://h/x", f"<article>{LONG}</article>")] * 3 + [(2, None, f"<article>{LONG}</article>"), (None, "http://h/y", LONG)]
     pages = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "page_id long, url string, html string, path int, host int, text int, votes int")
     assert [r.text for r in html.main_text(pages).collect()] == [BODY] * 5
+
+
+def test_forms_that_hold_the_page_and_those_beside_it():
+    assert text_of(f"<body><form id=aspnetForm><nav><a href=/>Home</a></nav><div><label>Search</label><input><p>Two, words.</p>{LONG}</div></form></body>") == "Two, words.\n" + BODY
+    assert text_of(f"<body><div>{LONG}{LONG}<form><p>Leave your name, please.</p><label>Name</label><select><option>One<option>Two</select></form></div></body>") == BODY + "\n" + BODY
+    assert text_of(f"<body><form class=comment-form><p>Write.</p>{LONG}</form><div>{LONG}</div></body>") == BODY
+
+
+def test_controls_inside_a_sentence_keep_its_words():
+    assert text_of(f"<div><p>Press the <button type=button>Save</button> key, or <label for=x>this <b>box</b></label>.</p>{LONG}</div>") == "Press the Save key, or this box.\n" + BODY
+    assert text_of(f"<div><p>Read, please. <button>Share</button></p><div><button>Like</button> <label>Mail</label></div>{LONG}</div>") == "Read, please.\n" + BODY
+    assert text_of(f"<div><p>One, <button>never closed</p><p>Two, three.</p>{LONG}</div>") == "One,\nTwo, three.\n" + BODY
+
+
+def test_certain_words_behind_any_prefix():
+    for name in ("wp-comment", "fb-comments", "blog-comment", "c-ad__x", "google-ads", "adbox", "responses"):
+        for tag in ("div", "section", "p"):
+            noise = f"<{tag} class='{name}'>Nice, very nice, indeed.</{tag}>"
+            assert text_of(f"<body><div class=post>{LONG}{noise}{LONG}</div></body>") == BODY + "\n" + BODY, noise
+    for name in ("no-ads", "has-comments", "with-fb-comments", "comments-open", "commentary", "adobe"):
+        assert text_of(f"<body><div class='{name}'>{LONG}</div></body>") == BODY, name
+
+
+def test_a_page_larger_than_a_batch(spark):
+    many = 60_000  # some 5 MB
+    pages = spark.createDataFrame([(1, "http://h/1", f"<article>{LONG * many}</article>"), (2, "http://h/2", f"<article>{LONG}</article>")], "page_id long, url string, html string")
+    assert {r.page_id: r.n_chars for r in html.main_text(pages).collect()} == {1: many * (len(BODY) + 1) - 1, 2: len(BODY)}
