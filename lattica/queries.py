@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import communities, cycles, degree, resolve, review, scope, search, segments, simjoin, spans, traverse
+from .operators import communities, cycles, degree, hierarchy, names, resolve, review, scope, search, segments, simjoin, spans, traverse
 from .plans.snapshot import cut
 from .sources import graph_json
 from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, kept, next_part_edges, node_view, table
@@ -188,6 +188,13 @@ def close_matches(spark, d):
     return resolve.close_matches(node_view(spark, d).where("type = 'part'"), "smal rings")
 
 
+@query()
+def similar_client_names(spark, d):
+    """Names of clients that are spelled alike. No SQL: the ratio of longest matching blocks; a test compares all pairs."""
+    clients = table(spark, d, "clients").select("name")
+    return names.similar_names(clients, clients, 0.9, ordered=True).select("a", "b", F.round("ratio", 9).alias("ratio"))
+
+
 @query(", h AS (SELECT * FROM nodes WHERE label = 'red widget') SELECT arg_min(id, pos) AS id, 'label' AS how, count(*) - 1 AS others FROM h HAVING count(*) > 0")
 def pick_node(spark, d):
     return resolve.pick(node_view(spark, d), "red widget")
@@ -409,6 +416,22 @@ def containment_closure(spark, d):
     return traverse.closure(edge_view(spark, d).where("relation = 'contains'"), 3)
 
 
+_FOREST = """, tree AS (SELECT id, CAST(NULL AS VARCHAR) AS parent, [id] AS path FROM nodes WHERE type = 'region' UNION ALL SELECT e.dst, e.src, list_append(path, e.dst) FROM tree JOIN edges e ON e.src = tree.id AND e.relation = 'contains'),
+up AS (SELECT unnest(path) AS top, id, len(path) AS depth FROM tree)"""
+
+
+@query(_FOREST + "SELECT tree.id, parent, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS pre, size FROM tree JOIN (SELECT top, count(*) AS size FROM up GROUP BY top) ON top = tree.id")
+def containment_labels(spark, d):
+    return hierarchy.labels(edge_view(spark, d).where("relation = 'contains'"))
+
+
+@query(_FOREST + "SELECT top, up.id, up.depth - len(path) AS distance FROM up JOIN tree ON top = tree.id WHERE top <> up.id AND (starts_with(top, 'r') OR starts_with(top, 'n'))")
+def below_places(spark, d):
+    """What regions and nations contain, at any depth, by interval labels."""
+    found = hierarchy.labels(edge_view(spark, d).where("relation = 'contains'"))
+    return hierarchy.below(cut(found, "labels"), node_view(spark, d).where("type in ('region', 'nation')"))
+
+
 # Cycles ---------------------------------------------------------------------------------------------------------
 
 _NEXT = "WITH RECURSIVE " + NEXT_PART_SQL

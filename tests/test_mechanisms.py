@@ -164,3 +164,83 @@ def test_did_you_mean_equals_difflib(spark):
     got = [str(r) for r in QUERIES["did_you_mean"](spark, SF).collect()]
     best = max(names, key=lambda n: SequenceMatcher(None, n.lower(), "amerca").ratio())
     assert best == "AMERICA" and got and best in got[0]
+
+
+def _forest(pairs):
+    below, ids = defaultdict(list), sorted({x for p in pairs for x in p})
+    parent = {c: p for p, c in pairs}
+    for p, c in pairs:
+        below[p].append(c)
+    out, stack = {}, [(i, 0) for i in reversed(ids) if i not in parent]
+    while stack:
+        v, d = stack.pop()
+        out[v] = [parent.get(v), d, len(out), 1]
+        stack += [(c, d + 1) for c in sorted(below[v], reverse=True)]
+    for v in sorted(out, key=lambda v: -out[v][2]):
+        if out[v][0] is not None:
+            out[out[v][0]][3] += out[v][3]
+    return {v: tuple(x) for v, x in out.items()}
+
+
+def test_labels_of_a_forest_equal_a_walk(spark, monkeypatch):
+    """A chain of 300, a node with 300 children, random trees; tables written grow with the logarithm."""
+    from lattica.operators import hierarchy
+
+    r = random.Random(5)
+    pairs = [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(300)] + [("hub", f"h{k}") for k in range(300)] + [(f"t{r.randrange(max(0, k - 30), k)}", f"t{k}") for k in range(1, 200)]
+    calls = counted(monkeypatch, hierarchy)
+    edges = spark.createDataFrame([*pairs, *pairs[:5], (None, "x"), ("y", None)], "src string, dst string")
+    got = hierarchy.labels(edges).cache()
+    assert {x.id: (x.parent, x.depth, x.pre, x.size) for x in got.collect()} == _forest(pairs)
+    assert len(calls) < 20
+    want = _forest(pairs)
+    monkeypatch.setattr(hierarchy, "BLOCK", 16)
+    tops = ["c000", "c290", "hub", "t3", "h1", "none"]
+    met = {tuple(x) for x in hierarchy.below(got, spark.createDataFrame([(t,) for t in tops + tops[:1]], "id string")).collect()}
+    assert met == {(t, v, want[v][1] - want[t][1]) for t in tops if t in want for v in want if want[t][2] < want[v][2] < want[t][2] + want[t][3]}
+
+
+def test_labels_of_what_is_no_forest(spark):
+    from lattica.operators import hierarchy
+
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    for rows in ([("a", "c"), ("b", "c")], [("a", "a")], [("r", "s"), ("a", "b"), ("b", "c"), ("c", "a")]):
+        with pytest.raises(ValueError):
+            hierarchy.labels(frame(rows))
+    assert hierarchy.labels(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("cutoff,block", [(0.9, 2048), (0.7, 7), (0.45, 2048), (1.0, 2048)])
+def test_similar_names_equal_all_pairs(spark, monkeypatch, cutoff, block):
+    from difflib import SequenceMatcher
+
+    from lattica.operators import names
+
+    monkeypatch.setattr(names, "BLOCK", block)
+    r = random.Random(11)
+    made = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 14))) for _ in range(40)]
+    for x in made[:25]:
+        k = r.randrange(len(x) + 1)
+        made += [x[:k] + r.choice(["", "z", x[:1]]) + x[k + 1 :], x + x, x[::-1]]
+    made += ["", "a" * 250, "a" * 240 + "b", "ab", "ba"]
+    left, right = set(made[: len(made) * 2 // 3] + made[-5:]), set(made[len(made) // 3 :])
+    frame = lambda xs: spark.createDataFrame([(x, 1) for x in xs] + [(None, 2)] + [(x, 3) for x in list(xs)[:9]], "name string, left int")
+    ratio = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    want = {(a, b): ratio(a, b) for a in left for b in right if ratio(a, b) >= cutoff}
+    got = names.similar_names(frame(left), frame(right), cutoff).collect()
+    assert len(got) == len(want) and {(g.a, g.b): g.ratio for g in got} == want
+
+
+def test_similar_client_names_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from lattica.queries import QUERIES
+
+    own = sorted({x.name for x in spark.read.parquet(f"{SF}/clients.parquet").collect() if x.name is not None})
+    want = set()
+    for k, a in enumerate(own):
+        for b in own[k + 1 :]:
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            if m.real_quick_ratio() >= 0.9 and m.quick_ratio() >= 0.9 and m.ratio() >= 0.9:
+                want.add((a, b, round(m.ratio(), 9)))
+    assert want and {(g.a, g.b, g.ratio) for g in QUERIES["similar_client_names"](spark, SF).collect()} == want
