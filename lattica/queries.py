@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import communities, cycles, degree, hierarchy, names, resolve, review, scope, search, segments, simjoin, spans, traverse
+from .operators import communities, cycles, degree, hierarchy, names, nearest, resolve, review, scope, search, segments, simjoin, spans, traverse
 from .plans.snapshot import cut
 from .sources import graph_json
 from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, kept, next_part_edges, node_view, table
@@ -744,6 +744,19 @@ def vector_top_k(spark, d):
     return _near(spark, d, 10).select("id", F.round("score", 6).alias("score"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT id, min(e) AS e FROM v GROUP BY id)),
+s AS (SELECT q.id AS query, u.id, round(list_dot_product(q.e, u.e) / (q.n * u.n), 9) + 0 AS score FROM u q JOIN u ON q.id % 50 = 0 AND q.id <> u.id)
+SELECT query, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""",
+    view=False,
+)
+def nearest_vectors(spark, d):
+    """Of every vector whose id is divisible by 50 the ten nearest of all others, by an inverted file."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return nearest.nearest(nearest.build(vectors, 64), vectors.where("id % 50 = 0"), 64)
+
+
 @query(
     _RANKED
     + ", dense AS (" + _NEAREST + " ORDER BY score DESC, id LIMIT 50), x AS (SELECT cid, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, cid)) AS s FROM (SELECT * FROM lexical ORDER BY score DESC, cid LIMIT 50) UNION ALL SELECT id, 0.3::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM dense) SELECT cid, round(sum(s), 9) AS score FROM x GROUP BY cid",

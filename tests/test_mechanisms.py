@@ -244,3 +244,62 @@ def test_similar_client_names_equal_all_pairs(spark):
             if m.real_quick_ratio() >= 0.9 and m.quick_ratio() >= 0.9 and m.ratio() >= 0.9:
                 want.add((a, b, round(m.ratio(), 9)))
     assert want and {(g.a, g.b, g.ratio) for g in QUERIES["similar_client_names"](spark, SF).collect()} == want
+
+
+def _nearest_by_hand(vectors, queries, k):
+    import numpy as np
+
+    ids = np.array(sorted(vectors))
+    x = np.array([vectors[i] for i in ids], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = np.round(x @ x[np.searchsorted(ids, q)], 9)
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
+        out[q] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+@pytest.mark.parametrize("block,lists", [(16, 8), (512, 1), (3, 40)])
+def test_nearest_equals_brute_force(spark, monkeypatch, block, lists):
+    """Clusters, a third of all vectors equal, ties, and rows that are no vectors; blocks far from a query aren't met."""
+    import numpy as np
+
+    from lattica.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", block)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(8, 6)) * 10
+    vectors = {i: (base[i % 8] + r.normal(size=6)).tolist() for i in range(400)} | {1000 + i: [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] for i in range(200)}
+    bad = [(None, [1.0] * 6), (2001, None), (2002, [1.0] * 5), (2003, [0.0] * 6), (2004, [1.0] * 5 + [None]), (2005, [1.0] * 5 + [float("nan")]), (2006, [float("inf")] * 6), (2007, [])]
+    rows = spark.createDataFrame([*vectors.items(), *bad, (5, vectors[5])], "id long, embedding array<double>").repartition(5)
+    asked = rows.where("id % 10 = 0 or id > 2000")
+    index = nearest.build(rows, 6, lists)
+    assert index.blocks.agg(F.sum("n")).first()[0] == len(vectors)
+    got = defaultdict(list)
+    for g in nearest.nearest(index, asked, 6, 5).orderBy("query", "rank").collect():
+        got[g.query].append((g.id, g.score))
+    want = _nearest_by_hand(vectors, [i for i in vectors if i % 10 == 0], 5)
+    assert set(got) == set(want)
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-9)
+
+
+def test_nearest_leaves_far_blocks_out(spark):
+    import numpy as np
+
+    from lattica.operators import nearest
+
+    r = np.random.default_rng(1)
+    base = r.normal(size=(40, 64))
+    rows = spark.createDataFrame([(i, (base[i % 40] + r.normal(size=64) * 0.05).tolist()) for i in range(4000)], "id long, embedding array<double>")
+    index = nearest.build(rows, 64, 40)
+    ready, left, _ = nearest.plan(index, rows.where("id % 50 = 0"), 64, 10)
+    pairs = ready.count() * index.blocks.count()
+    assert left.count() < pairs / 4
+    few = nearest.build(rows.where("id < 3"), 64)
+    assert [(g.query, g.id) for g in nearest.nearest(few, rows.where("id = 1"), 64).orderBy("rank").collect()] in ([(1, 0), (1, 2)], [(1, 2), (1, 0)])
+    none = rows.limit(0)
+    assert nearest.nearest(nearest.build(none, 64), rows, 64).count() == 0 and nearest.nearest(few, none, 64).count() == 0
