@@ -6,13 +6,14 @@ operator's shape. A query without SQL is one that SQL can't express; its tests c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import communities, cycles, degree, hierarchy, names, nearest, resolve, review, scope, search, segments, simjoin, spans, traverse
-from .plans.snapshot import cut
+from .operators import communities, cycles, degree, hierarchy, maintain, names, nearest, resolve, review, scope, search, segments, simjoin, spans, traverse
+from .plans.snapshot import cut, shared_dir
 from .sources import graph_json
 from .sources.tables import NEXT_PART_SQL, VIEW_SQL, edge_view, graph_view, kept, next_part_edges, node_view, table
 from .streaming import watch
@@ -126,6 +127,36 @@ def community_signatures(spark, d):
     return degree.set_signature(node_view(spark, d).where("community is not null"), "community", "id")
 
 
+def _maintained(spark, d):
+    """The graph after four batches of its edges, each followed by one in which a fifth of it goes again."""
+    nodes, edges = graph_view(spark, d)
+    graph = maintain.MaintainedGraph(spark, f"{shared_dir(spark)}/maintained-{uuid.uuid4().hex}", nodes)
+    of = lambda k: edges.where(F.pmod(F.xxhash64("pos", "dst"), F.lit(4)) == k).select("src", "dst", "relation", F.lit(1).alias("n"), (F.pmod("pos", F.lit(5)) == 0).alias("leaves"))
+    for k in range(5):
+        gone = of(k - 1).where("leaves").withColumn("n", F.lit(-1))
+        graph.apply(of(k).unionByName(gone).drop("leaves"))
+    return graph
+
+
+_STAYING = ", kept AS (SELECT * FROM edges WHERE pos % 5 <> 0), ends AS (SELECT src AS id FROM kept UNION ALL SELECT dst FROM kept) "
+
+
+@query(_STAYING + "SELECT id, count(*) AS degree FROM ends GROUP BY id")
+def maintained_degrees(spark, d):
+    return _maintained(spark, d).degrees()
+
+
+@query(
+    _STAYING
+    + """SELECT * FROM (SELECT count(*) FILTER (src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)) AS dangling,
+  count(*) FILTER (src = dst AND relation NOT IN ('calls', 'indirect_call')) AS self_loops, count(*) FILTER (src = dst AND relation IN ('calls', 'indirect_call')) AS recursive FROM kept),
+(SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM kept GROUP BY src, dst, relation)),
+(SELECT count(DISTINCT id) AS orphans FROM nodes WHERE id NOT IN (SELECT id FROM ends))"""
+)
+def maintained_lint(spark, d):
+    return _maintained(spark, d).validated()
+
+
 # Scope ----------------------------------------------------------------------------------------------------------
 
 
