@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..plans.snapshot import cut, shared_dir
 
+#: Rows of a file of counts, about, if a part has more.
+FILE = 1_000_000
 _LINT = ("dangling", "self_loops", "recursive", "duplicates", "orphans")
 
 
@@ -39,9 +41,11 @@ class SignedCounts:
             return self.spark.createDataFrame([], schema)
         return reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(p) for p in paths))
 
-    def _write(self, rows: DataFrame) -> tuple[str, int]:
+    def _write(self, rows: DataFrame, n: int) -> tuple[str, int]:
+        """Writes at most ``n`` rows; a part of more than ``FILE`` is written by several tasks, a file each."""
         path = f"{shared_dir(self.spark)}/counts-{uuid.uuid4().hex}"
-        rows.withColumn("part", self._part()).repartition("part").write.partitionBy("part").parquet(path)
+        piece = F.pmod(F.xxhash64(F.lit("piece"), *self.keys), F.lit(1 + n // (self.parts * FILE)))
+        rows.withColumn("part", self._part()).repartition("part", piece).write.partitionBy("part").parquet(path)
         return path, self._read([path]).count()
 
     def rows(self) -> DataFrame:
@@ -67,14 +71,14 @@ class SignedCounts:
         return size
 
     def add(self, delta: DataFrame) -> None:
-        """Takes in ``delta`` (keys, n): one row for a key."""
-        made = self._write(delta)
+        """Takes in ``delta`` (keys, n), a written table: one row for a key."""
+        made = self._write(delta, delta.count())
         if made[1]:
             self.segments = [*self.segments, made]
         while len(tail := self.segments[-self.fan :]) == self.fan and len({self._size(n) for _, n in tail}) == 1:
             rest = self.segments[: -self.fan]
             merged = self._read([p for p, _ in tail]).groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n <> 0")
-            one = self._write(merged)
+            one = self._write(merged, sum(n for _, n in tail))
             self.segments = [*rest, one] if one[1] else rest
 
 
@@ -82,7 +86,7 @@ class SignedCounts:
 class MaintainedGraph:
     """Degrees and lint (``degree.validate``) of a graph of fixed nodes (id) after batches of edges that come or go.
 
-    ``parts`` are as many as make a part of the counts fit a task. The state is a folder: what a batch has written counts once its
+    Counts lie in ``parts`` folders by hash: more of them make small batches read less, at some tens of milliseconds a folder written. The state is a folder: what a batch has written counts once its
     line in the folder's log is there, so a batch that fails is made again, a batch that comes again is passed over, and a
     new session that opens the folder goes on.
     """
@@ -90,7 +94,7 @@ class MaintainedGraph:
     spark: SparkSession
     folder: str
     nodes: DataFrame
-    parts: int = 64
+    parts: int = 16
     fan: int = 4
 
     def __post_init__(self) -> None:

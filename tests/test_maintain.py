@@ -11,8 +11,9 @@ from lattica.operators import degree, maintain
 CHANGES = "src string, dst string, relation string, n int"
 
 
-def test_batches_equal_a_rebuild(spark, tmp_path):
+def test_batches_equal_a_rebuild(spark, tmp_path, monkeypatch):
     """Edges come, repeat and go, with loops, unknown ends and nulls; the state is opened anew between batches."""
+    monkeypatch.setattr(maintain, "FILE", 2)
     r = random.Random(11)
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(12)] + [(None,), ("n3",)], "id string")
     name = lambda: r.choice([*(f"n{i}" for i in range(9)), "gone", None])
