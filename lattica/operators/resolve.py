@@ -126,9 +126,11 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (src, dst, relation): the site of the first, the surest confidence, the earliest run."""
+    """One edge for each (src, dst, relation): the site of the first, the surest confidence, the earliest run. Edges
+    are shuffled first: nearly all are distinct, and a task that merged what it reads would hold them all."""
     sure = F.element_at(F.create_map(*(F.lit(x) for x in ("EXTRACTED", 0, "INFERRED", 1, "AMBIGUOUS", 2))), F.coalesce("confidence", F.lit("EXTRACTED")))
-    return edges.groupBy("src", "dst", "relation").agg(F.min("pos").alias("pos"), F.min_by("confidence", sure).alias("confidence"), F.count("*").alias("n"))
+    own = edges.select("src", "dst", "relation", "pos", "confidence").repartition("src", "dst", "relation")
+    return own.groupBy("src", "dst", "relation").agg(F.min("pos").alias("pos"), F.min_by("confidence", sure).alias("confidence"), F.count("*").alias("n"))
 
 
 def did_you_mean(nodes: DataFrame, key: str, n: int = 5) -> DataFrame:
