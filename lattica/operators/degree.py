@@ -62,7 +62,9 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def duplicate_edges(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src", "dst", "relation").agg(F.count("*").alias("n")).where("n > 1")
+    """(src, dst, relation, n) of more than one. Edges are shuffled before they are counted: nearly all are distinct, so
+    a task that counted the file parts it reads would hold them all and save nothing."""
+    return edges.select("src", "dst", "relation").repartition("src", "dst", "relation").groupBy("src", "dst", "relation").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def community_sizes(nodes: DataFrame, edges: DataFrame, members: int = 3) -> DataFrame:
