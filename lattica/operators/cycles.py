@@ -83,21 +83,19 @@ def self_loops(edges: DataFrame) -> DataFrame:
 def cycle_path(edges: DataFrame, component: DataFrame, start: str, hops: int = 50) -> DataFrame:
     """(step, id): a shortest loop through ``start`` inside a component (id). ``RuntimeError`` if it is longer than
     ``hops``; no rows if ``start`` is in no loop."""
-    from .traverse import shortest_path
+    from .traverse import hop_distances, shortest_path
 
-    ids = component.select("id")
-    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ids = cut(component.select("id"), "component")
+    # written once: each step of the walks reads it
+    inside = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "inside")
     back = inside.where((F.col("dst") == start) & (F.col("src") != start)).select("src").distinct()
-    best = None
-    from .traverse import hop_distances
-
-    reach = hop_distances(inside, edges.sparkSession.createDataFrame([(start,)], "id string"), hops)
+    reach = hop_distances(inside, edges.sparkSession.createDataFrame([(start,)], "id string"), hops, until=back.withColumnRenamed("src", "id"))
     last = reach.join(back.withColumnRenamed("src", "id"), "id").orderBy("distance", "id").first()
     if last is None and back.limit(1).count():
         raise RuntimeError(f"no loop through {start} within {hops} steps")
     if last is None:
         return edges.sparkSession.createDataFrame([], "step long, id string")
-    best = shortest_path(inside, start, last.id, hops)
+    best = shortest_path(inside, start, last.id, int(last.distance))
     return best.union(edges.sparkSession.createDataFrame([(int(last.distance) + 1, start)], "step long, id string"))
 
 

@@ -26,8 +26,9 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "out" else back if direction == "in" else out.unionAll(back)
 
 
-def hop_distances(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out") -> DataFrame:
-    """(id, distance) of all within ``hops`` of the seeds (id); seeds at 0.
+def hop_distances(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out", until: DataFrame | None = None) -> DataFrame:
+    """(id, distance) of all within ``hops`` of the seeds (id); seeds at 0. With ``until`` (id) the walk ends with the
+    first hop that reaches one of these.
 
     Each hop reads the two columns of the edges once and joins them with the frontier, which is broadcast as long as
     it is small; the edges themselves are neither sorted nor shuffled. Give edges that are cheap to read (a table).
@@ -41,6 +42,8 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, hops: int, direction: str
         if not new.limit(1).count():
             break
         seen = seen.unionByName(new)
+        if until is not None and new.join(until, "id", "left_semi").limit(1).count():
+            break
     return seen
 
 
