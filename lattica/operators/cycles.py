@@ -107,16 +107,27 @@ def tiered_cycles(edges: DataFrame, runs=RUNS) -> DataFrame:
     """(tier, component, size, signature): import cycles in the first tier that closes them.
 
     Edges (src, dst, runs). Tiers nest: what runs on load, then with deferred imports, then with those only for
-    type checking. A group with the same members as one of an earlier tier isn't reported again.
+    type checking. A group with the same members as one of an earlier tier isn't reported again. A tier begins with the
+    groups of the one before it as single nodes, so what has been found isn't looked for again.
     """
     from .degree import set_signature
 
     rank = F.coalesce(F.array_position(F.array(*(F.lit(r) for r in runs)), F.col("runs")), F.lit(1)).cast("int")
     first = edges.groupBy("src", "dst").agg(F.min(F.when(rank == 0, 1).otherwise(rank)).alias("rank"))
     first = cut(first, "tiers")
-    out = None
+    out = member = None
     for k, name in enumerate(runs, 1):
-        member = strong_components(first.where(F.col("rank") <= k))
+        own = first.where(F.col("rank") <= k).select("src", "dst")
+        if member is None:
+            member = cut(strong_components(own), "tier")
+        else:
+            of = lambda c: member.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+            merged = own.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("src_in", "src").alias("src"), F.coalesce("dst_in", "dst").alias("dst"))
+            # a group's name is its smallest id, so the least name of those that join is their smallest id
+            joined = cut(strong_components(merged).select(F.col("id").alias("component"), F.col("component").alias("wider")), "tier")
+            inner = member.join(joined, "component", "left").select("id", F.coalesce("wider", "component").alias("component"))
+            new = joined.join(member.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("wider").alias("component"))
+            member = cut(inner.unionByName(new), "tier")
         groups = set_signature(member, "component", "id").select(F.lit(name).alias("tier"), "component", F.col("n").alias("size"), "signature")
         out = groups if out is None else out.unionByName(groups.join(out.select("signature"), "signature", "left_anti").select(groups.columns))
     return out
