@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..plans.snapshot import cut
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that doesn't broadcast it: the tables of a loop, each small enough to be, add up in the driver."""
+    return df.hint("merge")
+
+
 def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Edges without those of nodes that nothing enters or leaves, some rounds deep: they are in no cycle."""
     for _ in range(rounds):
-        inner = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        inner = edges.select("src").distinct().join(_shuffled(edges.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
+        inner = _shuffled(inner)
         edges = cut(edges.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "trim")
     return edges
 
@@ -26,10 +32,10 @@ def _least_reaching(edges: DataFrame, ids: DataFrame, seed: int, rounds: int) ->
     own = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("id"))
     label = cut(ids.select("id", own.alias("label")), "label")
     for _ in range(rounds):
-        handed = edges.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
+        handed = edges.join(_shuffled(label.withColumnRenamed("id", "src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
         jump = label.select(F.col("id").alias("at"), F.col("label").alias("further"))
         least = F.least("label", "m", "further")
-        new = label.join(jump, label["label"]["id"] == jump["at"]).join(handed, "id", "left").select("id", least.alias("label"), (least < F.col("label")).alias("moved"))
+        new = label.join(_shuffled(jump), label["label"]["id"] == jump["at"]).join(_shuffled(handed), "id", "left").select("id", least.alias("label"), (least < F.col("label")).alias("moved"))
         new = cut(new, "label")
         label = new.select("id", "label")
         if not new.where("moved").limit(1).count():
@@ -51,11 +57,11 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         if not left.limit(1).count():
             break
         ids = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "scc")
-        of = lambda label, end, name: label.select(F.col("id").alias(end), F.col("label").alias(name))
+        of = lambda label, end, name: _shuffled(label.select(F.col("id").alias(end), F.col("label").alias(name)))
         fore = _least_reaching(left, ids, seed, rounds)
         own = cut(left.join(of(fore, "src", "cs"), "src").join(of(fore, "dst", "cd"), "dst").where("cs = cd").select("src", "dst"), "scc")
         back = _least_reaching(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, seed, rounds)
-        both = cut(fore.withColumnRenamed("label", "fore").join(back.withColumnRenamed("label", "back"), "id").select("id", "fore", "back", (F.col("fore") == F.col("back")).alias("found")), "scc")
+        both = cut(fore.withColumnRenamed("label", "fore").join(_shuffled(back.withColumnRenamed("label", "back")), "id").select("id", "fore", "back", (F.col("fore") == F.col("back")).alias("found")), "scc")
         done.append(both.where("found").select("id", F.col("fore").alias("label")))
         rest = both.where("not found").select("id", F.col("back").alias("label"))
         left = _trimmed(own.join(of(rest, "src", "bs"), "src").join(of(rest, "dst", "bd"), "dst").where("bs = bd").select("src", "dst"))
@@ -64,7 +70,7 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     out = edges.sparkSession.createDataFrame([], "id string, component string")
     for member in done:
         least = member.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-        out = out.unionByName(member.join(least, "label").select("id", "component"))
+        out = out.unionByName(member.join(_shuffled(least), "label").select("id", "component"))
     return out
 
 
