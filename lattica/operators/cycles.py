@@ -78,7 +78,7 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     """(component, size, edges): the groups, with how many distinct edges run inside each."""
     member = strong_components(edges)
     sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    inside = edges.select("src", "dst").where("src <> dst").distinct().join(member.withColumnRenamed("id", "src"), "src").join(member.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst").where("component = d")
+    inside = edges.select("src", "dst").where("src <> dst").distinct().join(_shuffled(member.withColumnRenamed("id", "src")), "src").join(_shuffled(member.select(F.col("id").alias("dst"), F.col("component").alias("d"))), "dst").where("component = d")
     return sizes.join(inside.groupBy("component").agg(F.count("*").alias("edges")), "component")
 
 
