@@ -108,6 +108,36 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, floor, block):
     assert simjoin.similar_pairs(spark.createDataFrame([], "cid long, term string, w double"), floor).count() == 0
 
 
+def test_pairs_that_share_one_rare_term_are_not_met_whole(spark, monkeypatch):
+    """Each vector shares a rare term with the next, and its common ones with few: their bands or cells rule them out."""
+    from lattica.operators import simjoin
+
+    r = random.Random(11)
+    vectors = {i: {f"r{i}": 1.0, f"r{(i + 1) % 60}": 1.0, f"own{i}": 0.5} | {f"c{r.randrange(40)}": 0.6 for _ in range(6)} for i in range(60)}
+    vectors |= {100 + i: vectors[i] | {"more": 0.05} for i in range(3)}
+    rows = [(i, t, w) for i, v in vectors.items() for t, w in v.items()]
+    written, own = [], simjoin.cut
+    monkeypatch.setattr(simjoin, "cut", lambda df, name="step": (lambda d: written.append((name, d.count())) or d)(own(df, name)))
+    got = simjoin.similar_pairs(spark.createDataFrame(rows, "cid long, term string, w double"), 0.8).collect()
+    assert {(g.x, g.y): round(g.score, 6) for g in got} == _cosines(vectors, 0.8)
+    assert len(got) == 3
+    assert [n for name, n in written if name == "pairs"][0] < 20  # 63 meet by a rare term
+
+
+def test_similar_documents_with_ids_of_several_rows_equal_sql(spark, tmp_path):
+    """Rows of one id are one document; texts without terms are none."""
+    import duckdb
+
+    from lattica import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("doc_id", F.when(F.col("doc_id") % 7 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 11 == 3, F.lit("12 !")).otherwise(F.col("text")))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().execute(queries.ORACLE_SQL["similar_documents"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = queries.QUERIES["similar_documents"](spark, str(tmp_path)).select("doc_id", "class", "links").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_index_refreshed_in_batches_equals_a_fresh_one(spark):
     from lattica.operators import search, segments
 
