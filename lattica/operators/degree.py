@@ -40,9 +40,9 @@ def node_tally(nodes: DataFrame) -> DataFrame:
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that isn't a node."""
     ids = nodes.select("id").distinct()
-    a = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
-    b = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    return a.unionByName(b.select(a.columns))
+    there = lambda c: ids.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_there"))
+    met = edges.join(there("src"), "src", "left").join(there("dst"), "dst", "left").where("src_there is null or dst_there is null")
+    return met.select("src", *(c for c in edges.columns if c != "src"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -278,3 +278,14 @@ def test_scope_flags(spark):
     with pytest.raises(ValueError, match="tset"):
         scope.parse_scope("-tset")
     assert "dispatches_to" in scope.relations("calls") and "references" not in scope.relations("types") and "http_calls" in scope.relations("code")
+
+
+def test_dangling_meets_each_end_once(spark):
+    """Ends without a node, null ends, repeated edges and nodes."""
+    from lattica.operators import degree
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
+    edges = spark.createDataFrame([(1, "a", "b"), (2, "x", "b"), (3, "a", "y"), (4, "x", "y"), (5, "x", "y"), (6, None, "a"), (7, "c", None)], "pos long, src string, dst string")
+    found = degree.dangling(nodes, edges)
+    assert sorted(r.pos for r in found.collect()) == [2, 3, 4, 5, 6, 7]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
