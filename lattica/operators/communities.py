@@ -296,9 +296,13 @@ def wiki(nodes: DataFrame, edges: DataFrame, member: DataFrame, community, bound
 
 def modularity(weights: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: the modularity of a partition (id, community)."""
-    m2 = weights.agg((2 * F.sum("weight")).alias("m2"))
-    inside = weights.join(member.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(member.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").agg((2 * F.coalesce(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight"))), F.lit(0.0))).alias("inside"))
-    tot = _both(weights).join(member.withColumnRenamed("id", "a"), "a").groupBy("community").agg(F.sum("weight").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("squares"))
+    of = lambda c: member.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    met = weights.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    sums = cut(met.groupBy("ca", "cb", (F.col("a") == F.col("b")).alias("loop")).agg(F.sum("weight").alias("weight")), "sums")  # the weights are met once
+    m2 = sums.agg((2 * F.sum("weight")).alias("m2"))
+    inside = sums.agg((2 * F.coalesce(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight"))), F.lit(0.0))).alias("inside"))
+    ends = sums.select(F.col("ca").alias("community"), "weight").unionByName(sums.where(~F.col("loop")).select(F.col("cb").alias("community"), "weight"))
+    tot = ends.where("community is not null").groupBy("community").agg(F.sum("weight").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("squares"))
     return m2.crossJoin(inside).crossJoin(tot).select((F.col("inside") / F.col("m2") - resolution * F.col("squares") / (F.col("m2") * F.col("m2"))).alias("modularity"))  # one row each
 
 

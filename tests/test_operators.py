@@ -289,3 +289,15 @@ def test_dangling_meets_each_end_once(spark):
     found = degree.dangling(nodes, edges)
     assert sorted(r.pos for r in found.collect()) == [2, 3, 4, 5, 6, 7]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_modularity_meets_the_weights_once(spark):
+    """Loops and strangers to the partition count in all weights."""
+    from lattica.operators import communities
+
+    weights = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("c", "c", 3.0), ("c", "z", 4.0)], "a string, b string, weight double")
+    member = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "id string, community int")
+    got = communities.modularity(weights, member)
+    # all weights 10; inside 5; community 1: 2 + 2 + 1, community 2: 1 + 3 + 4
+    assert abs(got.first().modularity - (10 / 20 - (5**2 + 8**2) / 20**2)) < 1e-12
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()  # the written sums are read, not the weights met again
