@@ -53,46 +53,52 @@ def partition(weights: DataFrame, rounds: int = 200, resolution: float = 1.0, to
     round: a half at first, and a smaller part, down to one in ``finest``, whenever a round gains less than
     ``tolerance`` of modularity. A round that loses is taken back, so moves that undo each other come to an end.
 
-    A distributed form of sequential local moves: each round is a join and two aggregations, and equal gains go to the
-    smallest community, so that reruns agree. Loops (a = b) count for a node's strength. ``RuntimeError`` if the moves
-    don't settle within ``rounds``.
+    A distributed form of sequential local moves: each round writes one row a node, its best move, from which the next
+    communities are read; equal gains go to the smallest community, so that reruns agree. Loops (a = b) count for a
+    node's strength. ``RuntimeError`` if the moves don't settle within ``rounds``.
     """
     links = cut(_both(weights), "links")
     strength = cut(links.groupBy("a").agg(F.sum(F.col("weight") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0]
-    now = strength.select(F.col("a").alias("id"), F.col("a").alias("community"))
+    now = strength.select(F.col("a").alias("id"), F.col("a").alias("community"), "k")
     if start is not None:
-        now = now.select("id").join(start.select("id", F.col("community").cast("string").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("community"))
-    now = cut(now, "partition")
+        now = cut(now.select("id", "k").join(start.select("id", F.col("community").cast("string").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("community"), "k"), "partition")
     if not total:
         return _by_least(now)
-    between, parts, kept = links.where("a <> b"), 2, None
+    own = strength.select("a", F.col("a").alias("b"), F.lit(0.0).alias("weight"), "k", F.lit(True).alias("own"))  # so that each node meets its own community
+    between = cut(links.where("a <> b").join(strength, "a").select("a", "b", "weight", "k", F.lit(False).alias("own")).unionByName(own), "between")
+    parts, kept = 2, None
     for r in range(rounds):
-        kc = strength.join(now, strength["a"] == now["id"]).groupBy("community").agg(F.sum("k").alias("tot"))
-        mine = now.join(strength, now["id"] == strength["a"]).select("id", F.col("community").alias("own"), "k")
-        to = between.join(now.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        to = cut(to.join(mine, to["a"] == mine["id"]).select("id", "community", "w", "own", "k"), "moves")
-        inside = to.agg(F.coalesce(F.sum(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("inside"))
-        sums = inside.crossJoin(kc.agg(F.sum(F.col("tot") * F.col("tot")).alias("squares"))).first()  # a row each
+        best = cut(_best_moves(between, now, total, resolution), "moves")
+        sums = best.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares")).first()
         quality = sums.inside / total - resolution * (sums.squares / total**2)
         if kept is not None and quality < kept[0] + tolerance:
             parts *= 2
             if quality < kept[0]:
-                quality, now, kc, to = kept
+                quality, best = kept
             if parts > finest:
-                return _by_least(now)
-        kept = quality, now, kc, to
-        cost = lambda tot, own: resolution * F.col("k") * (tot - F.when(own, F.col("k")).otherwise(0)) / total
-        own = F.col("community") == F.col("own")
-        met = to.join(kc, "community").withColumn("gain", F.round(F.col("w") - cost(F.col("tot"), own), 9))
-        best = met.groupBy("id").agg(F.min_by("community", F.struct(-F.col("gain"), ~own, F.col("community"))).alias("c"), F.max("gain").alias("g"), F.max(F.when(own, F.col("gain"))).alias("own_gain"), F.first("own").alias("own"), F.first("k").alias("k"))
-        # staying where no neighbour is gains nothing but still has its cost
-        best = best.join(kc.select(F.col("community").alias("own"), "tot"), "own").withColumn("own_gain", F.coalesce("own_gain", F.round(-cost(F.col("tot"), F.lit(True)), 9)))
-        move = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(parts)) == 0) & (F.col("g") > F.col("own_gain") + 1e-9)
-        now = cut(now.join(best.select("id", "c", move.alias("moves")), "id", "left").select("id", F.when(F.col("moves"), F.col("c")).otherwise(F.col("community")).alias("community")), "partition")
+                return _by_least(best)
+        kept = quality, best
+        move = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(parts)) == 0) & (F.col("gain") > F.col("own_gain") + 1e-9)
+        now = best.select("id", F.when(move, F.col("to")).otherwise(F.col("community")).alias("community"), "k")
     raise RuntimeError(f"the moves haven't settled in {rounds} rounds")
 
 
+def _best_moves(between: DataFrame, now: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(id, community, k, to, gain, own_gain, inside, tot): the community that each node of ``now`` (id, community, k)
+    gains most in, with the gain there and where it is, its weight to its own community and that one's strength.
+    ``between`` (a, b, weight, k, own) has a row of weight 0 from each node to itself, marked own."""
+    kc = now.groupBy("community").agg(F.sum("k").alias("tot"))
+    met = between.join(now.select(F.col("id").alias("b"), "community"), "b").repartition("a")
+    to = met.groupBy("a", "k", "community").agg(F.sum("weight").alias("w"), F.max("own").alias("own")).join(kc, "community")
+    gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0)) / total, 9)
+    mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
+    best = to.withColumn("gain", gain).groupBy(F.col("a").alias("id"), "k").agg(
+        F.min_by("community", F.struct(-F.col("gain"), ~F.col("own"), F.col("community"))).alias("to"), F.max("gain").alias("gain"), mine("gain").alias("own_gain"), mine("community").alias("community"), mine("w").alias("inside"), mine("tot").alias("tot")
+    )
+    return best.select("id", "community", "k", "to", "gain", "own_gain", "inside", "tot")
+
+
 def _by_least(member: DataFrame) -> DataFrame:
     """Communities named by their smallest member."""
     least = member.groupBy("community").agg(F.min("id").alias("least"))
@@ -121,8 +127,8 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
     inner = cut(links.where("a <> b").join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b", "weight"), "inside")
     loose = lambda ext, tot, total: F.col(ext) + eps < resolution * F.col(tot) * (F.col(total) - F.col(tot)) / m2
     for r in range(rounds):
-        to = inner.join(now.select(F.col("id").alias("b"), F.col("part").alias("into")), "b").groupBy("a", "into").agg(F.sum("weight").alias("w"))
-        to = cut(to.join(now.select(F.col("id").alias("a"), "part", "k", "total"), "a").where("part <> into"), "moves")
+        to = inner.join(now.select(F.col("id").alias("b"), F.col("part").alias("into")), "b").repartition("a").groupBy("a", "into").agg(F.sum("weight").alias("w"))
+        to = to.join(now.select(F.col("id").alias("a"), "part", "k", "total"), "a").where("part <> into")
         sums = now.groupBy("part").agg(F.sum("k").alias("tot"), F.count("*").alias("n"), F.first("total").alias("total"))
         groups = sums.join(to.groupBy("part").agg(F.sum("w").alias("ext")), "part", "left").withColumn("ext", F.coalesce("ext", F.lit(0.0)))
         groups = groups.where(~loose("ext", "tot", "total"))
@@ -138,7 +144,7 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
         rest = best.where((side("id") == 1) & (F.col("n") > 1)).join(asked.select(F.col("into").alias("id")), "id", "left_anti")
         asked = asked.unionByName(rest)
         inorder = Window.partitionBy("into").orderBy(F.desc("gain"), "id")
-        asked = cut(asked.withColumn("at", F.row_number().over(inorder)), "moves")
+        asked = asked.withColumn("at", F.row_number().over(inorder))  # of what is written, so each use of it agrees
         # weights between a node and those before it in the same part's order
         place = lambda c, p: asked.select(F.col("id").alias(c), F.col("into").alias(f"{p}_into"), F.col("at").alias(f"{p}_at"))
         among = inner.join(place("a", "x"), "a").join(place("b", "y"), "b").where("x_into = y_into and y_at < x_at").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("among"))

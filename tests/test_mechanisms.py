@@ -333,3 +333,16 @@ def test_nearest_leaves_far_blocks_out(spark):
     assert [(g.query, g.id) for g in nearest.nearest(few, rows.where("id = 1"), 64).orderBy("rank").collect()] in ([(1, 0), (1, 2)], [(1, 2), (1, 0)])
     none = rows.limit(0)
     assert nearest.nearest(nearest.build(none, 64), rows, 64).count() == 0 and nearest.nearest(few, none, 64).count() == 0
+
+
+def test_rounds_of_communities_write_little(spark, monkeypatch):
+    """A round of moves writes one table, a round of the refinement two."""
+    clique = lambda g: [(f"c{g}n{i}", f"c{g}n{j}", 1.0) for i in range(5) for j in range(i)]
+    weights = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in clique(0) + clique(1) + clique(2)] + [("c0n0", "c1n1", 0.5), ("c1n0", "c2n1", 0.5), ("c2n0", "c2n0", 1.0)], "a string, b string, weight double")
+    calls = counted(monkeypatch, communities)
+    member = communities.partition(weights)
+    assert {(r.id[:2], r.community) for r in member.collect()} == {(f"c{g}", f"c{g}n0") for g in range(3)}
+    assert calls.count("moves") > 3 and len(calls) <= calls.count("moves") + 4
+    calls.clear()
+    assert communities.refinement(weights, member).where("part <> id").count() == 12
+    assert calls.count("moves") == calls.count("parts") > 1
