@@ -301,3 +301,14 @@ def test_modularity_meets_the_weights_once(spark):
     # all weights 10; inside 5; community 1: 2 + 2 + 1, community 2: 1 + 3 + 4
     assert abs(got.first().modularity - (10 / 20 - (5**2 + 8**2) / 20**2)) < 1e-12
     assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()  # the written sums are read, not the weights met again
+
+
+def test_index_shuffles_chunks_not_postings(spark):
+    """Chunks that lie in one partition are dealt by cid before they are split; their terms aren't shuffled."""
+    chunks = spark.createDataFrame([(k % 30, "some name", "a/path", f"word{chr(97 + k % 7)} word word") for k in range(40)], "cid long, name string, path string, body string").coalesce(1)
+    postings, lengths = search.index(chunks, search.plain_terms)
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(cid" in plan
+    got = {(r.term, r.cid): (r.tf_name, r.tf_path, r.tf_body) for r in postings.collect()}
+    assert got["word", 0] == (0, 0, 4) and got["word", 29] == (0, 0, 2) and got["name", 3] == (2, 0, 0)  # ten ids come twice
+    assert got["a", 12] == (0, 1, 0) and lengths.count() == 40
