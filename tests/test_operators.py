@@ -312,3 +312,12 @@ def test_index_shuffles_chunks_not_postings(spark):
     got = {(r.term, r.cid): (r.tf_name, r.tf_path, r.tf_body) for r in postings.collect()}
     assert got["word", 0] == (0, 0, 4) and got["word", 29] == (0, 0, 2) and got["name", 3] == (2, 0, 0)  # ten ids come twice
     assert got["a", 12] == (0, 1, 0) and lengths.count() == 40
+
+
+def test_surprises_judge_a_node_once(spark):
+    """What a score asks of one node only lies below the joins, not in the step that reads every edge."""
+    nodes = spark.createDataFrame([("a", "f", "x/a.py", 1), ("b", "g", "y/b.js", 2)], "id string, label string, file string, community long")
+    found = review.surprises(nodes, edges_of(spark, [("a", "b"), ("a", "b"), ("b", "b")]), 60)
+    assert [(r.src, r.dst, r.score) for r in found.collect()] == [("a", "b", 6)]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert r"\.([^./]+)$" not in above and "label" not in above
