@@ -636,9 +636,7 @@ def surprises(spark, d):
 @query()
 def diverse_surprises(spark, d):
     """No SQL: a greedy pass in which a row that the cap turns away leaves its pair of files free."""
-    nodes, edges = graph_view(spark, d)
-    file = nodes.select("id", "file")
-    rows = review.surprises(nodes, edges, 60).join(file.select(F.col("id").alias("src"), F.col("file").alias("src_file")), "src").join(file.select(F.col("id").alias("dst"), F.col("file").alias("dst_file")), "dst")
+    rows = review.crossings(*graph_view(spark, d), 60)  # copies of an edge fall in the first step of the pass
     return review.diverse(rows.select("src", "dst", "src_file", "dst_file", "score"))
 
 

@@ -321,3 +321,16 @@ def test_surprises_judge_a_node_once(spark):
     assert [(r.src, r.dst, r.score) for r in found.collect()] == [("a", "b", 6)]
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
     assert r"\.([^./]+)$" not in above and "label" not in above
+
+
+def test_diverse_surprises_meet_nodes_once_for_each_end(spark):
+    """The files come along with the score: the same rows as when they are looked up again, with fewer joins."""
+    from lattica.queries import QUERIES
+    from lattica.sources.tables import graph_view
+
+    nodes, edges = graph_view(spark, "/root/testdata/sf0.001")
+    file = lambda end: nodes.select(F.col("id").alias(end), F.col("file").alias(f"{end}_file"))
+    again = review.surprises(nodes, edges, 60).join(file("src"), "src").join(file("dst"), "dst").select("src", "dst", "src_file", "dst_file", "score")
+    found = QUERIES["diverse_surprises"](spark, "/root/testdata/sf0.001")
+    assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, review.diverse(again).collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
