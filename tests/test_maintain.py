@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import degree, maintain
+from lattica.plans.snapshot import shared_dir
 
 CHANGES = "src string, dst string, relation string, n int"
 
@@ -84,3 +86,15 @@ def test_changes_of_a_stream_count_once(spark, tmp_path):
     every = spark.read.schema(edges.schema).parquet(source)
     assert Counter(map(tuple, graph.degrees().collect())) == Counter(map(tuple, degree.degrees(every).collect()))
     assert graph.validated().first().asDict() == degree.validate(nodes, every).first().asDict()
+
+
+def test_a_batch_writes_four_tables(spark, tmp_path):
+    """Changes and ends as they came, and a segment of each: what a batch finds out about its keys is the segment."""
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    graph = maintain.MaintainedGraph(spark, f"file://{tmp_path}/graph", nodes, parts=2)
+    graph.apply(spark.createDataFrame([("a", "b", "uses", 1), ("x", "y", "uses", 2)], CHANGES))
+    there = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()}
+    before = there()
+    graph.apply(spark.createDataFrame([("x", "y", "uses", -1), ("x", "b", "uses", 1), (None, "y", "calls", 1)], CHANGES))
+    assert len(there() - before) == 4
+    assert graph.lint == {"dangling": 3, "self_loops": 0, "recursive": 0, "duplicates": 0, "orphans": 0}
