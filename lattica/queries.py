@@ -131,10 +131,9 @@ def _maintained(spark, d):
     """The graph after four batches of its edges, each followed by one in which a fifth of it goes again."""
     nodes, edges = graph_view(spark, d)
     graph = maintain.MaintainedGraph(spark, f"{shared_dir(spark)}/maintained-{uuid.uuid4().hex}", nodes)
-    of = lambda k: edges.where(F.pmod(F.xxhash64("pos", "dst"), F.lit(4)) == k).select("src", "dst", "relation", F.lit(1).alias("n"), (F.pmod("pos", F.lit(5)) == 0).alias("leaves"))
+    batch, leaves = F.pmod(F.xxhash64("pos", "dst"), F.lit(4)), F.pmod("pos", F.lit(5)) == 0
     for k in range(5):
-        gone = of(k - 1).where("leaves").withColumn("n", F.lit(-1))
-        graph.apply(of(k).unionByName(gone).drop("leaves"))
+        graph.apply(edges.where((batch == k) | ((batch == k - 1) & leaves)).select("src", "dst", "relation", F.when(batch == k, 1).otherwise(-1).alias("n")))
     return graph
 
 
