@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import dirname, is_file_hub, is_test_path, top_dir
-from ..plans.snapshot import cut
+from ..plans.snapshot import bucketed, cut
+from . import local_moves
 
 # Fixed weights by relation.
 RELATION_WEIGHTS = {"contains": 1.0, "method": 1.0, "defines": 1.0, "case_of": 1.0, "calls": 1.0, "inherits": 1.5, "implements": 1.5, "mixes_in": 1.5, "embeds": 1.5}
@@ -47,65 +48,85 @@ def _both(weights: DataFrame) -> DataFrame:
     return weights.select("a", "b", "weight").unionByName(weights.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
-def partition(weights: DataFrame, rounds: int = 200, resolution: float = 1.0, tolerance: float = 1e-4, finest: int = 16, start: DataFrame | None = None) -> DataFrame:
+def partition(weights: DataFrame, rounds: int = 200, resolution: float = 1.0, tolerance: float = 1e-4, finest: int = 16, start: DataFrame | None = None, total: float | None = None) -> DataFrame:
     """(id, community): every node starts alone (or in its community of ``start``: id, community) and moves to the
     neighbouring community of the greatest gain in modularity, a part of the nodes (by a hash that changes) in each
     round: a half at first, and a smaller part, down to one in ``finest``, whenever a round gains less than
     ``tolerance`` of modularity. A round that loses is taken back, so moves that undo each other come to an end.
 
     A distributed form of sequential local moves: each round writes one row a node, its best move, from which the next
-    communities are read; equal gains go to the smallest community, so that reruns agree. Loops (a = b) count for a
-    node's strength. ``RuntimeError`` if the moves don't settle within ``rounds``.
+    communities are read; equal gains go to the smallest community, so that reruns agree. Where none of those that gain would move, all do; where
+    none gains, the moves are done. Loops (a = b) count for a node's strength. Nodes are numbered in the order of their ids; links lie by the node that they
+    lead to, with its community's strength beside it, so a round shuffles them once, to the node that moves. ``total``: the strength of the whole graph, if ``weights`` are some of its
+    components only. ``RuntimeError`` if the moves don't settle within ``rounds``.
     """
+    from .traverse import _numbered
+
     links = cut(_both(weights), "links")
-    strength = cut(links.groupBy("a").agg(F.sum(F.col("weight") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("k")), "strength")
-    total = strength.agg(F.sum("k")).first()[0]
-    now = strength.select(F.col("a").alias("id"), F.col("a").alias("community"), "k")
+    strength = links.groupBy(F.col("a").alias("id")).agg(F.sum(F.col("weight") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("k"))
+    nodes = cut(_numbered(strength.withColumn("order", F.struct("id")), 0).select("id", F.col("rank").alias("n"), "k"), "nodes")
+    size = nodes.agg(F.sum("k").alias("k"), F.count("*").alias("n")).first()
+    total = total or size.k
+    now = nodes.select(F.col("n").alias("id"), F.col("n").alias("community"), "k")
     if start is not None:
-        now = cut(now.select("id", "k").join(start.select("id", F.col("community").cast("string").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("community"), "k"), "partition")
+        begun = cut(nodes.join(start.select("id", F.col("community").cast("string").alias("c")), "id", "left").select("n", "k", F.coalesce("c", "id").alias("c")), "partition")
+        ranked = _numbered(begun.select("c").distinct().withColumn("order", F.struct("c")), 0).select("c", "rank")
+        now = begun.join(ranked, "c").select(F.col("n").alias("id"), F.col("rank").alias("community"), "k")
     if not total:
-        return _by_least(now)
-    own = strength.select("a", F.col("a").alias("b"), F.lit(0.0).alias("weight"), "k", F.lit(True).alias("own"))  # so that each node meets its own community
-    between = cut(links.where("a <> b").join(strength, "a").select("a", "b", "weight", "k", F.lit(False).alias("own")).unionByName(own), "between")
+        return _by_least(now, nodes)
+    number = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    met = links.where("a <> b").join(number("a"), "a").join(number("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "weight")
+    met = met.unionByName(nodes.select(F.col("n").alias("a"), F.col("n").alias("b"), F.lit(0.0).alias("weight")))  # so that each node meets its own community
+    tasks = (links.count() + size.n) // ROWS + 1
+    lying = bucketed(met.repartition(int(tasks), "b").sortWithinPartitions("b"), "between", int(tasks), "b")
+    now = cut(now.join(nodes.select(F.col("n").alias("id"), F.xxhash64("id").alias("h")), "id"), "partition")
+    able = F.col("gain") > F.col("own_gain") + 1e-9
+    chosen = lambda r, parts: able & (F.pmod(F.xxhash64("h", F.lit(r)), F.lit(parts)) == 0)
     parts, kept = 2, None
     for r in range(rounds):
-        best = cut(_best_moves(between, now, total, resolution), "moves")
-        sums = best.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares")).first()
+        best = cut(_best_moves(lying, int(tasks), now, total, resolution), "moves")
+        count = lambda df: df.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares"), F.count_if(able).alias("able"), F.count_if(chosen(r, parts)).alias("n1"), F.count_if(chosen(r, 2 * parts)).alias("n2")).first()  # noqa: B023,E731
+        sums, slow = count(best), False
         quality = sums.inside / total - resolution * (sums.squares / total**2)
         if kept is not None and quality < kept[0] + tolerance:
-            parts *= 2
+            slow = True
             if quality < kept[0]:
                 quality, best = kept
-            if parts > finest:
-                return _by_least(best)
+                sums = count(best)
+            parts *= 2
+        if parts > finest or not sums.able:
+            return _by_least(best, nodes)
         kept = quality, best
-        move = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(parts)) == 0) & (F.col("gain") > F.col("own_gain") + 1e-9)
-        now = best.select("id", F.when(move, F.col("to")).otherwise(F.col("community")).alias("community"), "k")
+        move = chosen(r, parts) if (sums.n2 if slow else sums.n1) else able
+        now = best.select("id", F.when(move, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "h")
     raise RuntimeError(f"the moves haven't settled in {rounds} rounds")
 
 
-def _best_moves(between: DataFrame, now: DataFrame, total: float, resolution: float) -> DataFrame:
-    """(id, community, k, to, gain, own_gain, inside, tot): the community that each node of ``now`` (id, community, k)
+#: Links that a task of a round of moves takes.
+ROWS = 250_000
+
+
+def _best_moves(lying: DataFrame, tasks: int, now: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(id, community, k, h, to, gain, own_gain, inside, tot): the community that each node of ``now`` (id, community, k, h)
     gains most in, with the gain there and where it is, its weight to its own community and that one's strength.
-    ``between`` (a, b, weight, k, own) has a row of weight 0 from each node to itself, marked own."""
-    kc = now.groupBy("community").agg(F.sum("k").alias("tot"))
-    met = between.join(now.select(F.col("id").alias("b"), "community"), "b").repartition("a")
-    to = met.groupBy("a", "k", "community").agg(F.sum("weight").alias("w"), F.max("own").alias("own")).join(kc, "community")
-    gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0)) / total, 9)
-    mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
-    best = to.withColumn("gain", gain).groupBy(F.col("a").alias("id"), "k").agg(
-        F.min_by("community", F.struct(-F.col("gain"), ~F.col("own"), F.col("community"))).alias("to"), F.max("gain").alias("gain"), mine("gain").alias("own_gain"), mine("community").alias("community"), mine("w").alias("inside"), mine("tot").alias("tot")
-    )
-    return best.select("id", "community", "k", "to", "gain", "own_gain", "inside", "tot")
-
-
-def _by_least(member: DataFrame) -> DataFrame:
-    """Communities named by their smallest member."""
+    ``lying`` (a, b, weight), in ``tasks`` buckets of b, has a row of weight 0 from each node to itself."""
+    strong = now.join(now.groupBy("community").agg(F.sum("k").alias("tot")), "community").withColumnRenamed("id", "b")
+    own = F.col("a") == F.col("b")
+    sent = lying.join(strong.repartition(tasks, "b").hint("shuffle_hash"), "b").select("a", "community", "tot", "weight", F.when(own, F.col("k")).alias("k"), F.when(own, F.col("h")).otherwise(0).alias("h"))
+    return sent.repartition(tasks, "a").mapInArrow(local_moves.best_moves(total, resolution), "id long, community long, k double, h long, to long, gain double, own_gain double, inside double, tot double")
+
+
+def _by_least(member: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Communities named by their smallest member; ``names`` (id, n): the ids of members that are numbers."""
     least = member.groupBy("community").agg(F.min("id").alias("least"))
-    return member.join(least, "community").select("id", F.col("least").alias("community"))
+    named = member.join(least, "community").select("id", F.col("least").alias("community"))
+    if names is None:
+        return named
+    name = lambda c: names.select(F.col("n").alias(c), F.col("id").alias(f"{c}_name"))
+    return named.join(name("id"), "id").join(name("community"), "community").select(F.col("id_name").alias("id"), F.col("community_name").alias("community"))
 
 
-def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolution: float = 1.0) -> DataFrame:
+def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolution: float = 1.0, total: float | None = None) -> DataFrame:
     """(id, community, part, round, rank): the merges that refine communities; a node that joined another's part has
     the round and the rank in it, and ``part`` is the node that it began with.
 
@@ -119,7 +140,7 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
     eps = 1e-12
     links = cut(_both(weights), "links")
     strength = cut(links.groupBy("a").agg(F.sum(F.col("weight") * F.when(F.col("a") == F.col("b"), 2).otherwise(1)).alias("k")), "strength")
-    m2 = strength.agg(F.sum("k")).first()[0] or 1.0
+    m2 = total or strength.agg(F.sum("k")).first()[0] or 1.0
     known = member.join(strength, member["id"] == strength["a"], "left").select("id", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
     whole = known.groupBy("community").agg(F.sum("k").alias("total"))
     now = cut(known.join(whole, "community").select("id", "community", "k", "total", F.col("id").alias("part"), F.lit(None).cast("int").alias("round"), F.lit(None).cast("int").alias("rank")), "parts")
@@ -139,7 +160,7 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
         best = cut(best, "moves")
         if not best.limit(1).count():
             return now.select("id", "community", "part", "round", "rank")
-        side = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(r)), F.lit(2))
+        side = lambda c: F.pmod(F.xxhash64(F.xxhash64(c), F.lit(r)), F.lit(2))
         asked = best.where((side("id") == 0) & ((F.col("n") > 1) | (side("into") == 1)))
         rest = best.where((side("id") == 1) & (F.col("n") > 1)).join(asked.select(F.col("into").alias("id")), "id", "left_anti")
         asked = asked.unionByName(rest)
@@ -158,9 +179,9 @@ def refinement(weights: DataFrame, member: DataFrame, rounds: int = 400, resolut
     raise RuntimeError(f"the refinement hasn't settled in {rounds} rounds")
 
 
-def refine(weights: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
+def refine(weights: DataFrame, member: DataFrame, resolution: float = 1.0, total: float | None = None) -> DataFrame:
     """(id, community): communities cut into well connected parts (``refinement``), each named by its smallest id."""
-    return _by_least(refinement(weights, member, resolution=resolution).select("id", F.col("part").alias("community")))
+    return _by_least(refinement(weights, member, resolution=resolution, total=total).select("id", F.col("part").alias("community")))
 
 
 def leiden(weights: DataFrame, levels: int = 64, resolution: float = 1.0, start: DataFrame | None = None, **moves) -> DataFrame:
