@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import dirname, is_file_hub, is_test_path, top_dir
 from ..plans.snapshot import bucketed, cut
 from . import local_moves
+from .components import connected_components
 
 # Fixed weights by relation.
 RELATION_WEIGHTS = {"contains": 1.0, "method": 1.0, "defines": 1.0, "case_of": 1.0, "calls": 1.0, "inherits": 1.5, "implements": 1.5, "mixes_in": 1.5, "embeds": 1.5}
@@ -184,17 +185,53 @@ def refine(weights: DataFrame, member: DataFrame, resolution: float = 1.0, total
     return _by_least(refinement(weights, member, resolution=resolution, total=total).select("id", F.col("part").alias("community")))
 
 
-def leiden(weights: DataFrame, levels: int = 64, resolution: float = 1.0, start: DataFrame | None = None, **moves) -> DataFrame:
+#: A group of up to so many weights is worked in one task, and a task is dealt groups of so many together.
+FITS, DEAL = 1_000_000, 20_000
+
+
+def components(weights: DataFrame) -> DataFrame:
+    """(id, grp): the nodes of ``weights`` (a, b) by the smallest that each is linked to."""
+    reached = connected_components(weights.select("a", "b"))
+    nodes = weights.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return nodes.join(reached, nodes["id"] == reached["node"], "left").select("id", F.coalesce("root", "id").alias("grp"))
+
+
+def leiden(weights: DataFrame, levels: int = 64, resolution: float = 1.0, start: DataFrame | None = None, groups: DataFrame | None = None, fits: int = FITS, **moves) -> DataFrame:
     """(id, community): local moves, refinement into well connected parts, and the same on the graph of those parts, in
     which each community of the moves starts together, until a level joins nothing more.
 
-    Level by level a table of (node, part) and the aggregated weights are written; the graph shrinks with each.
+    No move joins nodes that no weights link, so each component goes through its levels by itself. Those of up to ``fits``
+    weights do in tasks, many at once (``local_moves``), larger ones together by tables (``_levels``); both take the same
+    moves. ``groups`` (id, grp): sets of nodes without weights between them, if they are known.
     """
     own = cut(weights.select("a", "b", "weight"), "level")
+    groups = cut((components(own) if groups is None else groups).select("id", F.col("grp").cast("string").alias("grp")), "groups")
+    dealt = cut(own.join(groups, own["a"] == groups["id"]).select("a", "b", "weight", "grp"), "dealt")
+    sizes = cut(dealt.groupBy("grp").agg(F.count("*").alias("links"), F.sum("weight").alias("weight")), "sizes")
+    all_of = sizes.agg(F.sum("links").alias("links"), (2 * F.sum("weight")).alias("total"), F.max("links").alias("most")).first()
+    known = groups.select("id", "grp")
+    if start is not None:
+        known = known.join(start.select("id", F.col("community").cast("string").alias("start")), "id", "left")
+    known = known.select("id", "grp", F.xxhash64(F.xxhash64("id")).alias("h"), F.coalesce("start", "id").alias("start") if start is not None else F.col("id").alias("start"))
+    if not all_of.total:
+        return known.select("id", F.col("id").alias("community"))
+    bins = all_of.links // DEAL + 1
+    of = lambda df: df.join(sizes.where(F.col("links") <= fits).select("grp"), "grp").withColumn("bin", F.pmod(F.xxhash64("grp"), F.lit(bins))).repartition(int(bins), "bin").groupBy("bin")
+    found = of(dealt).cogroup(of(known)).applyInArrow(local_moves.in_tasks(all_of.total, levels=levels, resolution=resolution, **moves), "id string, community string")
+    if all_of.most <= fits:
+        return found
+    large = cut(dealt.join(sizes.where(F.col("links") > fits).select("grp"), "grp").select("a", "b", "weight"), "level")
+    begun = known.select("id", F.concat_ws("\x00", "grp", "start").alias("community")) if start is not None else None  # a community of several groups is one in each
+    return found.unionByName(_levels(large, all_of.total, levels, resolution, begun, **moves))
+
+
+def _levels(own: DataFrame, total: float, levels: int, resolution: float, start: DataFrame | None, **moves) -> DataFrame:
+    """``leiden`` of the written ``own`` (a, b, weight), whose components are too large for a task. Level by level a table of
+    (node, part) and the aggregated weights are written; the graph shrinks with each."""
     nodes = cut(_both(own).select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("part")), "level")
     for _ in range(levels):
-        moved = partition(own, resolution=resolution, start=start, **moves)
-        parts = cut(refine(own, moved, resolution), "level")
+        moved = partition(own, resolution=resolution, start=start, total=total, **moves)
+        parts = cut(refine(own, moved, resolution, total), "level")
         found = parts.join(moved.withColumnRenamed("community", "of"), "id")  # (id, community: its part, of)
         before, after = parts.count(), parts.select("community").distinct().count()
         nodes = cut(nodes.join(found.select(F.col("id").alias("part"), F.col("community").alias("next"), "of"), "part").select("id", F.col("next").alias("part"), "of"), "level")
@@ -226,7 +263,7 @@ def split(weights: DataFrame, edges: DataFrame, member: DataFrame, **moves) -> D
         within = cut(member.join(chosen, "community", "left_semi"), "split")
         of = lambda c, name: within.select(F.col("id").alias(c), F.col("community").alias(name))
         inside = weights.join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b", "weight")
-        parts = leiden(inside, **moves)  # chosen communities have no weights between them, so one run serves all
+        parts = leiden(inside, groups=within.select("id", F.col("community").alias("grp")), **moves)  # chosen communities have no weights between them
         again = within.join(parts.withColumnRenamed("community", "part"), "id", "left").select("id", F.coalesce("part", F.col("id")).alias("community"))
         member = cut(member.join(chosen, "community", "left_anti").select("id", "community").unionByName(again), "split")
     return _by_least(member)
