@@ -273,7 +273,9 @@ def settle(weights: DataFrame, edges: DataFrame, before: DataFrame | None = None
     """(id, community) that another pass, starting from it, gives again: partitions and splits until a result comes
     back. If states alternate, the one that agrees most with where the passes began (``before``, or the first result)
     is kept; of equals the earliest. ``RuntimeError`` if ``passes`` don't bring one back."""
-    once = lambda start: cut(split(weights, edges, leiden(weights, start=start, **moves), **moves), "settled")
+    weights = cut(weights.select("a", "b", "weight"), "settled")
+    groups, edges = cut(components(weights), "settled"), cut(edges.select("src", "dst"), "settled")
+    once = lambda start: cut(split(weights, edges, cut(leiden(weights, start=start, groups=groups, **moves), "settled"), **moves), "settled")
     mark = lambda m: m.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first()
     states = [once(before)]
     marks = [mark(states[0])]
