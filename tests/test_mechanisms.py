@@ -346,3 +346,30 @@ def test_rounds_of_communities_write_little(spark, monkeypatch):
     calls.clear()
     assert communities.refinement(weights, member).where("part <> id").count() == 12
     assert calls.count("moves") == calls.count("parts") > 1
+
+
+def test_vectors_of_near_copies_go_once_to_each_part(spark, monkeypatch):
+    """Sixty near copies are 1,770 pairs; their vectors go to a few parts, not once to each pair."""
+    from lattica.operators import simjoin
+
+    r = random.Random(12)
+    base = {f"t{i}": 1.0 + r.random() for i in range(20)}
+    vectors = {i: base | {f"own{i}": 0.3} for i in range(60)} | {100 + i: {f"x{i}": 1.0, f"x{i + 1}": 0.4} for i in range(20)}
+    rows = [(i, t, w) for i, v in vectors.items() for t, w in v.items()]
+    own = simjoin._products
+    monkeypatch.setattr(simjoin, "PART", 16)
+    shipped = spark.sparkContext.accumulator(0)
+
+    def counting(floor):
+        run = own(floor)
+
+        def counted(pairs, vectors):
+            shipped.add(vectors.num_rows)
+            return run(pairs, vectors)
+
+        return counted
+
+    monkeypatch.setattr(simjoin, "_products", counting)
+    got = simjoin.similar_pairs(spark.createDataFrame(rows, "cid long, term string, w double"), 0.8).collect()
+    assert {(g.x, g.y): round(g.score, 6) for g in got} == _cosines(vectors, 0.8) and len(got) >= 1770
+    assert 60 <= shipped.value <= 60 * 4 + 20
